@@ -16,8 +16,8 @@ SALTS = 32
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """The values of key that hold more than share of df's rows: fewer than 1/share of them, whatever the size of df."""
     counts = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    rows = counts.join(F.broadcast(total), F.col("n") > F.col("total") * share).select("k").collect()
+    total = counts.agg(F.sum("n")).first()[0]
+    rows = counts.where(F.col("n") > F.lit((total or 0) * share)).select("k").collect()
     return sorted(r["k"] for r in rows if r["k"] is not None)
 
 
