@@ -34,6 +34,8 @@ PLACES = (
     r"(?<![\w'\"])(?:XX|XXX|XXXX|TBD|TODO|TBA|FIXME)(?![\w'\"])",
     r"(?<![\w'\"])\?{3,}",
 )
+# Characters or words of which every form of PLACES has one.
+MAY_BE_PLACE = r"[\[{<%_@#?\u00AB]|XX|TBD|TODO|TBA|FIXME"
 # Words of sentences that write about placeholders or name the tools that use them.
 ABOUT_PLACES = (
     r"(?i)\b(?:templates?|placeholders?|stands? for|replace[sd]?|variables?|substitut\w+|quoted|written as|means|denotes?|marks? (?:a|the)|syntax|macros?|escap\w+|"
@@ -52,19 +54,31 @@ FUNCTION_WORDS = (
     "le la les un une des du de et ou mais ne pas est sont était ont sur dans par pour avec au aux ce cette qui que se il elle nous vous leur "
     "el los las una unos del y o pero no es son fue fueron con por para en al lo su sus se que como más"
 ).split()
-# What notices that a page, a script or a service is missing speak of.
-NOTICE = (
-    r"(?i)(?:\bjava ?script\b|\bjs\b|\bscript(?:s|ing)?\b|\bnoscript\b|\bbrowser\b|\bnavegador\b|\bnavigateur\b|\bcookies?\b|\bcaptcha\b|\b(?:are|is) (?:a )?(?:human|person|robot)\b|\byou are a person\b|"
-    r"\b(?:not|isn't|cannot be|could not be|can't be) found\b|\b(?:can't|cannot|could not|couldn't) (?:seem to )?(?:find|open|load|connect|reach|verify|process|display|complete|show)\b|"
-    r"\bunexpected error\b|\berror (?:id|code|occurred|has occurred)\b|^\W*error\b|\ban error\b|\binternal server\b|\bserver error\b|\bbad gateway\b|\bgateway time-?out\b|\bservice (?:is )?(?:currently |temporarily )?unavailable\b|"
-    r"\bunavailable\b|\bwent wrong\b|\bwas a problem\b|\blicen[cs]e to (?:open|view|read|see)\b|\bdeleted by\b|\byou (?:asked for|were looking for|requested|tried to open)\b|^\W*http/\d|^\W*x-request|\bno est\u00E1 disponible\b|\bnicht (?:verf\u00FCgbar|gefunden)\b|\bindisponible\b|\bm\u00E1s tarde\b|\bplus tard\b|\bsp\u00E4ter\b|\btry (?:again|once more)\b|\bcome back later\b|\baccess denied\b|\bforbidden\b|\bnot (?:allowed|authorised|authorized|permitted)\b|\bpermission\b|\bunauthori[sz]ed\b|"
-    r"\bsession (?:has )?(?:expired|timed out)\b|\bsigned out\b|\blogged out\b|\blog in again\b|\bsign in (?:again|to)\b|\blog in to\b|\btime[d-]? ?out\b|\btoo many (?:requests|clients|connections)\b|\brate limit\b|\blimit of \d+\b|\bslow down\b|"
-    r"\bmaintenance\b|\bmoved or withdrawn\b|\bwithdrawn\b|\bno longer (?:available|here|exists)\b|\bdoes not exist\b|\bdoesn't exist\b|\bpage\b.{0,40}\b(?:missing|gone|moved)\b|\bthe page you\b|\bthe document you\b|\bfailed to (?:fetch|load|connect|open|render)\b|"
-    r"\btraceback\b|\bexception\b|^\W*\w*Error: |\bat line \d+\b|^\s*file \"[^\"]+\", line \d+|\bstack trace\b|<html|<title>|<h1>|<error>|<code>|</\w+>\s*$|"
-    r"^\W*[45]\d\d\b\W*(?:$|[A-Za-z-]{2,}(?: [A-Za-z]+){0,4}\W*$)|\bloading\b.{0,40}\.\.\.|\bchecking your\b|\bnothing happens\b|\bswitch it on\b|\bstart page\b|\bhome ?page\b|\bhelp desk\b|\bthis takes \d+\b|\bincident [0-9a-f]+\b|\breference [0-9a-f]{6,}\b|\bquote this number\b|"
-    r"\bthe team has been (?:told|notified)\b|\breload\b|\brefresh (?:the|this) page\b|\bcode \d{3}\b|"
-    r"\bseite\b|\bskripte?\b|\bzugriff\b|\bangemeldet\b|\bsitzung\b|\bfehler\b|\baktivieren\b|\bserveur\b|\bactive[rz]\b|\berreur\b|\bintrouvable\b|\baccès refusé\b|\bla page\b|\bpágina\b|\bservidor\b|\bactive\b|\bacceso denegado\b|\bhabilit\w+\b|\binténtelo\b|\bréessay\w+\b|\berneut\b|\bversuchen sie\b|\bveuillez\b|\bpor favor\b)"
+# Words that notices of a missing page, script or service use and other texts seldom do.
+NOTICE_WORDS = (
+    "javascript js script scripts scripting noscript browser cookie cookies captcha forbidden permission unauthorized unauthorised unavailable timeout maintenance withdrawn traceback exception reload "
+    "seite skript skripte skripten zugriff angemeldet sitzung fehler aktivieren aktiviere erneut später verfügbar "
+    "navigateur serveur erreur introuvable indisponible veuillez activer activez réessayer réessayez "
+    "navegador página servidor inténtelo habilite habilitar active acceso"
+).split()
+# Phrases of such notices, in lower case, and the words of which each phrase has one.
+NOTICE_PHRASES = (
+    r"(?:\b(?:are|is) (?:a )?(?:human|person|robot)\b|\byou are a person\b|\b(?:not|isn't|cannot be|could not be|can't be) found\b|"
+    r"\b(?:can't|cannot|could not|couldn't) (?:seem to )?(?:find|open|load|connect|reach|verify|process|display|complete|show)\b|"
+    r"\bunexpected error\b|\berror (?:id|code|occurred|has occurred)\b|^\W*error\b|\ban error\b|\binternal server\b|\bserver error\b|\bbad gateway\b|\bgateway time-?out\b|"
+    r"\bwent wrong\b|\bwas a problem\b|\btry (?:again|once more)\b|\bcome back later\b|\baccess denied\b|\bnot (?:allowed|authori[sz]ed|permitted)\b|\blicen[cs]e to (?:open|view|read|see)\b|\bdeleted by\b|"
+    r"\byou (?:asked for|were looking for|requested|tried to open)\b|\bsession (?:has )?(?:expired|timed out)\b|\b(?:signed|logged) out\b|\blog in (?:again|to)\b|\bsign in (?:again|to)\b|\btimed out\b|\btime out\b|"
+    r"\btoo many (?:requests|clients|connections)\b|\brate limit\b|\blimit of \d+\b|\bslow down\b|\bmoved or\b|\bno longer (?:available|here|exists)\b|\bdoes(?: not|n't) exist\b|"
+    r"\bthe (?:page|document) you\b|\b(?:this|that|la) page\b|\bpage (?:not|is|was|has|requires)\b|\bpage\b.{0,40}\b(?:missing|gone|moved)\b|\bfailed to (?:fetch|load|connect|open|render)\b|\bstack trace\b|\bloading\b.{0,40}\.\.\.|\bchecking your\b|\bnothing happens\b|\bswitch it on\b|\bstart page\b|\bhome ?page\b|\bhelp desk\b|"
+    r"\bthis takes \d+\b|\bincident [0-9a-f]+\b|\breference [0-9a-f]{6,}\b|\bquote this number\b|\bthe team has been (?:told|notified)\b|\bcode \d{3}\b|"
+    r"\bnicht gefunden\b|\bversuchen sie\b|\baccès refusé\b|\bplus tard\b|\bno está disponible\b|\bmás tarde\b|\bpor favor\b)"
 )
+NOTICE_HINTS = (
+    "human person robot found can't cannot could couldn't error server gateway wrong problem again more later denied allowed authorized authorised permitted licence license deleted asked looking requested tried expired "
+    "timed out time many rate limit slow moved longer exist document failed trace loading checking happens switch start home homepage help takes incident reference quote team code log sign page gefunden versuchen refusé tard disponible tarde favor"
+).split()
+# Shapes of raw errors and bare markup.
+RAW_ERROR = r"^\W*\w*Error: |^\s*File \"[^\"]+\", line \d+|\bat line \d+\b|(?i:<html|<title>|<h1>|<error>|<code>|</\w+>\s*$)|^\W*(?i:http/\d|x-request)|^\W*[45]\d\d\b\W*(?:$|[A-Za-z-]{2,}(?: [A-Za-z]+){0,4}\W*$)"
 # Lines around a page's content.
 FURNITURE = (
     r"(?i)^\W*(?:home|menu|search|sign in|log ?in|log ?out|contact(?: us| support)?|skip to content|terms(?: of (?:use|service))?|privacy(?: policy)?|imprint|back(?: to (?:top|list|start))?|share|print|"
@@ -95,12 +109,16 @@ def segments(documents: DataFrame, row_id: str, text: str, host: str) -> DataFra
     base = documents.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("row"), F.col(host).alias("host"), F.explode(parts).alias("seg"))
     base = base.withColumn("seg", F.trim("seg")).where(F.length("seg") > 0)
     words = _words(F.col("seg"))
+    lower = F.lower("seg")
+    among = lambda fixed: F.arrays_overlap(words, F.array(*[F.lit(w) for w in sorted(set(fixed))]))
+    cue = among(NOTICE_WORDS) | (among(NOTICE_HINTS) & lower.rlike(NOTICE_PHRASES)) | F.col("seg").rlike(RAW_ERROR)
     place = F.lit(False)
     for p in PLACES:
         place = place | F.col("seg").rlike(p)
+    place = F.col("seg").rlike(MAY_BE_PLACE) & place
     about = F.col("seg").rlike(ABOUT_PLACES)
     lexical = F.filter(words, lambda w: w.rlike(r"^\p{L}"))
-    functional = F.arrays_overlap(lexical, F.array(*[F.lit(w) for w in sorted(set(FUNCTION_WORDS))]))
+    functional = among(FUNCTION_WORDS)
     spoken = F.col("seg").rlike(r"^[\p{L}\d_.-]{1,20}:\s")
     hollow = (F.size(lexical) >= 4) & ~functional & ~spoken & ~F.col("seg").rlike(r"[|<>{}\[\]_=/]")
     masked = F.regexp_replace(F.regexp_replace(F.lower("seg"), r"\b[0-9a-f]*\d[0-9a-f]*\b", "#"), r"[^\p{L}#]+", " ")
@@ -108,7 +126,7 @@ def segments(documents: DataFrame, row_id: str, text: str, host: str) -> DataFra
         "row", "host", F.size(words).alias("words"), F.xxhash64(F.trim(masked)).alias("key"),
         (place & ~about).alias("is_place"),
         (F.col("seg").rlike(FILLER) | hollow).alias("is_filler"),
-        F.col("seg").rlike(NOTICE).alias("is_cue"),
+        F.coalesce(cue, F.lit(False)).alias("is_cue"),
         (F.col("seg").rlike(FURNITURE) | F.col("seg").rlike(r"^[^.!?]*(?: \| | > )[^.!?]*$")).alias("is_furniture"),
         ((F.size(words) <= SHORT_LINE) & ~F.col("seg").rlike(r"[.!?]['\")]*$")).alias("is_short"),
     )
