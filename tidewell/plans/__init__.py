@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidewell.plans import panels
+from tidewell.plans import canonical, features, joins, panels, statistics
 
-MODULES = [panels]
+MODULES = [panels.book, canonical.book, features.book, joins.book, statistics.book]
 
 
 def queries() -> dict[str, Callable]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.queries.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    return {name: sql for m in MODULES for name, sql in m.oracles.items()}

@@ -11,6 +11,7 @@ from tidewell.operators.known_at import join_known, known_at
 from tidewell.operators.rolling import every_day, trailing
 from tidewell.operators.skyline import candidates, representatives, winners
 from tidewell.operators.spikes import flag_bars
+from tidewell.plans.base import Book
 from tidewell.session import table
 
 STATEMENT_FIELDS = (
@@ -267,3 +268,6 @@ ORACLES = {
     select field_name, symbol, strftime(wk, '%Y-%m-%d') as week_start from g
     where not exists (select 1 from n where n.field_name = g.field_name and n.symbol = g.symbol and date_trunc('week', n.t) = g.wk)""",
 }
+
+book = Book()
+book.queries, book.oracles = QUERIES, ORACLES
