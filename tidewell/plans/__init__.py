@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidewell.plans import canonical, features, joins, panels, statistics
+from tidewell.plans import canonical, features, joins, panels, statistics, streams
 
-MODULES = [panels.book, canonical.book, features.book, joins.book, statistics.book]
+MODULES = [panels.book, canonical.book, features.book, joins.book, statistics.book, streams.book]
 
 
 def queries() -> dict[str, Callable]:
