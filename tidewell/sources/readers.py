@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.sources.schemas import BAR_COLUMNS, BAR_MESSAGE
+from tidewell.sources.schemas import BAR_COLUMNS
 
 
 def to_number(c: Column | str) -> Column:
@@ -51,12 +51,13 @@ def bar_messages(lines: DataFrame, text: str = "value") -> DataFrame:
     Columns as in BAR_COLUMNS and bad, the text that could not be parsed (its other columns are null). Missing vwap and
     trade_count become 0.
     """
-    parsed = F.from_json(text, f"array<struct<{', '.join(x.strip().replace(' ', ':') for x in BAR_MESSAGE.split(','))}>>", {"mode": "PERMISSIVE"})
+    parsed = F.from_json(text, "array<map<string,string>>", {"mode": "PERMISSIVE"})
     one = lines.withColumn("_m", parsed)
     spread = one.select(F.when(F.col("_m").isNull(), F.col(text)).alias("bad"), F.explode_outer("_m").alias("m"))
-    kept = spread.where("bad is not null or m.T = 'b'")
-    cast = {"symbol": F.upper(F.trim("m.S")), "timestamp": to_time("m.t")}
-    columns = [cast.get(name, to_number(f"m.{field}")).alias(name) for field, name in BAR_COLUMNS.items()]
+    kept = spread.where("bad is not null or m['T'] = 'b'")
+    value = lambda k: F.col("m").getItem(k)
+    cast = {"symbol": F.upper(F.trim(value("S"))), "timestamp": to_time(value("t"))}
+    columns = [cast.get(name, to_number(value(field))).alias(name) for field, name in BAR_COLUMNS.items()]
     out = kept.select(*columns, "bad")
     for c in ("vwap", "trade_count"):
         out = out.withColumn(c, F.when(F.col("bad").isNull(), F.coalesce(c, F.lit(0.0))))

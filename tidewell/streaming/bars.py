@@ -41,10 +41,11 @@ def canonicalize(messages: DataFrame, table: str, log: str, bad: str, checkpoint
     return messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed(events: DataFrame, *, at: str, key: str, value: str, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Count, total, extremes and last value per window and key; rows later than late are dropped by the watermark in a stream."""
+def windowed(events: DataFrame, *, at: str, key: str, value: str, length: str = "1 hour", slide: str | None = None, late: str | None = "10 minutes") -> DataFrame:
+    """Count, total, extremes and last value per window and key; rows later than late are dropped by the watermark in a stream. late of None: events has a watermark."""
     w = F.window(at, length, slide) if slide else F.window(at, length)
-    return events.withWatermark(at, late).groupBy(w, key).agg(
+    marked = events.withWatermark(at, late) if late else events
+    return marked.groupBy(w, key).agg(
         F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"), F.min_by(value, at).alias("open"), F.max_by(value, at).alias("close")
     ).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, "n", "total", "low", "high", "open", "close")
 
