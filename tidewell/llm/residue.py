@@ -38,7 +38,7 @@ PLACES = (
 MAY_BE_PLACE = r"[\[{<%_@#?\u00AB]|XX|TBD|TODO|TBA|FIXME"
 # Words of sentences that write about placeholders or name the tools that use them.
 ABOUT_PLACES = (
-    r"(?i)\b(?:templates?|placeholders?|stands? for|replace[sd]?|variables?|substitut\w+|quoted|written as|means|denotes?|marks? (?:a|the)|syntax|macros?|escap\w+|"
+    r"(?i)\b(?:templates?|placeholders?|stands? for|replace[sd]?|variables?|substitut\w+|quoted|written as|denotes?|marks? (?:a|the)|syntax|macros?|escap\w+|"
     r"environment|set the paths?|must exist|we use|the rule|notation|convention|steht für|platzhalter|vorlage|variable|remplac\w+|modèle|plantilla|reemplaz\w+|sustitu\w+)\b"
 )
 # Phrases of filler copy.
@@ -66,7 +66,7 @@ NOTICE_PHRASES = (
     r"(?:\b(?:are|is) (?:a )?(?:human|person|robot)\b|\byou are a person\b|\b(?:not|isn't|cannot be|could not be|can't be) found\b|"
     r"\b(?:can't|cannot|could not|couldn't) (?:seem to )?(?:find|open|load|connect|reach|verify|process|display|complete|show)\b|"
     r"\bunexpected error\b|\berror (?:id|code|occurred|has occurred)\b|^\W*error\b|\ban error\b|\binternal server\b|\bserver error\b|\bbad gateway\b|\bgateway time-?out\b|"
-    r"\bwent wrong\b|\bwas a problem\b|\btry (?:again|once more)\b|\bcome back later\b|\baccess denied\b|\bnot (?:allowed|authori[sz]ed|permitted)\b|\blicen[cs]e to (?:open|view|read|see)\b|\bdeleted by\b|"
+    r"\bwent wrong\b|\bwas a problem\b|\bdid not (?:answer|respond)\b|\btry (?:again|once more)\b|\bcome back later\b|\baccess denied\b|\bnot (?:allowed|authori[sz]ed|permitted)\b|\blicen[cs]e to (?:open|view|read|see)\b|\bdeleted by\b|"
     r"\byou (?:asked for|were looking for|requested|tried to open)\b|\bsession (?:has )?(?:expired|timed out)\b|\b(?:signed|logged) out\b|\blog in (?:again|to)\b|\bsign in (?:again|to)\b|\btimed out\b|\btime out\b|"
     r"\btoo many (?:requests|clients|connections)\b|\brate limit\b|\blimit of \d+\b|\bslow down\b|\bmoved or\b|\bno longer (?:available|here|exists)\b|\bdoes(?: not|n't) exist\b|"
     r"\bthe (?:page|document) you\b|\b(?:this|that|la) page\b|\bpage (?:not|is|was|has|requires)\b|\bpage\b.{0,40}\b(?:missing|gone|moved)\b|\bfailed to (?:fetch|load|connect|open|render)\b|\bstack trace\b|\bloading\b.{0,40}\.\.\.|\bchecking your\b|\bnothing happens\b|\bswitch it on\b|\bstart page\b|\bhome ?page\b|\bhelp desk\b|"
@@ -74,7 +74,7 @@ NOTICE_PHRASES = (
     r"\bnicht gefunden\b|\bversuchen sie\b|\baccès refusé\b|\bplus tard\b|\bno está disponible\b|\bmás tarde\b|\bpor favor\b)"
 )
 NOTICE_HINTS = (
-    "human person robot found can't cannot could couldn't error server gateway wrong problem again more later denied allowed authorized authorised permitted licence license deleted asked looking requested tried expired "
+    "human person robot found can't cannot could couldn't error server gateway wrong problem again more later denied allowed authorized authorised permitted licence license deleted asked looking requested tried expired answer respond "
     "timed out time many rate limit slow moved longer exist document failed trace loading checking happens switch start home homepage help takes incident reference quote team code log sign page gefunden versuchen refusé tard disponible tarde favor"
 ).split()
 # Shapes of raw errors and bare markup.
