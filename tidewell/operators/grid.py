@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import day_number, week_number
-from tidewell.operators.skew import whole_groups
+from tidewell.operators.skew import spread, whole_groups
 
 WINDOW = 26
 RANK = 3
@@ -107,7 +107,7 @@ def weekly_grid(readings: DataFrame, *, by: list[str], at: str, value: str, long
             out["value"], out["readings"], out["filled"] = series, readings_, readings_ == 0
             yield out
 
-    return runs.repartition(*by, "run").sortWithinPartitions(*by, "run", "week").mapInPandas(fill, schema)
+    return spread(runs, *by, "run").sortWithinPartitions(*by, "run", "week").mapInPandas(fill, schema)
 
 
 def usable(field: Column, at_least: float | None = None, below_size: float | None = None, but: float | None = None) -> Column:

@@ -36,6 +36,13 @@ def join_salted(left: DataFrame, right: DataFrame, on: list[str], key: str, spre
     return lefts.join(rights, [*on, salt], how).drop(salt)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df hash-partitioned by columns into a number of tasks that stays: small partitions aren't merged, as what follows is more work than its bytes tell."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *columns)
+
+
 def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:
     """Frames of about rows rows that never divide a group; the input must be sorted by keys."""
     held: list[pd.DataFrame] = []
