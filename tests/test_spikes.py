@@ -72,6 +72,13 @@ def test_volume_that_mounts_during_a_day_is_fine(spark):
     assert not any(r["flagged"] for r in flags(spark, rows + more).values())
 
 
+def test_a_price_at_which_the_next_bar_opens_is_real(spark):
+    rows = series("A", 100, 0, 6)
+    for r, at, factor in ((rows[40], 4, 1.0), (rows[40], 7, 1.3), (rows[40], 5, 1.31), (rows[41], 4, 1.3), (rows[41], 5, 1.31), (rows[70], 7, 1.3), (rows[70], 5, 1.31)):
+        r[at] *= factor
+    assert {k for k, r in flags(spark, rows).items() if r["flagged"]} == {70}
+
+
 def test_nulls_short_series_and_empty(spark):
     odd = [[1, None, T0, None, 1.0, 1.0, 1.0, 1.0, 1, "", "", ""], [2, "A", None, None, 1.0, 1.0, 1.0, -1.0, 1, "", "", ""], [3, "A", T0, None, None, None, None, None, None, "", "", ""], [4, "B", T0, None, float("nan"), 2.0, 1.0, 1.5, 0, "", "", ""]]
     assert {k for k, r in flags(spark, odd).items() if r["flagged"]} == {2}

@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import day_number
-from tidewell.operators.skew import hot_keys, join_salted, whole_groups
+from tidewell.operators.skew import hot_keys, join_salted, spread, whole_groups
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 FIELDS = ("close", "high", "volume")
 #: Spread (of the log) that a source is assumed to have until its own bars say otherwise, and the bars this is worth.
 PRIOR_SPREAD = {"close": 0.02, "high": 0.02, "volume": 0.5}
 PRIOR_BARS = 8
+#: Weight and width (in spreads) of the wide part of a normal reading: trading comes in bursts, prices don't.
+WIDE = {"volume": (0.01, 1.7)}
+#: How much a volume below its neighbours counts: thin days are normal.
+THIN = 0.5
 #: Density of a bad reading: even over this range of the log.
 BAD_RANGE = 16.0
 #: Chance of equal bars on two days for a live source and for one that stands still.
@@ -40,6 +44,20 @@ def lone(x: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(up + down), np.nan, np.where(np.sign(up) == np.sign(down), np.sign(up) * np.minimum(np.abs(up), np.abs(down)), 0.0))
 
 
+def deviations(x: dict, before: dict, after: dict) -> np.ndarray:
+    """(places, fields): how far each field is beyond its neighbours on its own. x has open, close, high and volume (logs), after has open as well.
+
+    A close at which the next bar opens is a real price, so it deviates no more than it differs from that open. A high
+    deviates only by what it rises above its own bar's open and close. Unknown opens leave the deviation as it is.
+    """
+    close, high, volume = (lone(x[c], before[c], after[c]) for c in FIELDS)
+    gap = np.abs(x["close"] - after["open"])
+    close = np.where(np.isnan(gap), close, np.sign(close) * np.minimum(np.abs(close), gap))
+    body = np.fmax(x["open"], x["close"])
+    high = np.where(np.isnan(body), high, np.minimum(np.maximum(high, 0.0), np.maximum(x["high"] - body, 0.0)))
+    return np.column_stack([close, high, np.where(volume < 0, THIN * volume, volume)])
+
+
 def neighbours(x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The last value before and the first after each place that isn't nan, within its group."""
     n = len(x)
@@ -58,7 +76,13 @@ def neighbours(x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def emissions(residuals: np.ndarray, spreads: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Log density of each state for each place: residuals and spreads are (places, fields), nan residuals say nothing."""
     seen = ~np.isnan(residuals)
-    plain = np.where(seen, log_normal(np.where(seen, residuals, 0.0), spreads), 0.0)
+    known = np.where(seen, residuals, 0.0)
+    plain = np.where(seen, log_normal(known, spreads), 0.0)
+    for i, c in enumerate(FIELDS):
+        if c in WIDE:
+            weight, width = WIDE[c]
+            wide = log_normal(known[:, i], width * spreads[:, i])
+            plain[:, i] = np.where(seen[:, i], np.logaddexp(np.log1p(-weight) + plain[:, i], np.log(weight) + wide), 0.0)
     bad = np.where(seen, -np.log(BAD_RANGE), 0.0)
     either = np.where(seen, np.logaddexp(plain, bad) - np.log(2), 0.0)
     total = either.sum(axis=1, keepdims=True)
@@ -135,12 +159,13 @@ def _run_lengths(keys: list[np.ndarray], group: np.ndarray) -> list[np.ndarray]:
 def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
     """What the other days of its source say of each (source, day): f is sorted by them and holds whole sources.
 
-    Columns in: source, day, close, high, volume (logs of the day's newest plausible reading, nan for none), first_key,
+    Columns in: source, day, close, high, volume, open (logs of the day's newest plausible reading, nan for none), first_key,
     last_key (of the bar delivered first and last, 0 for none), all_bad (no plausible row).
     """
     group = f.groupby("source", sort=False).ngroup().to_numpy()
     n = len(f)
-    values = {c: f[c].to_numpy(float) for c in FIELDS}
+    values = {c: f[c].to_numpy(float) for c in (*FIELDS, "open")}
+    next_open = neighbours(values["open"], group)[1]
     spreads = np.column_stack([spread_of(values[c], group, PRIOR_SPREAD[c])[group] for c in FIELDS])
     keys = [f["first_key"].to_numpy(np.int64), f["last_key"].to_numpy(np.int64)]
     linked = np.r_[False, group[1:] == group[:-1]]
@@ -158,7 +183,7 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
     clean = {c: v.copy() for c, v in values.items()}
     for round_ in range(LEARN_ROUNDS):
         near = {c: neighbours(clean[c], group) for c in FIELDS}
-        residuals = np.column_stack([lone(values[c], *near[c]) for c in FIELDS])
+        residuals = deviations(values, {c: near[c][0] for c in FIELDS}, {c: near[c][1] for c in FIELDS} | {"open": next_open})
         logs = emissions(residuals, spreads, same)
         logs[:, OUT] = out_logs
         logs[f["all_bad"].to_numpy(bool), :OUT] = -np.inf
@@ -185,6 +210,7 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
         out[f"w_{name}"] = np.exp(weight[:, s] - top)
     for i, c in enumerate(FIELDS):
         out[f"before_{c}"], out[f"after_{c}"], out[f"spread_{c}"] = near[c][0], near[c][1], spreads[:, i]
+    out["after_open"] = next_open
     out["run_first"], out["run_last"] = runs
     out["near_first"], out["near_last"] = keys
     return pd.DataFrame(out)
@@ -194,6 +220,7 @@ CONTEXT = T.StructType(
     [T.StructField("source", T.StringType()), T.StructField("day", T.IntegerType())]
     + [T.StructField(f"w_{s}", T.DoubleType()) for s in ("normal", "spike", "stuck", "out")]
     + [T.StructField(f"{p}_{c}", T.DoubleType()) for c in FIELDS for p in ("before", "after", "spread")]
+    + [T.StructField("after_open", T.DoubleType())]
     + [T.StructField(c, T.LongType()) for c in ("run_first", "run_last", "near_first", "near_last")]
 )
 
@@ -234,7 +261,7 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
         rows.where("source is not null and day is not null")
         .groupBy("source", "day")
         .agg(
-            *[F.max(fine(c)).getField("v").alias(c) for c in FIELDS],
+            *[F.max(fine(c)).getField("v").alias(c) for c in (*FIELDS, "open")],
             F.min(F.struct(order.alias("o"), F.col("key"))).getField("key").alias("first_key"),
             F.max(F.struct(order.alias("o"), F.col("key"))).getField("key").alias("last_key"),
             F.max(F.struct(order.alias("o"))).getField("o").getField("row").alias("newest"),
@@ -247,8 +274,8 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
         for f in whole_groups(frames, ["source"], BATCH_ROWS):
             yield day_contexts(f)
 
-    series = daily.select("source", "day", *FIELDS, "first_key", "last_key", "all_bad")
-    contexts = series.repartition("source").sortWithinPartitions("source", "day").mapInPandas(learn, CONTEXT)
+    series = daily.select("source", "day", *FIELDS, "open", "first_key", "last_key", "all_bad")
+    contexts = spread(series, "source").sortWithinPartitions("source", "day").mapInPandas(learn, CONTEXT)
     contexts = contexts.join(daily.select("source", "day", "newest"), ["source", "day"])
     joined = join_salted(rows, contexts, ["source", "day"], "source", "row", hot_keys(rows, "source"), how="left")
     return _judge(joined, longest_live_run).select(F.col("row").alias(row_id), "p_spike", "p_stuck", "is_spike", "is_stuck", "is_impossible", "flagged")
@@ -259,14 +286,13 @@ PAIR = T.StructType([T.StructField("p_spike", T.DoubleType()), T.StructField("p_
 
 @F.pandas_udf(PAIR)
 def posterior(
-    close: pd.Series, high: pd.Series, volume: pd.Series, before_close: pd.Series, before_high: pd.Series, before_volume: pd.Series,
-    after_close: pd.Series, after_high: pd.Series, after_volume: pd.Series, spread_close: pd.Series, spread_high: pd.Series, spread_volume: pd.Series,
+    close: pd.Series, high: pd.Series, volume: pd.Series, open_: pd.Series, before_close: pd.Series, before_high: pd.Series, before_volume: pd.Series,
+    after_close: pd.Series, after_high: pd.Series, after_volume: pd.Series, after_open: pd.Series, spread_close: pd.Series, spread_high: pd.Series, spread_volume: pd.Series,
     w_normal: pd.Series, w_spike: pd.Series, w_stuck: pd.Series, run: pd.Series, mounting: pd.Series,
 ) -> pd.DataFrame:
     """A row's posterior from its own values (logs) and what the other days say; nan where its day has no context."""
-    values = (close, high, volume)
-    before, after = (before_close, before_high, before_volume), (after_close, after_high, after_volume)
-    residuals = np.column_stack([lone(x.to_numpy(float), b.to_numpy(float), a.to_numpy(float)) for x, b, a in zip(values, before, after)])
+    named = lambda *columns: {c: x.to_numpy(float) for c, x in zip((*FIELDS, "open"), columns)}
+    residuals = deviations(named(close, high, volume, open_), named(before_close, before_high, before_volume), named(after_close, after_high, after_volume, after_open))
     below = mounting.to_numpy(bool) & (residuals[:, 2] < 0)
     residuals[below, 2] = 0.0
     spreads = np.column_stack([x.to_numpy(float) for x in (spread_close, spread_high, spread_volume)])
@@ -281,9 +307,9 @@ def _judge(joined: DataFrame, longest_live_run: int) -> DataFrame:
     log = lambda c: F.when(F.col(c) > 0, F.log(F.col(c))).when(F.col(c) == 0, F.lit(0.0))
     run = F.greatest(F.when(F.col("key") == F.col("near_first"), F.col("run_first")).otherwise(0), F.when(F.col("key") == F.col("near_last"), F.col("run_last")).otherwise(0))
     mounting = F.coalesce(F.col("row") != F.col("newest"), F.lit(False))
-    near = [F.col(f"{p}_{c}") for p in ("before", "after", "spread") for c in FIELDS]
+    near = [F.col(f"{p}_{c}") for p, fields in (("before", FIELDS), ("after", (*FIELDS, "open")), ("spread", FIELDS)) for c in fields]
     judged = joined.withColumn("run", F.when(F.col("key") != 0, F.coalesce(run, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))).withColumn(
-        "p", posterior(*[log(c) for c in FIELDS], *near, "w_normal", "w_spike", "w_stuck", "run", mounting)
+        "p", posterior(*[log(c) for c in (*FIELDS, "open")], *near, "w_normal", "w_spike", "w_stuck", "run", mounting)
     )
     share = lambda c: F.when(F.col("is_impossible") | F.col(c).isNull() | F.isnan(c), F.lit(0.0)).otherwise(F.col(c))
     return (
