@@ -9,12 +9,12 @@ from tidewell.llm.mixing import mix, rates, shares
 from tidewell.llm.packing import pack
 from tidewell.llm.residue import flag_residue
 from tidewell.llm.tokens import with_tokens
-from tidewell.session import cut, table
+from tidewell.session import cut, table, widen
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's source and tokens, counted once and kept: two short columns and the id."""
-    return cut(with_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]))
+    return cut(with_tokens(widen(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), "doc_id", "text", ["source"]))
 
 
 def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its marks."""
-    return flag_residue(table(spark, sf_dir, "documents"), row_id="doc_id", text="text", host="source")
+    return flag_residue(widen(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), row_id="doc_id", text="text", host="source")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
