@@ -160,7 +160,7 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
     """What the other days of its source say of each (source, day): f is sorted by them and holds whole sources.
 
     Columns in: source, day, close, high, volume, open (logs of the day's newest plausible reading, nan for none), first_key,
-    last_key (of the bar delivered first and last, 0 for none), all_bad (no plausible row).
+    last_key (of the bar delivered first and last, 0 for none), newest (passed on), all_bad (no plausible row).
     """
     group = f.groupby("source", sort=False).ngroup().to_numpy()
     n = len(f)
@@ -205,7 +205,7 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
     near = {c: neighbours(clean[c], group) for c in FIELDS}
     runs = _run_lengths(keys, group)
     top = weight[:, :OUT].max(axis=1)
-    out = {"source": f["source"], "day": f["day"]}
+    out = {"source": f["source"], "day": f["day"], "newest": f["newest"]}
     for s, name in enumerate(("normal", "spike", "stuck", "out")):
         out[f"w_{name}"] = np.exp(weight[:, s] - top)
     for i, c in enumerate(FIELDS):
@@ -217,7 +217,7 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
 
 
 CONTEXT = T.StructType(
-    [T.StructField("source", T.StringType()), T.StructField("day", T.IntegerType())]
+    [T.StructField("source", T.StringType()), T.StructField("day", T.IntegerType()), T.StructField("newest", T.LongType())]
     + [T.StructField(f"w_{s}", T.DoubleType()) for s in ("normal", "spike", "stuck", "out")]
     + [T.StructField(f"{p}_{c}", T.DoubleType()) for c in FIELDS for p in ("before", "after", "spread")]
     + [T.StructField("after_open", T.DoubleType())]
@@ -248,7 +248,7 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
     """
     num = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     rows = bars.select(
-        F.col(row_id).alias("row"), F.col(source).alias("source"), day_number(at).alias("day"), F.col(ingested).alias("ing"),
+        F.col(row_id).cast("long").alias("row"), F.col(source).alias("source"), day_number(at).alias("day"), F.col(ingested).alias("ing"),
         *[num(c).alias(c) for c in ("open", "high", "low", "close", "volume")],
     )
     whole = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
@@ -266,7 +266,6 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
             F.max(F.struct(order.alias("o"), F.col("key"))).getField("key").alias("last_key"),
             F.max(F.struct(order.alias("o"))).getField("o").getField("row").alias("newest"),
             F.min(F.col("is_impossible")).alias("all_bad"),
-            F.max(F.when(~F.col("is_impossible"), F.col("volume"))).alias("most_volume"),
         )
     )
 
@@ -274,10 +273,9 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
         for f in whole_groups(frames, ["source"], BATCH_ROWS):
             yield day_contexts(f)
 
-    series = daily.select("source", "day", *FIELDS, "open", "first_key", "last_key", "all_bad")
+    series = daily.select("source", "day", *FIELDS, "open", "first_key", "last_key", "newest", "all_bad")
     contexts = spread(series, "source").sortWithinPartitions("source", "day").mapInPandas(learn, CONTEXT)
-    contexts = contexts.join(daily.select("source", "day", "newest"), ["source", "day"])
-    joined = join_salted(rows, contexts, ["source", "day"], "source", "row", hot_keys(rows, "source"), how="left")
+    joined = join_salted(rows.drop("ing"), contexts, ["source", "day"], "source", "row", hot_keys(rows, "source"), how="left")
     return _judge(joined, longest_live_run).select(F.col("row").alias(row_id), "p_spike", "p_stuck", "is_spike", "is_stuck", "is_impossible", "flagged")
 
 
