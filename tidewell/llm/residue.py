@@ -44,8 +44,10 @@ ABOUT_PLACES = (
 # Phrases of filler copy.
 FILLER = (
     r"(?i)(?:\b(?:dummy|sample|placeholder|filler) (?:copy|text|paragraphs?|content|headline)\b|\bbody copy for\b|\bdescription of item\b|^\W*item \d+\W*$|^\W*heading (?:one|two|three|four|five|six|\d+)\W*$|"
-    r"\btext to follow\b|\b(?:summary|text|title|analysis|content|heading|body|copy|name) goes here\b|^\W*(?:write|add|enter|insert|type|paste|put) (?:the|your|a) .{0,60}(?:\bhere\b|\bin this (?:box|field|space)\b)|^\W*(?:tbd|tba|todo|xxx+|n/a)(?:\W+(?:tbd|tba|todo|xxx+|n/a))*\W*$|\bcopy to come\b|\bcontent to come\b|\bcoming soon\b|\bholds the place of\b|\bfor layout only\b|\breplace before release\b|\blorem ipsum\b|\bblindtext\b|\btexte (?:de remplissage|à venir)\b|\btexto de relleno\b|\btext folgt\b)"
+    r"\btext to follow\b|\b(?:summary|text|title|analysis|content|heading|body|copy|name) goes here\b|^\W*(?:write|add|enter|insert|type|paste|put) (?:the|your|a) .{0,60}(?:\bhere\b|\bin this (?:box|field|space)\b)|^\W*(?:tbd|tba|todo|xxx+|n/a)(?:\W+(?:tbd|tba|todo|xxx+|n/a))*\W*$|\bcopy to come\b|\bcontent to come\b|\bcoming soon\b|\bholds the place of\b|\bfor layout only\b|\breplace before release\b|\blorem ipsum\b|\bblindtext\b|\btexte (?:de remplissage|provisoire|à venir)\b|\btexto de relleno\b|\btext folgt\b)"
 )
+# Words of which every phrase of FILLER has one.
+FILLER_HINTS = "copy text paragraph paragraphs content headline body item heading come coming place layout release lorem blindtext texte texto here box field space tbd tba todo n provisoire".split()
 # Frequent words of English, German, French and Spanish; hardly a proper sentence has none.
 FUNCTION_WORDS = (
     "the of and to in a an is was were are be been by for from with on at as that this it its or but not no has have had will would can may could than then when which who we you they he she i our your their there "
@@ -61,22 +63,24 @@ NOTICE_WORDS = (
     "navigateur serveur erreur introuvable indisponible veuillez activer activez réessayer réessayez "
     "navegador página servidor inténtelo habilite habilitar active acceso"
 ).split()
-# Phrases of such notices, in lower case, and the words of which each phrase has one.
+# Phrases of such notices, in lower case, as words with single blanks.
 NOTICE_PHRASES = (
-    r"(?:\b(?:are|is) (?:a )?(?:human|person|robot)\b|\byou are a person\b|\b(?:not|isn't|cannot be|could not be|can't be) found\b|"
-    r"\b(?:can't|cannot|could not|couldn't) (?:seem to )?(?:find|open|load|connect|reach|verify|process|display|complete|show)\b|"
-    r"\bunexpected error\b|\berror (?:id|code|occurred|has occurred)\b|^\W*error\b|\ban error\b|\binternal server\b|\bserver error\b|\bbad gateway\b|\bgateway time-?out\b|"
-    r"\bwent wrong\b|\bwas a problem\b|\bdid not (?:answer|respond)\b|\btry (?:again|once more)\b|\bcome back later\b|\baccess denied\b|\bnot (?:allowed|authori[sz]ed|permitted)\b|\blicen[cs]e to (?:open|view|read|see)\b|\bdeleted by\b|"
-    r"\byou (?:asked for|were looking for|requested|tried to open)\b|\bsession (?:has )?(?:expired|timed out)\b|\b(?:signed|logged) out\b|\blog in (?:again|to)\b|\bsign in (?:again|to)\b|\btimed out\b|\btime out\b|"
-    r"\btoo many (?:requests|clients|connections)\b|\brate limit\b|\blimit of \d+\b|\bslow down\b|\bmoved or\b|\bno longer (?:available|here|exists)\b|\bdoes(?: not|n't) exist\b|"
-    r"\bthe (?:page|document) you\b|\b(?:this|that|la) page\b|\bpage (?:not|is|was|has|requires)\b|\bpage\b.{0,40}\b(?:missing|gone|moved)\b|\bfailed to (?:fetch|load|connect|open|render)\b|\bstack trace\b|\bloading\b.{0,40}\.\.\.|\bchecking your\b|\bnothing happens\b|\bswitch it on\b|\bstart page\b|\bhome ?page\b|\bhelp desk\b|"
-    r"\bthis takes \d+\b|\bincident [0-9a-f]+\b|\breference [0-9a-f]{6,}\b|\bquote this number\b|\bthe team has been (?:told|notified)\b|\bcode \d{3}\b|"
-    r"\bnicht gefunden\b|\bversuchen sie\b|\baccès refusé\b|\bplus tard\b|\bno está disponible\b|\bmás tarde\b|\bpor favor\b)"
+    "are human", "are a human", "are a person", "are a robot", "is a robot", "is a human", "is a person", "are robot", "not found", "isn't found", "cannot be found", "could not be found", "can't be found",
+    "unexpected error", "error id", "error code", "error occurred", "error has occurred", "an error", "internal server", "server error", "bad gateway", "gateway timeout", "gateway time out",
+    "went wrong", "was a problem", "did not answer", "did not respond", "try again", "try once more", "come back later", "access denied", "not allowed", "not authorised", "not authorized", "not permitted",
+    "licence to open", "licence to view", "licence to read", "licence to see", "license to open", "license to view", "license to read", "license to see", "deleted by",
+    "you asked for", "you were looking for", "you requested", "you tried to open", "session expired", "session has expired", "session timed out", "session has timed out", "signed out", "logged out", "log in again", "log in to", "sign in again", "sign in to",
+    "timed out", "time out", "too many requests", "too many clients", "too many connections", "rate limit", "slow down", "moved or", "no longer available", "no longer here", "no longer exists", "does not exist", "doesn't exist",
+    "the page you", "the document you", "this page", "that page", "la page", "failed to fetch", "failed to load", "failed to connect", "failed to open", "failed to render", "stack trace", "checking your", "nothing happens", "switch it on",
+    "start page", "home page", "homepage", "help desk", "quote this number", "the team has been told", "the team has been notified", "nicht gefunden", "versuchen sie", "acc\u00E8s refus\u00E9", "plus tard", "no est\u00E1 disponible", "m\u00E1s tarde", "por favor",
+)
+# Patterns of such notices, each with the words of which one must be there.
+NOTICE_PATTERNS = (
+    ("can't cannot could couldn't", r"\b(?:can't|cannot|could not|couldn't) (?:seem to )?(?:find|open|load|connect|reach|verify|process|display|complete|show)\b"),
+    ("limit code incident reference takes loading", r"\blimit of \d+\b|\bcode \d{3}\b|\bincident [0-9a-f]+\b|\breference [0-9a-f]{6,}\b|\bthis takes \d+\b|\bloading\b.{0,40}\.\.\."),
+    ("page", r"\bpage (?:not|is|was|has|requires)\b|\bpage\b.{0,40}\b(?:missing|gone|moved)\b"),
+    ("error", r"^\W*error\b"),
 )
-NOTICE_HINTS = (
-    "human person robot found can't cannot could couldn't error server gateway wrong problem again more later denied allowed authorized authorised permitted licence license deleted asked looking requested tried expired answer respond "
-    "timed out time many rate limit slow moved longer exist document failed trace loading checking happens switch start home homepage help takes incident reference quote team code log sign page gefunden versuchen refusé tard disponible tarde favor"
-).split()
 # Shapes of raw errors and bare markup.
 RAW_ERROR = r"^\W*\w*Error: |^\s*File \"[^\"]+\", line \d+|\bat line \d+\b|(?i:<html|<title>|<h1>|<error>|<code>|</\w+>\s*$)|^\W*(?i:http/\d|x-request)|^\W*[45]\d\d\b\W*(?:$|[A-Za-z-]{2,}(?: [A-Za-z]+){0,4}\W*$)"
 # Lines around a page's content.
@@ -108,24 +112,30 @@ def segments(documents: DataFrame, row_id: str, text: str, host: str) -> DataFra
     parts = F.split(flat, r"[\r\n]+|(?<=[.!?])['\")\]]*\s+(?=[\p{L}\p{N}<\[({$'\"%_])")
     base = documents.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("row"), F.col(host).alias("host"), F.explode(parts).alias("seg"))
     base = base.withColumn("seg", F.trim("seg")).where(F.length("seg") > 0)
-    words = _words(F.col("seg"))
-    lower = F.lower("seg")
+    # Words are worked out once, in a projection of their own.
+    base = base.withColumn("w", _words(F.col("seg"))).withColumn("told", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
+    words = F.col("w")
     among = lambda fixed: F.arrays_overlap(words, F.array(*[F.lit(w) for w in sorted(set(fixed))]))
-    cue = among(NOTICE_WORDS) | (among(NOTICE_HINTS) & lower.rlike(NOTICE_PHRASES)) | F.col("seg").rlike(RAW_ERROR)
+    # A phrase is looked for only where its longest word is.
+    phrases = F.array(*[F.lit(f" {p} ") for p in NOTICE_PHRASES])
+    said = among([max(p.split(), key=len) for p in NOTICE_PHRASES]) & F.exists(phrases, lambda p: F.contains(F.col("told"), p))
+    cue = among(NOTICE_WORDS) | said | F.col("seg").rlike(RAW_ERROR)
+    for hints, pattern in NOTICE_PATTERNS:
+        cue = cue | (among(hints.split()) & F.lower("seg").rlike(pattern))
+    filler = (among(FILLER_HINTS) | F.col("seg").rlike(r"(?i)\bx{3,}")) & F.col("seg").rlike(FILLER)
     place = F.lit(False)
     for p in PLACES:
         place = place | F.col("seg").rlike(p)
     place = F.col("seg").rlike(MAY_BE_PLACE) & place
     about = F.col("seg").rlike(ABOUT_PLACES)
-    lexical = F.filter(words, lambda w: w.rlike(r"^\p{L}"))
-    functional = among(FUNCTION_WORDS)
     spoken = F.col("seg").rlike(r"^[\p{L}\d_.-]{1,20}:\s")
-    hollow = (F.size(lexical) >= 4) & ~functional & ~spoken & ~F.col("seg").rlike(r"[|<>{}\[\]_=/]")
+    lexical = F.filter(words, lambda w: w.rlike(r"^\p{L}"))
+    hollow = ~among(FUNCTION_WORDS) & ~spoken & ~F.col("seg").rlike(r"[|<>{}\[\]_=/]") & (F.size(lexical) >= 4)
     masked = F.regexp_replace(F.regexp_replace(F.lower("seg"), r"\b[0-9a-f]*\d[0-9a-f]*\b", "#"), r"[^\p{L}#]+", " ")
     marked = base.select(
         "row", "host", F.size(words).alias("words"), F.xxhash64(F.trim(masked)).alias("key"),
         (place & ~about).alias("is_place"),
-        (F.col("seg").rlike(FILLER) | hollow).alias("is_filler"),
+        F.coalesce(filler | hollow, F.lit(False)).alias("is_filler"),
         F.coalesce(cue, F.lit(False)).alias("is_cue"),
         (F.col("seg").rlike(FURNITURE) | F.col("seg").rlike(r"^[^.!?]*(?: \| | > )[^.!?]*$")).alias("is_furniture"),
         ((F.size(words) <= SHORT_LINE) & ~F.col("seg").rlike(r"[.!?]['\")]*$")).alias("is_short"),
