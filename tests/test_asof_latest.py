@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import evaluation as ev
 from tidewell.operators.asof import asof, asof_nearest
 from tidewell.operators.latest import compare, latest, preserving, row_hash, set_hash, upsert
-from tidewell.operators.series import percent_rank_average, rolling, winsorize, z_score
+from tidewell.operators.series import correlation, percent_rank_average, rolling, rolling_correlation, winsorize, z_score
 
 T0 = datetime(2024, 1, 1)
 LEFT, RIGHT = "k string, t timestamp, i long", "k string, rt timestamp, id long, v double"
@@ -88,6 +88,14 @@ def test_full_windows_only(spark):
     assert [r[0] for r in df.select(rolling(F.avg("x"), w, 3, "x")).collect()] == [None, None, 1.0, None, None, None, 5.0, 6.0]
 
 
+def test_correlation_of_flat_and_partial_series(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, 2.0), ("a", 2, 2.0, 4.0), ("a", 3, 3.0, None), ("a", 4, 4.0, 9.0), ("flat", 1, 1.0, 2.0), ("flat", 2, 1.0, 3.0), ("one", 1, 1.0, 1.0)], "k string, t long, x double, y double")
+    out = {r["k"]: r["c"] for r in df.groupBy("k").agg(correlation("x", "y").alias("c")).collect()}
+    assert abs(out["a"] - np.corrcoef([1, 2, 4], [2, 4, 9])[0, 1]) < 1e-12 and out["flat"] is None and out["one"] is None
+    rolled = [r[0] for r in df.where("k = 'flat'").select(rolling_correlation("x", "y", Window.partitionBy("k").orderBy("t"), 2)).collect()]
+    assert rolled == [None, None]
+
+
 def test_performance_and_least_squares(spark):
     r = [("p", i, x) for i, x in enumerate([0.1, -0.05, 0.02, -0.1, 0.2])]
     row = ev.performance(spark.createDataFrame(r, "p string, t long, r double"), by=["p"], order="t", ret="r").first()
@@ -102,6 +110,10 @@ def test_performance_and_least_squares(spark):
     want, *_ = np.linalg.lstsq(np.column_stack([np.ones(200), x]), y, rcond=None)
     np.testing.assert_allclose([out["g"]["beta_intercept"], out["g"]["beta_x1"], out["g"]["beta_x2"]], want, rtol=1e-6)
     assert out["few"]["beta_x1"] is None and out["g"]["r2"] > 0.99
+    centred = x - x.mean(axis=0)
+    slopes = np.linalg.solve(centred.T @ centred + 50 * np.eye(2), centred.T @ (y - y.mean()))
+    row = ev.least_squares(df, by=["g"], y="y", xs=["x1", "x2"], ridge=50.0).where("g = 'g'").first()
+    np.testing.assert_allclose([row["beta_x1"], row["beta_x2"]], slopes, rtol=1e-6)
 
 
 def test_positions_fold(spark):

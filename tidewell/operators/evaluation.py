@@ -26,9 +26,10 @@ def performance(df: DataFrame, *, by: list[str], order: str, ret: str) -> DataFr
     )
 
 
-def least_squares(df: DataFrame, *, by: list[str], y: str, xs: list[str]) -> DataFrame:
+def least_squares(df: DataFrame, *, by: list[str], y: str, xs: list[str], ridge: float = 0.0) -> DataFrame:
     """Per group intercept and slopes of y on xs, their t-values, r2 and n; null where the system is singular or n is too small.
 
+    ridge is added to the sums of squares of the slopes, not to the intercept's; t-values are then only indicative.
     Only sums of products are shuffled: (k + 2) squared numbers per group, whatever its rows.
     """
     terms = [F.lit(1.0), *[F.col(x) for x in xs], F.col(y)]
@@ -44,12 +45,12 @@ def least_squares(df: DataFrame, *, by: list[str], y: str, xs: list[str]) -> Dat
             rows = []
             for r in f.to_dict("records"):
                 m = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], float)
-                a, b, yy, n = m[:k, :k], m[:k, k], m[k, k], int(r["n"])
+                a, b, yy, n = m[:k, :k] + ridge * np.diag([0.0] + [1.0] * (k - 1)), m[:k, k], m[k, k], int(r["n"])
                 out = {c: r[c] for c in [*by, "n"]}
                 if n > k and np.linalg.matrix_rank(a) == k:
                     inverse = np.linalg.inv(a)
                     beta = inverse @ b
-                    rest = max(yy - beta @ b, 0.0)
+                    rest = max(yy - 2 * beta @ b + beta @ m[:k, :k] @ beta, 0.0)
                     total = yy - m[0, k] ** 2 / n
                     errors = np.sqrt(np.maximum(np.diag(inverse) * rest / (n - k), 0.0))
                     for i, c in enumerate(names):

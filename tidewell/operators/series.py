@@ -12,6 +12,23 @@ def rolling(expression: Column, over: WindowSpec, n: int, counted: Column | str,
     return F.when(F.count(counted).over(w) >= (n if least is None else least), expression.over(w))
 
 
+def correlation(x: str, y: str, over: WindowSpec | None = None) -> Column:
+    """Pearson's correlation of the rows that have both, as an aggregate or over a window; null where either doesn't vary.
+
+    The built-in aggregate fails on a series without variance under ANSI rules.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    made = lambda e: e if over is None else e.over(over)
+    return F.try_divide(made(F.covar_pop(a, b)), made(F.stddev_pop(a)) * made(F.stddev_pop(b)))
+
+
+def rolling_correlation(x: str, y: str, over: WindowSpec, n: int) -> Column:
+    """correlation over the last n rows, null unless there are n."""
+    w = over.rowsBetween(-(n - 1), 0)
+    return F.when(F.count(F.lit(1)).over(w) >= n, correlation(x, y, w))
+
+
 def log_return(c: Column | str, over: WindowSpec, k: int) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     ratio = F.try_divide(c, F.lag(c, k).over(over))

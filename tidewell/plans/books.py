@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.asof import asof
 from tidewell.operators.incremental import advance, fresh_features
-from tidewell.operators.series import log_return, percent_rank_average, rolling, simple_return, winsorize
+from tidewell.operators.series import correlation, log_return, percent_rank_average, rolling, simple_return, winsorize
 from tidewell.operators.weights import Limits, project_path, rank_weights
 from tidewell.plans import registry
 from tidewell.plans.base import BENCHMARK, HOLDINGS_SQL, METRICS_SQL, OPTIONS_SQL, SOUND_SQL, TRADES_SQL, Book, by_symbol, holdings, metrics, options, sound_bars, trades
@@ -125,6 +125,26 @@ def iv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("underlying", F.col("quote_date").cast("string").alias("quote_date"), change.alias("change"), F.signum(change).alias("direction"), F.round(z, 6).alias("z"))
 
 
+@book.query()
+def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge regressions of the next return on the rank of momentum, fitted on all months before each month less five days, and the rank correlation of their scores in it.
+
+    Each month's products are summed once; a month's fit uses the sums of the months before, so no row is fitted twice.
+    """
+    m = momentum(spark, sf_dir).where("mom is not null and fwd between -0.5 and 0.5")
+    m = m.withColumn("p", percent_rank_average("mom", ["timestamp"])).withColumn("month", F.date_format("timestamp", "yyyy-MM"))
+    month_end = F.last_day("timestamp")
+    train = m.where(F.to_date("timestamp") <= F.date_sub(month_end, 5))
+    terms = {"n": F.lit(1.0), "sx": F.col("p"), "sy": F.col("fwd"), "sxx": F.col("p") * F.col("p"), "sxy": F.col("p") * F.col("fwd")}
+    sums = train.groupBy("month").agg(*[F.sum(v).alias(k) for k, v in terms.items()])
+    before = Window.partitionBy(F.lit(0)).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    past = sums.select("month", *[F.sum(k).over(before).alias(k) for k in terms]).where("n > 20")
+    slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n") + 10.0)
+    fits = past.select("month", slope.alias("slope"), F.col("n").cast("long").alias("trained"))
+    tested = m.groupBy("month").agg(F.count("*").alias("tested"), correlation("p", "fwd").alias("rho"))
+    return fits.join(tested, "month").select("month", "trained", "tested", F.round("slope", 8).alias("slope"), F.round(F.signum("slope") * F.col("rho"), 6).alias("score"))
+
+
 _LEAD = " union all ".join(f"select {k} as lag, count(*) as n, round(corr(mom, x), 6) as corr from (select symbol, mom, {('lead' if k > 0 else 'lag')}(ret, {abs(k)}) over ({_W}) as x from r) where mom is not null and x is not null" for k in (-2, -1, 0, 1, 2))
 
 
@@ -135,7 +155,7 @@ def leakage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = sound_bars(spark, sf_dir).select("symbol", "timestamp", simple_return("close", w).alias("ret"), simple_return("close", w, 21).alias("mom")).where("ret between -0.5 and 0.5")
     lags = (-2, -1, 0, 1, 2)
     moved = r.select("mom", *[(F.lead("ret", k) if k > 0 else F.lag("ret", -k)).over(w).alias(f"f{k + 2}") for k in lags]).where("mom is not null")
-    one = moved.agg(*[F.count(f"f{k + 2}").alias(f"n{k + 2}") for k in lags], *[F.corr("mom", f"f{k + 2}").alias(f"c{k + 2}") for k in lags])
+    one = moved.agg(*[F.count(f"f{k + 2}").alias(f"n{k + 2}") for k in lags], *[correlation("mom", f"f{k + 2}").alias(f"c{k + 2}") for k in lags])
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"n{k + 2}").alias("n"), F.round(f"c{k + 2}", 6).alias("corr")) for k in lags])).alias("e")).select("e.*")
 
 

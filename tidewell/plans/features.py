@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.asof import asof, asof_nearest
-from tidewell.operators.series import log_return, percent_rank_average, rolling, simple_return, winsorize, z_score
+from tidewell.operators.series import log_return, percent_rank_average, rolling, rolling_correlation, simple_return, winsorize, z_score
 from tidewell.plans.base import BENCHMARK, HOLDINGS_SQL, METRICS_SQL, OPTIONS_SQL, SOUND_SQL, TRADES_SQL, Book, by_symbol, holdings, metrics, options, sound_bars, trades
 
 book = Book()
@@ -141,7 +141,7 @@ def pairwise_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = b.join(F.broadcast(big), "symbol", "left_semi").select("symbol", "timestamp", log_return("close", by_symbol(), 1).alias("ret")).where("ret is not null")
     x, y = r.select(F.col("symbol").alias("a"), "timestamp", F.col("ret").alias("rx")), r.select(F.col("symbol").alias("z"), "timestamp", F.col("ret").alias("ry"))
     p = x.join(y, "timestamp").where("a < z")
-    c = p.withColumn("rho", rolling(F.corr("rx", "ry"), Window.partitionBy("a", "z").orderBy("timestamp"), 20, F.lit(1)))
+    c = p.withColumn("rho", rolling_correlation("rx", "ry", Window.partitionBy("a", "z").orderBy("timestamp"), 20))
     return c.where("rho is not null and not isnan(rho)").groupBy("timestamp").agg(F.round(F.avg("rho"), 6).alias("corr_mean_20d"), F.count("rho").alias("pairs"))
 
 

@@ -97,7 +97,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per statement, each of its fields from the row that serves it best."""
-    return representatives(_statement_groups(spark, sf_dir), **_skyline_args(STATEMENT_FIELDS), least_trust=1)
+    return representatives(_statement_groups(spark, sf_dir), **_skyline_args(STATEMENT_FIELDS), least_trust=1).drop("skyline_size")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +240,14 @@ _WEEKS = " union all ".join(
     for n, ok in _USABLE.items()
 )
 
+_GROUPS_SQL = f"""
+    with n as (select *, upper(regexp_replace(fiscal_period, '[\\s _./''-]+', '', 'g')) as fp from raw_fd_fundamentals),
+    g as (select * replace ({_SYMBOL} as symbol, lower(trim(period)) as period), ({_YEAR}) || '-' || ({_QUARTER}) as fiscal, coalesce(report_date <= ingested_at, ingested_at is null) as trusted,
+        count(*) over (partition by {_SYMBOL}, ({_YEAR}) || '-' || ({_QUARTER}), lower(trim(period))) as n from n)"""
+_BEST = ", ".join(
+    f"arg_max({f}, (report_date, coalesce(ingested_at, '0001-01-01'::timestamp), fund_id)) filter (trusted and {f} is not null and not isnan({f}) and not isinf({f}){f' and {f} > 0' if f in ABOVE_ZERO else ''}) as {f}" for f in STATEMENT_FIELDS
+)
+
 ORACLES = {
     "p1_found": _known_sql("m.id as row_id", "f.id as row_id") + f"""
     select 'metrics' as kind, km.row_id, r.bar_id from raw_alpaca_equity_ohlcv r join km on km.symbol = upper(trim(r.symbol)) and km.t = r.timestamp
@@ -247,11 +255,8 @@ ORACLES = {
     "p1_attributes": _known_sql("m.id as metric_id, m.shares_outstanding", "f.id as fund_id, f.revenue, f.net_income") + """
     select r.bar_id, km.metric_id, km.shares_outstanding, kf.fund_id, case when not isnan(kf.revenue) then kf.revenue end as revenue, case when not isnan(kf.net_income) then kf.net_income end as net_income
     from raw_alpaca_equity_ohlcv r left join km on km.symbol = upper(trim(r.symbol)) and km.t = r.timestamp left join kf on kf.symbol = upper(trim(r.symbol)) and kf.t = r.timestamp""",
-    "p2_found": f"""
-    with n as (select *, upper(regexp_replace(fiscal_period, '[\\s _./''-]+', '', 'g')) as fp from raw_fd_fundamentals),
-    g as (select * replace ({_SYMBOL} as symbol, lower(trim(period)) as period), ({_YEAR}) || '-' || ({_QUARTER}) as fiscal, coalesce(report_date <= ingested_at, ingested_at is null) as trusted,
-        count(*) over (partition by {_SYMBOL}, ({_YEAR}) || '-' || ({_QUARTER}), lower(trim(period))) as n from n)
-    {_FIELD_CASES}""",
+    "p2_found": f"{_GROUPS_SQL} {_FIELD_CASES}",
+    "p2_statements": f"""{_GROUPS_SQL} select symbol, fiscal as fiscal_period, period, count(*) as n, arg_max(fund_id, (report_date, coalesce(ingested_at, '0001-01-01'::timestamp), fund_id)) filter (trusted) as fund_id, {_BEST} from g group by symbol, fiscal, period""",
     "p4_found": _DAILY_SQL + f"""
     select 'volume' as measure_name, symbol, strftime(d, '%Y-%m-%d') as day_date from w where n30 >= 8 and v30 > 0 and v7 >= {VOLUME_SHARE}::double * v30
     union all select 'close', symbol, strftime(d, '%Y-%m-%d') from w where n30 >= 8 and abs(c7 - c30) >= {CLOSE_SHIFT}::double * c30

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import evaluation as ev
-from tidewell.operators.series import drawdowns, percent_rank_average, rolling, simple_return
+from tidewell.operators.series import correlation, drawdowns, percent_rank_average, simple_return
+from tidewell.operators.series import rolling_correlation as series_correlation
 from tidewell.plans.base import BENCHMARK, SOUND_SQL, Book, by_symbol, sound_bars
 from tidewell.session import table
 
@@ -62,7 +63,7 @@ def benchmark_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = returns(spark, sf_dir).where("ret is not null")
     k = r.where(F.col("symbol") == BENCHMARK).select("timestamp", F.col("ret").alias("rb"))
     j = r.where(F.col("symbol") != BENCHMARK).join(k, "timestamp")
-    out = j.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.corr("ret", "rb"), 6).alias("corr"), F.round(F.covar_samp("ret", "rb"), 8).alias("cov"), F.round(F.regr_slope("ret", "rb"), 6).alias("beta"), F.round(F.regr_r2("ret", "rb"), 6).alias("r2"))
+    out = j.groupBy("symbol").agg(F.count("*").alias("n"), F.round(correlation("ret", "rb"), 6).alias("corr"), F.round(F.covar_samp("ret", "rb"), 8).alias("cov"), F.round(F.regr_slope("ret", "rb"), 6).alias("beta"), F.round(F.regr_r2("ret", "rb"), 6).alias("r2"))
     return out.where("n > 3")
 
 
@@ -102,7 +103,7 @@ def information_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = by_symbol()
     f = sound_bars(spark, sf_dir).select("symbol", "timestamp", (F.lead("close", 5).over(w) / F.col("close") - 1).alias("fwd"), simple_return("close", w, 21).alias("mom")).where("fwd is not null and mom is not null")
     k = f.withColumn("rf", percent_rank_average("fwd", ["timestamp"])).withColumn("rm", percent_rank_average("mom", ["timestamp"]))
-    return k.groupBy("timestamp").agg(F.count("*").alias("n"), F.round(F.corr("rf", "rm"), 6).alias("ic")).where("n > 2")
+    return k.groupBy("timestamp").agg(F.count("*").alias("n"), F.round(correlation("rf", "rm"), 6).alias("ic")).where("n > 2")
 
 
 @book.query(f"""with {_RET_SQL}, s(scenario, a, z) as (values ('spring', date '2024-03-01', date '2024-04-30'), ('summer', date '2024-06-01', date '2024-07-31'), ('winter', date '2023-12-01', date '2024-01-31'))
@@ -124,7 +125,7 @@ def rolling_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of the book with the benchmark over 60 days, summed up. Both series have one row per day."""
     k = returns(spark, sf_dir).where((F.col("symbol") == BENCHMARK) & F.col("ret").isNotNull()).select("timestamp", F.col("ret").alias("rb"))
     j = portfolio(spark, sf_dir).join(k, "timestamp")
-    c = j.withColumn("rho", rolling(F.corr("ret", "rb"), Window.partitionBy("book").orderBy("timestamp"), 60, F.lit(1)))
+    c = j.withColumn("rho", series_correlation("ret", "rb", Window.partitionBy("book").orderBy("timestamp"), 60))
     return c.agg(F.count("rho").alias("n"), F.round(F.avg("rho"), 6).alias("mean"), F.round(F.stddev_pop("rho"), 6).alias("sd"), F.round(F.min("rho"), 6).alias("low"), F.round(F.max("rho"), 6).alias("high"), F.round(F.max_by("rho", F.when(F.col("rho").isNotNull(), F.col("timestamp"))), 6).alias("last"))
 
 
