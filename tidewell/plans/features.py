@@ -294,11 +294,11 @@ def rolling_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""with b as ({SOUND_SQL}), s as (select symbol, timestamp, {_gated('avg(close)', 10, 'close')} as a, {_gated('avg(close)', 30, 'close')} as z from b),
-    g as (select *, a > z as long from s where z is not null) select symbol, timestamp, round(case when count(*) filter (long) over d > 0 then long::int / (count(*) filter (long) over d)::double else 1.0::double / count(*) over d end, 10) as weight
+    g as (select *, round(a, 8) > round(z, 8) as long from s where z is not null) select symbol, timestamp, round(case when count(*) filter (long) over d > 0 then long::int / (count(*) filter (long) over d)::double else 1.0::double / count(*) over d end, 10) as weight
     from g window d as (partition by timestamp)""")
 def sma_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weights of the symbols whose short average is above the long one; of all where none is."""
     w, d = by_symbol(), Window.partitionBy("timestamp")
     s = sound_bars(spark, sf_dir).select("symbol", "timestamp", rolling(F.avg("close"), w, 10, "close").alias("a"), rolling(F.avg("close"), w, 30, "close").alias("z")).where("z is not null")
-    s = s.withColumn("long", F.when(F.col("a") > F.col("z"), 1).otherwise(0)).withColumn("n", F.sum("long").over(d))
+    s = s.withColumn("long", F.when(F.round("a", 8) > F.round("z", 8), 1).otherwise(0)).withColumn("n", F.sum("long").over(d))
     return s.select("symbol", "timestamp", F.round(F.when(F.col("n") > 0, F.col("long") / F.col("n").cast("double")).otherwise(F.lit(1.0) / F.count("*").over(d)), 10).alias("weight"))

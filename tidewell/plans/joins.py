@@ -12,12 +12,12 @@ from tidewell.session import table
 book = Book()
 
 
-@book.query(f"select symbol, timestamp, close, volume from ({BARS_SQL}) where timestamp between '2024-01-01' and '2024-03-31 23:59:59.999999' and symbol <> '{BENCHMARK}'")
+@book.query(f"select symbol, timestamp, close, volume::double as volume from ({BARS_SQL}) where timestamp between '2024-01-01' and '2024-03-31 23:59:59.999999' and symbol <> '{BENCHMARK}'")
 def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of a closed range of days: the range reaches the scan."""
     raw = table(spark, sf_dir, "raw_alpaca_equity_ohlcv").where(F.col("timestamp").between(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-03-31 23:59:59.999999").cast("timestamp")) & (F.upper(F.trim("symbol")) != BENCHMARK))
     one = latest(raw.select(F.upper(F.trim("symbol")).alias("symbol"), "timestamp", F.when(~F.isnan("close"), F.col("close")).alias("close"), "volume", "ingested_at", "bar_id"), by=["symbol", "timestamp"], order=["ingested_at", "bar_id"])
-    return one.select("symbol", "timestamp", "close", "volume")
+    return one.select("symbol", "timestamp", "close", F.col("volume").cast("double").alias("volume"))
 
 
 @book.query(f"select trade_id, symbol from ({TRADES_SQL}) where filed_day >= date '2024-03-01' - 90 and filed_day <= date '2024-03-31'")
