@@ -133,7 +133,7 @@ def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each month's products are summed once; a month's fit uses the sums of the months before, so no row is fitted twice.
     """
-    m = momentum(spark, sf_dir).where("mom is not null and fwd between -0.5 and 0.5")
+    m = momentum(spark, sf_dir).where("mom is not null and fwd is not null")
     m = m.withColumn("p", percent_rank_average("mom", ["timestamp"])).withColumn("month", F.date_format("timestamp", "yyyy-MM"))
     month_end = F.last_day("timestamp")
     train = m.where(F.to_date("timestamp") <= F.date_sub(month_end, 5))
