@@ -127,24 +127,30 @@ def iv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("underlying", F.col("quote_date").cast("string").alias("quote_date"), change.alias("change"), F.signum(change).alias("direction"), F.round(z, 6).alias("z"))
 
 
-@book.query()
-def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge regressions of the next return on the rank of momentum, fitted on all months before each month less five days, and the rank correlation of their scores in it.
+def walk_forward_fits(m: DataFrame, purge_days: int = 5) -> DataFrame:
+    """Per month of m the ridge fit of fwd on p over all rows that were ready before it: slope and rows trained on.
 
-    Each month's products are summed once; a month's fit uses the sums of the months before, so no row is fitted twice.
+    m has timestamp, month, p, fwd and fwd_at, the time at which fwd is known. A row is ready after the month that holds both
+    fwd_at and the purge_days after its own day; so only the gap before the month tested is purged, and a later fit takes these
+    rows too. Each row is summed once; a month's fit adds up the sums of the months before.
     """
-    m = momentum(spark, sf_dir).where("mom is not null and fwd is not null")
-    m = m.withColumn("p", percent_rank_average("mom", ["timestamp"])).withColumn("month", F.date_format("timestamp", "yyyy-MM"))
-    month_end = F.last_day("timestamp")
-    train = m.where(F.to_date("timestamp") <= F.date_sub(month_end, 5))
+    ready = F.date_format(F.greatest(F.date_add("timestamp", purge_days), F.to_date("fwd_at")), "yyyy-MM")
     terms = {"n": F.lit(1.0), "sx": F.col("p"), "sy": F.col("fwd"), "sxx": F.col("p") * F.col("p"), "sxy": F.col("p") * F.col("fwd")}
-    sums = train.groupBy("month").agg(*[F.sum(v).alias(k) for k, v in terms.items()])
+    sums = m.groupBy(ready.alias("month")).agg(*[F.sum(v).alias(k) for k, v in terms.items()])
+    every = m.select("month").distinct().withColumn("asked", F.lit(True)).join(sums, "month", "full")
     before = Window.partitionBy(F.lit(0)).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    past = sums.select("month", *[F.sum(k).over(before).alias(k) for k in terms]).where("n > 20")
+    past = every.select("month", "asked", *[F.sum(k).over(before).alias(k) for k in terms]).where("asked and n > 20")
     slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n") + 10.0)
-    fits = past.select("month", slope.alias("slope"), F.col("n").cast("long").alias("trained"))
+    return past.select("month", slope.alias("slope"), F.col("n").cast("long").alias("trained"))
+
+
+@book.query()
+def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge regressions of the next return on the rank of momentum, fitted on all that was known five days before each month, and the rank correlation of their scores in it."""
+    m = momentum(spark, sf_dir).withColumn("fwd_at", F.lead("timestamp").over(by_symbol())).where("mom is not null and fwd is not null")
+    m = m.withColumn("p", percent_rank_average("mom", ["timestamp"])).withColumn("month", F.date_format("timestamp", "yyyy-MM"))
     tested = m.groupBy("month").agg(F.count("*").alias("tested"), correlation("p", "fwd").alias("rho"))
-    return fits.join(tested, "month").select("month", "trained", "tested", F.round("slope", 8).alias("slope"), F.round(F.signum("slope") * F.col("rho"), 6).alias("score"))
+    return walk_forward_fits(m).join(tested, "month").select("month", "trained", "tested", F.round("slope", 8).alias("slope"), F.round(F.signum("slope") * F.col("rho"), 6).alias("score"))
 
 
 _LEAD = " union all ".join(f"select {k} as lag, count(*) as n, round(corr(mom, x), 6) as corr from (select symbol, mom, {('lead' if k > 0 else 'lag')}(ret, {abs(k)}) over ({_W}) as x from r) where mom is not null and x is not null" for k in (-2, -1, 0, 1, 2))
