@@ -61,6 +61,21 @@ def test_copies_are_cases_and_repairs_are_not(spark):
     assert {k for k, r in out.items() if r["flagged"]} == {40, 900}
 
 
+def test_a_standing_bar_in_a_middle_delivery(spark):
+    """On one day of the run the bar comes between a null and a revised delivery, on another after a null one."""
+    rows = series("A", 100, 0, 7)
+    for i in range(51, 56):
+        rows[i][4:8] = rows[50][4:8]
+    more = []
+    for at, bar_id, hours, null in ((52, 900, -1, True), (52, 901, 1, False), (54, 902, 1, True)):
+        other = list(rows[at])
+        other[0], other[3] = bar_id, other[3] + timedelta(hours=hours)
+        other[4:8] = [None] * 4 if null else [x * 1.004 for x in other[4:8]]
+        more.append(other)
+    out = flags(spark, [*rows, *more])
+    assert {k for k, r in out.items() if r["flagged"]} == set(range(50, 56))
+
+
 def test_volume_that_mounts_during_a_day_is_fine(spark):
     rows = series("A", 60, 0, 4)
     more = []

@@ -133,51 +133,39 @@ def spread_of(x: np.ndarray, group: np.ndarray, prior: float) -> np.ndarray:
     return np.maximum(np.sqrt((n * middle**2 + PRIOR_BARS * prior**2) / (n + PRIOR_BARS)), 1e-4)
 
 
-def _run_lengths(keys: list[np.ndarray], group: np.ndarray) -> list[np.ndarray]:
-    """keys[0] and keys[1] hold up to two bars of each day (nan-free ints, 0 for none); the length of the run of
-    successive days of the group that hold the same bar, for either key."""
-    n = len(group)
-    back = [np.ones(n, np.int64), np.ones(n, np.int64)]
-    forth = [np.ones(n, np.int64), np.ones(n, np.int64)]
-    for lengths, step in ((back, 1), (forth, -1)):
-        places = range(1, n) if step == 1 else range(n - 2, -1, -1)
-        k0, k1 = keys
-        for i in places:
-            j = i - step
-            if group[i] != group[j]:
-                continue
-            for mine, out in ((k0[i], lengths[0]), (k1[i], lengths[1])):
-                if mine == 0:
-                    continue
-                if mine == k0[j]:
-                    out[i] = lengths[0][j] + 1
-                elif mine == k1[j]:
-                    out[i] = lengths[1][j] + 1
-    return [b + f - 1 for b, f in zip(back, forth)]
+def run_lengths(keys: pd.Series, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """keys holds each day's bars (arrays of ints), place numbers the bar days of a group. For each bar of each day: the day's
+    position, the bar, and the length of the run of successive bar days of the group that hold it."""
+    at = np.repeat(np.arange(len(keys)), keys.map(len).to_numpy(int))
+    key = np.concatenate([np.zeros(0, np.int64), *[np.asarray(k, np.int64) for k in keys if len(k)]])
+    order = np.lexsort((place[at], key, group[at]))
+    g, k, p = group[at][order], key[order], place[at][order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)][: len(at)]
+    run = np.cumsum(new) - 1
+    length = np.zeros(len(at), np.int64)
+    length[order] = np.bincount(run)[run] if len(run) else 0
+    return at, key, length
 
 
 def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
     """What the other days of its source say of each (source, day): f is sorted by them and holds whole sources.
 
-    Columns in: source, day, close, high, volume, open (logs of the day's newest plausible reading, nan for none), first_key,
-    last_key (of the bar delivered first and last, 0 for none), newest (passed on), all_bad (no plausible row).
+    Columns in: source, day, close, high, volume, open (logs of the day's newest plausible reading, nan for none), keys
+    (the day's bars that are delivered on other days as well), newest (passed on), all_bad (no plausible row).
     """
     group = f.groupby("source", sort=False).ngroup().to_numpy()
     n = len(f)
     values = {c: f[c].to_numpy(float) for c in (*FIELDS, "open")}
     next_open = neighbours(values["open"], group)[1]
     spreads = np.column_stack([spread_of(values[c], group, PRIOR_SPREAD[c])[group] for c in FIELDS])
-    keys = [f["first_key"].to_numpy(np.int64), f["last_key"].to_numpy(np.int64)]
     linked = np.r_[False, group[1:] == group[:-1]]
-    same_before = np.zeros(n, bool)
-    for a in keys:
-        for b in keys:
-            same_before[1:] |= (a[1:] != 0) & (a[1:] == b[:-1])
-    same_before &= linked
-    same = same_before | np.r_[same_before[1:], False]
     starts = np.flatnonzero(~linked)
     lengths = np.diff(np.r_[starts, n])
     place = np.arange(n) - starts[group]
+    at, key, length = run_lengths(f["keys"], group, place)
+    at, key, length = at[length > 1], key[length > 1], length[length > 1]
+    same = np.zeros(n, bool)
+    same[at] = True
     moves = np.broadcast_to(MOVES, (len(starts), 4, 4)).copy()
     out_logs = np.where(f["all_bad"].to_numpy(bool), 0.0, -np.inf)
     clean = {c: v.copy() for c, v in values.items()}
@@ -203,7 +191,6 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
         total = PRIOR_DAYS * np.array([1.0, 0.01, 0.01, 0.01])[:, None] * MOVES + counts
         moves = total / total.sum(axis=2, keepdims=True)
     near = {c: neighbours(clean[c], group) for c in FIELDS}
-    runs = _run_lengths(keys, group)
     top = weight[:, :OUT].max(axis=1)
     out = {"source": f["source"], "day": f["day"], "newest": f["newest"]}
     for s, name in enumerate(("normal", "spike", "stuck", "out")):
@@ -211,8 +198,8 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
     for i, c in enumerate(FIELDS):
         out[f"before_{c}"], out[f"after_{c}"], out[f"spread_{c}"] = near[c][0], near[c][1], spreads[:, i]
     out["after_open"] = next_open
-    out["run_first"], out["run_last"] = runs
-    out["near_first"], out["near_last"] = keys
+    ends = np.cumsum(np.bincount(at, minlength=n))[:-1]
+    out["run_keys"], out["run_days"] = np.split(key, ends), np.split(length, ends)
     return pd.DataFrame(out)
 
 
@@ -221,7 +208,7 @@ CONTEXT = T.StructType(
     + [T.StructField(f"w_{s}", T.DoubleType()) for s in ("normal", "spike", "stuck", "out")]
     + [T.StructField(f"{p}_{c}", T.DoubleType()) for c in FIELDS for p in ("before", "after", "spread")]
     + [T.StructField("after_open", T.DoubleType())]
-    + [T.StructField(c, T.LongType()) for c in ("run_first", "run_last", "near_first", "near_last")]
+    + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("run_keys", "run_days")]
 )
 
 
@@ -236,7 +223,7 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
     """Every row of bars with its posterior and flags: row_id, p_spike, p_stuck, is_spike, is_stuck, is_impossible, flagged.
 
     bars has open, high, low, close, volume; nan counts as null. Each (source, day) is first reduced to a fixed-size
-    summary (newest plausible close, high and volume; the bars delivered first and last), so a source is as long as its calendar,
+    summary (newest plausible close, high and volume) and those of its bars that other days repeat, so a source is as long as its calendar,
     however often its bars are delivered. Per source a hidden Markov model over days with states normal, spike, stuck
     and out of range gives, by forward-backward, what the other days say of each day; every delivered row is then
     judged by its own values under that: lone deviation from the neighbouring bars against the source's own spread, equality with
@@ -262,18 +249,22 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
         .groupBy("source", "day")
         .agg(
             *[F.max(fine(c)).getField("v").alias(c) for c in (*FIELDS, "open")],
-            F.min(F.struct(order.alias("o"), F.col("key"))).getField("key").alias("first_key"),
-            F.max(F.struct(order.alias("o"), F.col("key"))).getField("key").alias("last_key"),
             F.max(F.struct(order.alias("o"))).getField("o").getField("row").alias("newest"),
             F.min(F.col("is_impossible")).alias("all_bad"),
         )
     )
 
+    # Only bars that some other day of the source holds as well can be in a run; few are, and they go by source and bar.
+    dated = rows.where("source is not null and day is not null and key <> 0")
+    repeated = dated.groupBy("source", "key").agg(F.collect_set("day").alias("days")).where(F.size("days") > 1)
+    repeated = repeated.select("source", F.explode("days").alias("day"), "key").groupBy("source", "day").agg(F.collect_list("key").alias("keys"))
+    daily = daily.join(repeated, ["source", "day"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
+
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in whole_groups(frames, ["source"], BATCH_ROWS):
             yield day_contexts(f)
 
-    series = daily.select("source", "day", *FIELDS, "open", "first_key", "last_key", "newest", "all_bad")
+    series = daily.select("source", "day", *FIELDS, "open", "keys", "newest", "all_bad")
     contexts = spread(series, "source").sortWithinPartitions("source", "day").mapInPandas(learn, CONTEXT)
     joined = join_salted(rows.drop("ing"), contexts, ["source", "day"], "source", "row", hot_keys(rows, "source"), how="left")
     return _judge(joined, longest_live_run).select(F.col("row").alias(row_id), "p_spike", "p_stuck", "is_spike", "is_stuck", "is_impossible", "flagged")
@@ -303,7 +294,7 @@ def posterior(
 
 def _judge(joined: DataFrame, longest_live_run: int) -> DataFrame:
     log = lambda c: F.when(F.col(c) > 0, F.log(F.col(c))).when(F.col(c) == 0, F.lit(0.0))
-    run = F.greatest(F.when(F.col("key") == F.col("near_first"), F.col("run_first")).otherwise(0), F.when(F.col("key") == F.col("near_last"), F.col("run_last")).otherwise(0))
+    run = F.map_from_arrays("run_keys", "run_days")[F.col("key")]
     mounting = F.coalesce(F.col("row") != F.col("newest"), F.lit(False))
     near = [F.col(f"{p}_{c}") for p, fields in (("before", FIELDS), ("after", (*FIELDS, "open")), ("spread", FIELDS)) for c in fields]
     judged = joined.withColumn("run", F.when(F.col("key") != 0, F.coalesce(run, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))).withColumn(
