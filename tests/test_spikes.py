@@ -87,6 +87,17 @@ def test_volume_that_mounts_during_a_day_is_fine(spark):
     assert not any(r["flagged"] for r in flags(spark, rows + more).values())
 
 
+def test_low_volumes_of_a_day_that_does_not_mount(spark):
+    """Day 30 holds one low volume twice, day 45 a low volume that a later delivery repairs."""
+    rows = series("A", 80, 0, 8)
+    rows[30][8], repair = 3, list(rows[45])
+    copy = list(rows[30])
+    copy[0], copy[3] = 900, copy[3] + timedelta(hours=1)
+    rows[45][8] = 3
+    repair[0], repair[3] = 901, repair[3] + timedelta(hours=1)
+    assert {k for k, r in flags(spark, [*rows, copy, repair]).items() if r["flagged"]} == {30, 900, 45}
+
+
 def test_a_price_at_which_the_next_bar_opens_is_real(spark):
     rows = series("A", 100, 0, 6)
     for r, at, factor in ((rows[40], 4, 1.0), (rows[40], 7, 1.3), (rows[40], 5, 1.31), (rows[41], 4, 1.3), (rows[41], 5, 1.31), (rows[70], 7, 1.3), (rows[70], 5, 1.31)):

@@ -31,6 +31,8 @@ MOVES = np.array([[0.9960, 0.0025, 0.0005, 0.0010], [0.9880, 0.0020, 0.0020, 0.0
 PRIOR_DAYS = 2_000.0
 START = np.array([0.994, 0.0025, 0.0005, 0.003])
 LEARN_ROUNDS = 2
+#: A day's volumes mount when readings lie clearly between its least and its most: this much of the squared range in sum.
+BETWEEN = 0.1
 BATCH_ROWS = 60_000
 
 
@@ -151,7 +153,7 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
     """What the other days of its source say of each (source, day): f is sorted by them and holds whole sources.
 
     Columns in: source, day, close, high, volume, open (logs of the day's newest plausible reading, nan for none), keys
-    (the day's bars that are delivered on other days as well), newest (passed on), all_bad (no plausible row).
+    (the day's bars that are delivered on other days as well), mounting (passed on), all_bad (no plausible row).
     """
     group = f.groupby("source", sort=False).ngroup().to_numpy()
     n = len(f)
@@ -192,7 +194,7 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
         moves = total / total.sum(axis=2, keepdims=True)
     near = {c: neighbours(clean[c], group) for c in FIELDS}
     top = weight[:, :OUT].max(axis=1)
-    out = {"source": f["source"], "day": f["day"], "newest": f["newest"]}
+    out = {"source": f["source"], "day": f["day"], "volume_newest": values["volume"], "mounting": f["mounting"]}
     for s, name in enumerate(("normal", "spike", "stuck", "out")):
         out[f"w_{name}"] = np.exp(weight[:, s] - top)
     for i, c in enumerate(FIELDS):
@@ -204,7 +206,7 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
 
 
 CONTEXT = T.StructType(
-    [T.StructField("source", T.StringType()), T.StructField("day", T.IntegerType()), T.StructField("newest", T.LongType())]
+    [T.StructField("source", T.StringType()), T.StructField("day", T.IntegerType()), T.StructField("volume_newest", T.DoubleType()), T.StructField("mounting", T.BooleanType())]
     + [T.StructField(f"w_{s}", T.DoubleType()) for s in ("normal", "spike", "stuck", "out")]
     + [T.StructField(f"{p}_{c}", T.DoubleType()) for c in FIELDS for p in ("before", "after", "spread")]
     + [T.StructField("after_open", T.DoubleType())]
@@ -219,6 +221,19 @@ def impossible() -> Column:
     return low("open") | low("high") | low("low") | low("close") | F.coalesce(F.col("volume") < 0, F.lit(False)) | under("low") | under("open") | under("close")
 
 
+def _mounting() -> Column:
+    """Whether a day's plausible volumes (as an aggregate) rise on balance with their time of delivery and over several steps.
+
+    The sum of (v - least)(most - v) over the logs is 0 where there are but two values, as for a low volume and its repair.
+    """
+    v = F.when(~F.col("is_impossible") & (F.col("volume") > 0), F.log("volume"))
+    low, high = F.min(v), F.max(v)
+    between = (low + high) * F.sum(v) - F.sum(v * v) - F.count(v) * low * high
+    time = F.col("ing").cast("timestamp").cast("double") - F.col("day") * F.lit(86_400.0)
+    rising = F.covar_pop(F.when(v.isNotNull(), time), v) > 0
+    return F.coalesce(rising & (high > low) & (between >= BETWEEN * (high - low) * (high - low)), F.lit(False))
+
+
 def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: str, longest_live_run: int = 5) -> DataFrame:
     """Every row of bars with its posterior and flags: row_id, p_spike, p_stuck, is_spike, is_stuck, is_impossible, flagged.
 
@@ -228,7 +243,7 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
     and out of range gives, by forward-backward, what the other days say of each day; every delivered row is then
     judged by its own values under that: lone deviation from the neighbouring bars against the source's own spread, equality with
     neighbouring days, hard bounds. A posterior over a half decides; a stuck bar must also stand for more than
-    longest_live_run successive bar days. A volume below that of the day's newest delivery isn't low, as volume mounts during the day.
+    longest_live_run successive bar days. A volume below the newest plausible one of a day isn't low if the day's volumes mount from pull to pull.
 
     Nulls are never flagged. A field whose previous or next reading doesn't exist says nothing of spikes. Repeated rows
     get the same flags. Rows with a null source or at have only hard bounds. Empty input gives no rows.
@@ -249,7 +264,7 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
         .groupBy("source", "day")
         .agg(
             *[F.max(fine(c)).getField("v").alias(c) for c in (*FIELDS, "open")],
-            F.max(F.struct(order.alias("o"))).getField("o").getField("row").alias("newest"),
+            _mounting().alias("mounting"),
             F.min(F.col("is_impossible")).alias("all_bad"),
         )
     )
@@ -264,7 +279,7 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
         for f in whole_groups(frames, ["source"], BATCH_ROWS):
             yield day_contexts(f)
 
-    series = daily.select("source", "day", *FIELDS, "open", "keys", "newest", "all_bad")
+    series = daily.select("source", "day", *FIELDS, "open", "keys", "mounting", "all_bad")
     contexts = spread(series, "source").sortWithinPartitions("source", "day").mapInPandas(learn, CONTEXT)
     joined = join_salted(rows.drop("ing"), contexts, ["source", "day"], "source", "row", hot_keys(rows, "source"), how="left")
     return _judge(joined, longest_live_run).select(F.col("row").alias(row_id), "p_spike", "p_stuck", "is_spike", "is_stuck", "is_impossible", "flagged")
@@ -295,7 +310,7 @@ def posterior(
 def _judge(joined: DataFrame, longest_live_run: int) -> DataFrame:
     log = lambda c: F.when(F.col(c) > 0, F.log(F.col(c))).when(F.col(c) == 0, F.lit(0.0))
     run = F.map_from_arrays("run_keys", "run_days")[F.col("key")]
-    mounting = F.coalesce(F.col("row") != F.col("newest"), F.lit(False))
+    mounting = F.coalesce(F.col("mounting") & (log("volume") < F.col("volume_newest")), F.lit(False))
     near = [F.col(f"{p}_{c}") for p, fields in (("before", FIELDS), ("after", (*FIELDS, "open")), ("spread", FIELDS)) for c in fields]
     judged = joined.withColumn("run", F.when(F.col("key") != 0, F.coalesce(run, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))).withColumn(
         "p", posterior(*[log(c) for c in (*FIELDS, "open")], *near, "w_normal", "w_spike", "w_stuck", "run", mounting)
