@@ -1,10 +1,11 @@
-"""Queries over documents: packing, mixing and residue."""
+"""Queries over documents: packing, mixing and residue; and those of the best record per statement."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm import statements
 from tidewell.llm.mixing import mix, rates, shares
 from tidewell.llm.packing import pack
 from tidewell.llm.residue import flag_residue
@@ -60,5 +61,5 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(p8_found(spark, sf_dir), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p6_packs, p6_use, p7_mix, p7_shares, p8_found, p8_verdicts, p8_clean)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p6_packs, p6_use, p7_mix, p7_shares, p8_found, p8_verdicts, p8_clean)} | statements.QUERIES
+ORACLES: dict[str, str] = dict(statements.ORACLES)
