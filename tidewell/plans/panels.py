@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions import date_text, day_number, fiscal_period, number, symbol
+from tidewell.functions import date_text, day_number, number, symbol
 from tidewell.operators.grid import usable, weekly_grid
 from tidewell.operators.known_at import join_known, known_at
 from tidewell.operators.rolling import every_day, trailing
-from tidewell.operators.skyline import candidates, representatives, winners
 from tidewell.operators.spikes import flag_bars
 from tidewell.plans.base import Book
 from tidewell.session import table
 
-STATEMENT_FIELDS = (
-    "revenue", "cost_of_revenue", "gross_profit", "operating_expense", "operating_income", "interest_expense", "ebit", "net_income",
-    "net_income_common_stock", "eps", "eps_diluted", "weighted_average_shares", "weighted_average_shares_diluted", "dividends_per_share",
-)
-ABOVE_ZERO = ("revenue", "weighted_average_shares", "weighted_average_shares_diluted")
-CASE_FIELDS = ("revenue", "net_income", "eps_diluted", "weighted_average_shares", "dividends_per_share")
 #: A price-earnings ratio of this size or more is a stand-in for a missing value.
 NO_PE = 10_000.0
 LONGEST_GAP_DAYS = 30
@@ -67,39 +60,6 @@ def p1_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("bar_id", "metric_id", "shares_outstanding", "fund_id", number("revenue").alias("revenue"), number("net_income").alias("net_income"))
 
 
-def statement_fields(names: tuple[str, ...]) -> dict[str, Column]:
-    """Usable values: not null, not nan, and above zero where nothing else makes sense."""
-    return {n: F.when(number(n) > 0, number(n)) if n in ABOVE_ZERO else number(n) for n in names}
-
-
-def _statement_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statements(spark, sf_dir).withColumn("fiscal_period", F.coalesce(fiscal_period("fiscal_period"), F.upper(F.trim("fiscal_period")))).withColumn("period", F.lower(F.trim("period")))
-
-
-def _skyline_args(names: tuple[str, ...]) -> dict:
-    trusted = F.col("ingested_at").isNull() | (F.col("report_date") <= F.col("ingested_at"))
-    return {
-        "group": ["symbol", "fiscal_period", "period"],
-        "row_id": "fund_id",
-        "recency": [F.col("report_date"), F.col("ingested_at")],
-        "trust": F.coalesce(trusted, F.lit(False)).cast("int"),
-        "fields": statement_fields(names),
-    }
-
-
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each statement told by several rows and each case field, the row that serves the field best."""
-    args = _skyline_args(CASE_FIELDS)
-    best = winners(candidates(_statement_groups(spark, sf_dir), **args).where("n > 1"), list(CASE_FIELDS), least_trust=1)
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(f"win_{n}.row").alias("fund_id")) for n in CASE_FIELDS]))
-    return best.select(each.alias("c")).select("c.field_name", "c.fund_id").where("fund_id is not null")
-
-
-def p2_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per statement, each of its fields from the row that serves it best."""
-    return representatives(_statement_groups(spark, sf_dir), **_skyline_args(STATEMENT_FIELDS), least_trust=1).drop("skyline_size")
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with an implausible close, high or volume."""
     return p3_flags(spark, sf_dir).where("flagged").select("bar_id")
@@ -185,13 +145,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_grid(spark, sf_dir).where("filled").select("field_name", "symbol", "week_start")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p2_found, p2_statements, p3_found, p3_flags, p4_found, p4_totals, p5_found, p5_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p3_found, p3_flags, p4_found, p4_totals, p5_found, p5_grid)}
 
 _SYMBOL = "upper(trim(symbol))"
-_YEAR = "case when regexp_matches(fp, '(19|20)[0-9][0-9]') then regexp_extract(fp, '((19|20)[0-9][0-9])', 1) when regexp_matches(fp, '^[1-4]Q[0-9][0-9]$') then '20' || right(fp, 2) when regexp_matches(fp, '^FY[0-9][0-9]') then '20' || substr(fp, 3, 2) end"
-_QUARTER = "case when regexp_matches(fp, '^[1-4]Q') then 'Q' || left(fp, 1) when regexp_matches(fp, 'Q[1-4]') then 'Q' || regexp_extract(fp, 'Q([1-4])', 1) else 'FY' end"
-
-
 def _known_sql(metrics: str, statements: str) -> str:
     return f"""
     with b as (select distinct {_SYMBOL} as symbol, timestamp as t from raw_alpaca_equity_ohlcv where symbol is not null and timestamp is not null),
@@ -206,12 +162,6 @@ def _known_sql(metrics: str, statements: str) -> str:
     """
 
 
-_FIELD_CASES = " union all ".join(
-    f"""select '{n}' as field_name, fund_id from (select *, row_number() over (partition by symbol, fiscal, period order by report_date desc, ingested_at desc nulls last, fund_id desc) as k
-    from g where n > 1 and trusted and {n} is not null and not isnan({n}){f' and {n} > 0' if n in ABOVE_ZERO else ''}) where k = 1"""
-    for n in CASE_FIELDS
-)
-
 _DAILY_SQL = f"""
     with newest as (select {_SYMBOL} as symbol, timestamp::date as d, volume, close from raw_alpaca_equity_ohlcv where symbol is not null and timestamp is not null
         qualify row_number() over (partition by {_SYMBOL}, timestamp::date order by timestamp desc, ingested_at desc nulls last, bar_id desc) = 1),
@@ -240,14 +190,6 @@ _WEEKS = " union all ".join(
     for n, ok in _USABLE.items()
 )
 
-_GROUPS_SQL = f"""
-    with n as (select *, upper(regexp_replace(fiscal_period, '[\\s _./''-]+', '', 'g')) as fp from raw_fd_fundamentals),
-    g as (select * replace ({_SYMBOL} as symbol, lower(trim(period)) as period), ({_YEAR}) || '-' || ({_QUARTER}) as fiscal, coalesce(report_date <= ingested_at, ingested_at is null) as trusted,
-        count(*) over (partition by {_SYMBOL}, ({_YEAR}) || '-' || ({_QUARTER}), lower(trim(period))) as n from n)"""
-_BEST = ", ".join(
-    f"arg_max({f}, (report_date, coalesce(ingested_at, '0001-01-01'::timestamp), fund_id)) filter (trusted and {f} is not null and not isnan({f}) and not isinf({f}){f' and {f} > 0' if f in ABOVE_ZERO else ''}) as {f}" for f in STATEMENT_FIELDS
-)
-
 ORACLES = {
     "p1_found": _known_sql("m.id as row_id", "f.id as row_id") + f"""
     select 'metrics' as kind, km.row_id, r.bar_id from raw_alpaca_equity_ohlcv r join km on km.symbol = upper(trim(r.symbol)) and km.t = r.timestamp
@@ -255,8 +197,6 @@ ORACLES = {
     "p1_attributes": _known_sql("m.id as metric_id, m.shares_outstanding", "f.id as fund_id, f.revenue, f.net_income") + """
     select r.bar_id, km.metric_id, km.shares_outstanding, kf.fund_id, case when not isnan(kf.revenue) then kf.revenue end as revenue, case when not isnan(kf.net_income) then kf.net_income end as net_income
     from raw_alpaca_equity_ohlcv r left join km on km.symbol = upper(trim(r.symbol)) and km.t = r.timestamp left join kf on kf.symbol = upper(trim(r.symbol)) and kf.t = r.timestamp""",
-    "p2_found": f"{_GROUPS_SQL} {_FIELD_CASES}",
-    "p2_statements": f"""{_GROUPS_SQL} select symbol, fiscal as fiscal_period, period, count(*) as n, arg_max(fund_id, (report_date, coalesce(ingested_at, '0001-01-01'::timestamp), fund_id)) filter (trusted) as fund_id, {_BEST} from g group by symbol, fiscal, period""",
     "p4_found": _DAILY_SQL + f"""
     select 'volume' as measure_name, symbol, strftime(d, '%Y-%m-%d') as day_date from w where n30 >= 8 and v30 > 0 and v7 >= {VOLUME_SHARE}::double * v30
     union all select 'close', symbol, strftime(d, '%Y-%m-%d') from w where n30 >= 8 and abs(c7 - c30) >= {CLOSE_SHIFT}::double * c30
