@@ -40,12 +40,44 @@ def test_plans_leave_little_room():
         assert p.packs <= 1.02 * np.ceil(lengths.sum() / capacity) + 1
 
 
+def best_fit_decreasing(histogram, capacity):
+    rooms, packs = np.zeros(capacity + 1, int), 0
+    for length in range(capacity, 0, -1):
+        for _ in range(int(histogram[length])):
+            fits = np.flatnonzero(rooms[length:])
+            room = length + fits[0] if len(fits) else capacity
+            rooms[room] -= len(fits) > 0
+            packs += len(fits) == 0
+            rooms[room - length] += 1
+    return packs
+
+
+@pytest.mark.parametrize("count", [100, 1000, 10_000])
+@pytest.mark.parametrize("capacity", [256, 1024, 4096])
+def test_no_more_packs_than_best_fit_decreasing_and_a_small_gap(count, capacity):
+    rng = np.random.default_rng(count)
+    lengths = np.minimum(np.exp(rng.normal(4.3, 1.4, count)).astype(int) + 1, capacity)
+    h = np.bincount(lengths, minlength=capacity + 1)
+    p = check_plan(h, capacity)
+    assert p.packs <= best_fit_decreasing(h, capacity)
+    assert p.packs <= max(np.ceil(p.bound - 1e-6), 1.0005 * p.bound)
+
+
 def test_hard_sizes_need_mixed_configurations():
     h = [0] * 101
     h[60], h[40], h[35], h[30] = 300, 300, 200, 100
-    assert check_plan(h, 100).packs <= 410
-    _, amounts, bound = solve(np.array([40, 60]), np.array([300, 300]), 100)
-    assert 299 < bound <= 300.001 and amounts.sum() < 305
+    assert check_plan(h, 100).packs == 400
+    steps, bound = solve(np.bincount([40] * 300 + [60] * 300, minlength=101), 100)
+    assert 299 < bound <= 300.001 and sum(s[2] for s in steps) == 300
+
+
+def test_the_bound_is_learned_where_tokens_do_not_give_it():
+    h = np.zeros(101, int)
+    h[34], h[33], h[35], h[50] = 1000, 500, 500, 333
+    p = check_plan(h, 100)
+    assert p.packs == 1042 and 1036 < p.bound <= 1041.5 + 1e-6
+    hard = np.bincount(np.random.default_rng(1).integers(200, 500, 2000), minlength=1001)
+    assert check_plan(hard, 1000).gap < 0.01
 
 
 def test_pricing_is_a_bounded_knapsack():

@@ -1,11 +1,13 @@
 """Filling containers of fixed capacity: a configuration linear program over the histogram of lengths.
 
 Everything that decides how packs are made works on the histogram, which has at most as many rows as the capacity,
-whatever the number of documents. Documents then find their pack by their rank among those of the same length.
+whatever the number of documents; one task per capacity solves its program. Documents then find their pack by their
+rank among those of the same length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,19 +15,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: So many lengths are told apart; more are put into classes.
-EXACT = 256
-CLASSES = 64
+#: Share of what a configuration could still take of its scarcest length that one step takes.
 STEP = 0.25
-ROUNDS = 1500
-GAP = 0.005
+#: How fast a length's weight falls as it is covered, one pass over the program each.
+FALLS = (0.3, 0.1, 0.03, 0.2, 0.05, 0.0, 0.15, 0.01)
+#: Packs that lie above the bound by no more than this share are good enough, as are packs of which no whole one can be saved.
+GAP = 0.0005
+#: Where passes end with a larger gap than this, the weights are learned further, so many rounds before each new pass.
+WIDE_GAP, ROUNDS = 0.005, 400
+#: How much more a token of a long item counts than one of a short item at the start: long items are harder to place.
+LONG = 0.05
+#: Lengths that one step prices: those of the greatest weight, and the shortest.
+HEAVY, SHORT = 96, 32
 #: Rows of one length that one task ranks.
 RANKED_ROWS = 50_000
 
 
 @dataclass
 class Plan:
-    """Runs of slots: the count items of a length from rank first on go to packs from pack on, each into each of them."""
+    """Runs of slots: many packs from pack on hold each items of a length; the first of these has the rank first."""
 
     length: np.ndarray
     first: np.ndarray
@@ -34,19 +42,14 @@ class Plan:
     packs: int
     bound: float
 
-
-def classes_of(histogram: np.ndarray, most: int = CLASSES, exact: int = EXACT) -> np.ndarray:
-    """All lengths if there are at most exact, else the upper ends of at most most classes that hold about the same number of tokens each."""
-    lengths = np.flatnonzero(histogram)
-    if len(lengths) <= exact:
-        return lengths
-    tokens = np.cumsum(lengths * histogram[lengths])
-    wanted = tokens[-1] * np.arange(1, most + 1) / most
-    return np.unique(lengths[np.minimum(np.searchsorted(tokens, wanted), len(lengths) - 1)])
+    @property
+    def gap(self) -> float:
+        """How far the packs lie above the bound of the linear program, as a share of it."""
+        return self.packs / self.bound - 1 if self.bound else 0.0
 
 
 def best_configuration(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each class that fit the capacity at the greatest total price: a bounded knapsack by dynamic programming."""
+    """Copies of each length that fit the capacity at the greatest total price: a bounded knapsack by dynamic programming."""
     value = np.zeros(capacity + 1)
     taken: list[tuple[int, int, np.ndarray]] = []
     for g in np.argsort(-sizes, kind="stable"):
@@ -55,7 +58,7 @@ def best_configuration(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray,
             k = min(copies, left)
             weight = k * int(sizes[g])
             offered = value[: capacity + 1 - weight] + k * prices[g]
-            better = offered > value[weight:] + 1e-15
+            better = offered > value[weight:] + 1e-12
             value[weight:] = np.where(better, offered, value[weight:])
             taken.append((int(g), k, better))
             left -= k
@@ -70,159 +73,153 @@ def best_configuration(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray,
     return out
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """Configurations, how many packs of each cover all counts, and a lower bound on the packs needed.
+def cover(counts: np.ndarray, capacity: int, weights: np.ndarray, fall: float) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """One pass: configurations (lengths, copies of each) and how many packs of each, which together hold every item once.
 
-    Multiplicative weights: each class has a weight that falls as it is covered; each round prices configurations by
-    the weights, takes the best and adds as much of it as covers a STEP of some class. The weights of every round are a
-    dual solution and give the bound (of the packs needed for items of these sizes, so of rounded sizes for classes). Stops when bound and covering differ by gap or after rounds.
+    counts and weights are by length. A length's weight falls exponentially with the share of it that is covered, and to nothing
+    once all of it is. Each step prices configurations by the weights of the lengths that weigh most (per token) and of the
+    shortest, takes the best and adds a whole number of packs of it: at least one, at most as many as cover STEP of what
+    is left of one of its lengths. So the solution is rounded as it is made, and each step ends one length or a STEP of it.
     """
-    n = counts.astype(float)
-    covered = np.zeros(len(n))
-    found: dict[tuple, float] = {}
-    bound, best_x, best_total = 0.0, None, np.inf
-    for done in range(rounds):
-        fallen = np.exp(-(covered - covered.min()))
-        weight = fallen * sizes / capacity if done < len(n) else fallen / n
-        price = weight / weight.max()
-        a = best_configuration(sizes, price, counts, capacity)
-        earned = float(price @ a)
-        bound = max(bound, float(price @ n) / earned)
-        used = a > 0
-        step = STEP * float((n[used] / a[used]).min())
-        covered = covered + step * a / n
-        key = tuple(a)
-        found[key] = found.get(key, 0.0) + step
-        if covered.min() > 0 and (done % 16 == 15 or done == rounds - 1):
-            total = sum(found.values()) / covered.min()
-            if total < best_total:
-                best_total, best_x = total, {k: v / covered.min() for k, v in found.items()}
-            if best_total <= bound * (1 + gap):
-                break
-    chosen = best_x if best_x is not None else found
-    return [np.array(k) for k in chosen], np.array(list(chosen.values())), bound
+    left = counts.copy()
+    steps = []
+    while True:
+        lengths = np.flatnonzero(left)
+        if not len(lengths):
+            return steps
+        density = weights[lengths] / lengths * np.exp(-fall * (1 - left[lengths] / counts[lengths]))
+        if len(lengths) > HEAVY + SHORT:
+            heavy = np.argpartition(-density, HEAVY)[:HEAVY]
+            picked = np.union1d(heavy, np.arange(SHORT))
+            lengths, density = lengths[picked], density[picked]
+        copies = best_configuration(lengths, density * lengths, left[lengths], capacity)
+        used = copies > 0
+        many = max(1, int(STEP * (left[lengths[used]] / copies[used]).min()))
+        left[lengths] -= copies * many
+        steps.append((lengths[used], copies[used], many))
 
 
-def plan_packs(histogram: np.ndarray, capacity: int) -> Plan:
-    """A pack for every item: histogram[l] is the number of items of l tokens, 1 <= l <= capacity.
+def learn(counts: np.ndarray, capacity: int, weights: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Better weights by length, and the bound they give, after rounds of multiplicative weights with falling steps.
+
+    Each round prices all lengths, takes the best configuration and lowers the weights of the lengths it covers, in
+    proportion to the share of them that it covers. The weights that gave the best bound are returned.
+    """
+    lengths = np.flatnonzero(counts)
+    w, n = weights[lengths].copy(), counts[lengths]
+    best, bound = w.copy(), 0.0
+    for t in range(rounds):
+        a = best_configuration(lengths, w / w.max(), n, capacity)
+        offered = float(w @ n) / float(w @ a)
+        if offered > bound:
+            best, bound = w.copy(), offered
+        share = a / n
+        w = w * np.exp(-0.1 / (1 + t) ** 0.5 * share / share.max())
+    out = weights.copy()
+    out[lengths] = best / best.max()
+    return out, bound
+
+
+def solve(counts: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], float]:
+    """Configurations with their packs, and a lower bound on the packs needed, for counts of the lengths 1 to capacity.
 
-    The linear program is solved on classes of lengths rounded up, its solution rounded down to whole packs. Real items
-    take the places of their class, the longest first; the room that this and the rounding up leave is filled with the
-    longest items that fit. What no configuration covers is packed the same way, longest first. Packs that are alike are
-    handled as one run throughout.
+    The bound is the value of a dual solution: any weights divided by the best price of a configuration, found by the
+    knapsack over all lengths. Each pass starts from weights that were raised, by a factor, for lengths whose packs stayed
+    unfilled in the pass before, and, where that leaves a wide gap, from learned ones. The best pass is kept. It ends when
+    the gap is closed or after the last of FALLS.
     """
-    left = histogram.astype(np.int64).copy()
-    left[0] = 0
-    slots: list[tuple[int, int, int, int]] = []
+    lengths = np.flatnonzero(counts)
+    if not len(lengths):
+        return [], 0.0
+    every = np.arange(capacity + 1)
+    weights = every / capacity * (1 + LONG * every / capacity)
+    bound = float((every * counts).sum()) / capacity
+    best: list | None = None
+    least = 0
+    for fall in FALLS:
+        steps = cover(counts, capacity, weights, fall)
+        packs = sum(s[2] for s in steps)
+        if best is None or packs < least:
+            best, least = steps, packs
+        price = weights[lengths]
+        top = best_configuration(lengths, price / price.max(), counts[lengths], capacity)
+        bound = max(bound, float(price @ counts[lengths]) / float(price @ top))
+        if least <= max(np.ceil(bound - 1e-6), bound * (1 + GAP)):
+            break
+        room = np.zeros(capacity + 1)
+        for sizes, copies, many in steps:
+            room[sizes] += copies * many * (capacity / float(sizes @ copies))
+        weights[lengths] *= room[lengths] / counts[lengths]
+        if least > bound * (1 + WIDE_GAP) + 1:
+            weights, learned = learn(counts, capacity, weights)
+            bound = max(bound, learned)
+    return best or [], bound
+
+
+def plan_packs(histogram: np.ndarray, capacity: int) -> Plan:
+    """A pack for every item: histogram[l] is the number of items of l tokens, 1 <= l <= capacity. All packs come from configurations."""
+    counts = histogram.astype(np.int64).copy()
+    counts[0] = 0
+    steps, bound = solve(counts, capacity)
     given = np.zeros(capacity + 1, np.int64)
+    slots: list[np.ndarray] = []
     packs = 0
-    bound = 0.0
-
-    def emit(items: dict[int, int], many: int) -> None:
-        nonlocal packs
-        for length, each in items.items():
-            slots.append((length, int(given[length]), packs, each))
-            given[length] += each * many
+    for lengths, copies, many in steps:
+        slots.append(np.column_stack([lengths, given[lengths], np.full(len(lengths), packs), copies]))
+        given[lengths] += copies * many
         packs += many
-
-    def fill(items: dict[int, int], room: int, many: int) -> None:
-        """Emit many packs that hold items and have room, after filling the room with the longest items that fit."""
-        while many:
-            fits = np.flatnonzero(left[: room + 1])
-            if not len(fits):
-                emit(items, many)
-                return
-            length = int(fits[-1])
-            some = min(many, int(left[length]))
-            copies = min(room // length, int(left[length]) // some)
-            left[length] -= copies * some
-            more = dict(items)
-            more[length] = more.get(length, 0) + copies
-            if some == many:
-                items, room = more, room - copies * length
-            else:
-                fill(more, room - copies * length, some)
-                many -= some
-
-    if left.any():
-        ends = classes_of(left)
-        which = np.searchsorted(ends, np.arange(capacity + 1))
-        counts = np.bincount(which[left > 0], weights=left[left > 0], minlength=len(ends)).astype(np.int64)
-        configurations, amounts, bound = solve(ends, counts, capacity)
-        starts = np.r_[0, ends[:-1]] + 1
-        for i in np.argsort(-amounts, kind="stable"):
-            many = int(amounts[i])
-            if not many:
-                continue
-            places = [g for g in np.flatnonzero(configurations[i]) for _ in range(int(configurations[i][g]))]
-            runs = [(0, many, [])]
-            for g in reversed(places):
-                runs = _put(runs, left, int(starts[g]), int(ends[g]))
-            for _, some, lengths in runs:
-                if not lengths:
-                    continue
-                items: dict[int, int] = {}
-                for length in lengths:
-                    items[length] = items.get(length, 0) + 1
-                fill(items, capacity - sum(lengths), some)
-        while left.any():
-            length = int(np.flatnonzero(left)[-1])
-            copies = min(capacity // length, int(left[length]))
-            many = int(left[length]) // copies
-            left[length] -= copies * many
-            fill({length: copies}, capacity - copies * length, many)
-    slots.sort()
-    table = np.array(slots, np.int64).reshape(-1, 4)
+    table = np.concatenate(slots) if slots else np.zeros((0, 4), np.int64)
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
     return Plan(table[:, 0], table[:, 1], table[:, 2], table[:, 3], packs, bound)
 
 
-def _put(runs: list[tuple[int, int, list[int]]], left: np.ndarray, low: int, high: int) -> list[tuple[int, int, list[int]]]:
-    """Give each pack of runs one more item of a length from low to high, the longest first, as long as there are any."""
-    out = []
-    for at, many, lengths in runs:
-        while many:
-            there = np.flatnonzero(left[low : high + 1])
-            if not len(there):
-                out.append((at, many, lengths))
-                break
-            length = low + int(there[-1])
-            some = min(many, int(left[length]))
-            left[length] -= some
-            out.append((at, some, [*lengths, length]))
-            at, many = at + some, many - some
-    return out
+def _pieces(tokens: DataFrame, capacities: dict[str, int], row_id: str, n_tokens: str) -> DataFrame:
+    size = F.greatest(F.coalesce(F.col(n_tokens).cast("long"), F.lit(0)), F.lit(0))
+    options = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(int(c)).cast("long").alias("capacity")) for n, c in sorted(capacities.items())])
+    return tokens.select(F.col(row_id), size.alias("_size"), F.explode(options).alias("_o")).select(row_id, "_size", "_o.*")
+
+
+def make_plans(tokens: DataFrame, capacities: dict[str, int], *, row_id: str, n_tokens: str = "n_tokens") -> tuple[dict[str, Plan], int]:
+    """The plan of each capacity and the greatest number of items of one length. Each program is solved in a task of its own.
+
+    What comes to the driver are the plans' runs: about log(items of a length) / log(4/3) configurations for each
+    length up to the capacity, however many documents there are.
+    """
+    if capacities and min(capacities.values()) < 1:
+        raise ValueError("capacities must be positive")
+    each = _pieces(tokens, capacities, row_id, n_tokens)
+
+    def program(f: pd.DataFrame) -> pd.DataFrame:
+        capacity = int(f["capacity"].iloc[0])
+        counts = np.zeros(capacity + 1, np.int64)
+        counts[f["length"].to_numpy(np.int64)] = f["items"].to_numpy(np.int64)
+        p = plan_packs(counts, capacity)
+        out = pd.DataFrame({"length": p.length, "first": p.first, "pack": p.pack, "each": p.each})
+        return out.assign(pack_name=f["pack_name"].iloc[0], packs=p.packs, bound=p.bound, most=counts.max())
+
+    schema = "length long, first long, pack long, each long, pack_name string, packs long, bound double, most long"
+    runs = histogram(each).groupBy("pack_name").applyInPandas(program, schema).toPandas()
+    plans = {}
+    for name, f in runs.groupby("pack_name", sort=True):
+        columns = [f[c].to_numpy(np.int64) for c in ("length", "first", "pack", "each")]
+        plans[name] = Plan(*columns, int(f["packs"].iloc[0]), float(f["bound"].iloc[0]))
+    return plans, int(runs["most"].max()) if len(runs) else 0
 
 
-def pack(tokens: DataFrame, capacities: dict[str, int], *, row_id: str, n_tokens: str = "n_tokens") -> DataFrame:
+def pack(tokens: DataFrame, capacities: dict[str, int], *, row_id: str, n_tokens: str = "n_tokens", planned: tuple[dict[str, Plan], int] | None = None) -> DataFrame:
     """Every document in packs of each capacity: pack_name, pack_no (from 1), row_id, piece_no (from 1), tokens_used.
 
     A document of more tokens than the capacity is cut into full packs and a rest; no other is cut. A document of no
     tokens takes no room and is listed in pack 1. Rows that repeat a row_id are items of their own. Null row_ids and
     null or negative sizes count as no tokens. Capacities must be positive; none, or no documents, give no rows.
 
-    The histogram per capacity is all that reaches the driver. Items of one length are ranked in buckets small enough
-    for a task, with the buckets' sizes summed up between, so a length that many items share is no single task.
+    Items of one length are ranked in buckets small enough for a task, with the buckets' sizes summed up between, so a
+    length that many items share is no single task. planned takes what make_plans returned for the same arguments.
     """
-    spark = tokens.sparkSession
-    names = sorted(capacities)
-    schema = "pack_name string, pack_no long, piece_no int, tokens_used long"
-    if not names:
-        return tokens.select(row_id).limit(0).join(spark.createDataFrame([], schema))
-    if min(capacities.values()) < 1:
-        raise ValueError("capacities must be positive")
-    size = F.greatest(F.coalesce(F.col(n_tokens).cast("long"), F.lit(0)), F.lit(0))
-    options = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(int(capacities[n])).cast("long").alias("capacity")) for n in names])
-    each = tokens.select(F.col(row_id), size.alias("_size"), F.explode(options).alias("_o")).select(row_id, "_size", "_o.*")
-    histogram = _histogram(each)
-    plans: dict[str, Plan] = {}
-    most = 0
-    for n in names:
-        counts = np.zeros(capacities[n] + 1, np.int64)
-        for r in histogram:
-            if r["pack_name"] == n:
-                counts[r["length"]] += r["items"]
-        plans[n] = plan_packs(counts, capacities[n])
-        most = max(most, int(counts.max()))
+    if not capacities:
+        return tokens.select(row_id).limit(0).selectExpr("'' as pack_name", "0L as pack_no", row_id, "0 as piece_no", "0L as tokens_used")
+    plans, most = planned or make_plans(tokens, capacities, row_id=row_id, n_tokens=n_tokens)
+    each = _pieces(tokens, capacities, row_id, n_tokens)
     pieces = each.withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("_size") / F.col("capacity")), F.lit(1)).cast("int"))))
     used = F.least(F.col("capacity"), F.col("_size") - (F.col("piece_no") - 1) * F.col("capacity"))
     items = pieces.withColumn("tokens_used", used).drop("_size", "capacity")
@@ -240,23 +237,27 @@ def pack(tokens: DataFrame, capacities: dict[str, int], *, row_id: str, n_tokens
     table = {n: (p.length * (1 << 40) + p.first, p.first, p.pack, p.each) for n, p in plans.items()}
 
     @F.pandas_udf("long")
-    def pack_no(name: pd.Series, length: pd.Series, rank: pd.Series) -> pd.Series:
-        out = np.ones(len(name), np.int64)
-        l, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)  # noqa: E741
-        for n in name.unique():
-            keyed, first, start, each_ = table[n]
-            mine = (name == n).to_numpy() & (l > 0)
-            at = np.searchsorted(keyed, l[mine] * (1 << 40) + r[mine], "right") - 1
-            out[mine] = start[at] + (r[mine] - first[at]) // each_[at] + 1
-        return pd.Series(out)
+    def pack_no(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for name, length, rank in batches:
+            out = np.ones(len(name), np.int64)
+            l, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)  # noqa: E741
+            for n in name.unique():
+                if n not in table:
+                    continue
+                keyed, first, start, each_ = table[n]
+                mine = (name == n).to_numpy() & (l > 0)
+                at = np.searchsorted(keyed, l[mine] * (1 << 40) + r[mine], "right") - 1
+                out[mine] = start[at] + (r[mine] - first[at]) // each_[at] + 1
+            yield pd.Series(out)
 
     rank = F.col("_before") + F.col("_local")
     return ranked.select("pack_name", pack_no("pack_name", "tokens_used", rank).alias("pack_no"), F.col(row_id), F.col("piece_no").cast("int").alias("piece_no"), "tokens_used")
 
 
-def _histogram(each: DataFrame) -> list:
-    """Rows (pack_name, length, items): at most the sum of the capacities. Full packs of cut documents count as items of the capacity."""
+def histogram(each: DataFrame) -> DataFrame:
+    """Rows (pack_name, capacity, length, items): at most the sum of the capacities. Full packs of cut documents count as items of the capacity."""
     rest = F.when(F.col("_size") <= F.col("capacity"), F.col("_size")).otherwise(F.col("_size") % F.col("capacity"))
     full = F.when(F.col("_size") > F.col("capacity"), F.floor(F.col("_size") / F.col("capacity"))).otherwise(F.lit(0).cast("long"))
     parts = F.array(F.struct(rest.alias("length"), F.when(rest > 0, 1).otherwise(0).cast("long").alias("items")), F.struct(F.col("capacity").alias("length"), full.alias("items")))
-    return each.select("pack_name", F.explode(parts).alias("p")).where("p.items > 0").groupBy("pack_name", F.col("p.length").alias("length")).agg(F.sum("p.items").alias("items")).collect()
+    exploded = each.select("pack_name", "capacity", F.explode(parts).alias("p")).where("p.items > 0")
+    return exploded.groupBy("pack_name", "capacity", F.col("p.length").alias("length")).agg(F.sum("p.items").alias("items"))
