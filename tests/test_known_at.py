@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 from tidewell.operators.known_at import join_known, known_at
-from tidewell.operators.skew import hot_keys
+from tidewell.operators.skew import hot_keys, join_spread
 
 ARGS = dict(by="symbol", at="timestamp", valid="timestamp", ingested="ingested_at", row_id="metric_id")
 EVENTS = "bar_id long, symbol string, timestamp timestamp, ingested_at string"
@@ -56,8 +56,11 @@ def test_hot_entities_are_spread_and_lose_nothing(spark):
     events = [(i, "A" if i % 10 else f"S{i}", T0 + timedelta(days=i % 7), "") for i in range(400)]
     rows = [(i, s, T0, None, 1.0) for i, s in enumerate({x[1] for x in events})]
     e, r = spark.createDataFrame(events, EVENTS), spark.createDataFrame(rows, ROWS)
-    assert hot_keys(e, "symbol") == ["A"]
-    assert hot_keys(spark.createDataFrame([], EVENTS), "symbol") == []
+    assert [tuple(k) for k in hot_keys(e, "symbol", 100).collect()] == [("A", 4)]
+    assert hot_keys(spark.createDataFrame([], EVENTS), "symbol", 100).count() == 0
     found = known_at(e, r, **ARGS)
+    left = e.select("bar_id", "symbol", "timestamp").unionByName(spark.createDataFrame([(None, T0, 1000)], "symbol string, timestamp timestamp, bar_id long"))
+    outer = join_spread(left, found, on=["symbol", "timestamp"], key="symbol", spread="bar_id", how="left", rows_per_task=100)
+    assert sorted(x["bar_id"] for x in outer.collect()) == [*range(400), 1000]
     joined = join_known(e.select("bar_id", "symbol", "timestamp"), found, by="symbol", at="timestamp", spread="bar_id")
     assert sorted(x["bar_id"] for x in joined.collect()) == list(range(400))

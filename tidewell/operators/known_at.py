@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.operators.persistent_tree import latest_known
-from tidewell.operators.skew import hot_keys, join_salted, whole_groups
+from tidewell.operators.skew import join_spread, whole_groups
 
 SHARD_DAYS = 28
 BATCH_ROWS = 100_000
@@ -90,4 +90,4 @@ def known_at(events: DataFrame, attributes: DataFrame, *, by: str, at: str, vali
 
 def join_known(events: DataFrame, found: DataFrame, *, by: str, at: str, spread: str, how: str = "inner") -> DataFrame:
     """The rows of events with what known_at found for their (by, at); rows of hot entities are spread by the column spread."""
-    return join_salted(events, found, [by, at], by, spread, hot_keys(events, by), how)
+    return join_spread(events, found, on=[by, at], key=by, spread=spread, how=how)

@@ -8,31 +8,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than this share of the rows; there can be at most 1/HOT_SHARE such keys.
-HOT_SHARE = 1 / 64
-SALTS = 32
+#: Rows of one key that a task may hold; a key of more is spread over several.
+ROWS_PER_TASK = 250_000
+#: Rows of a null key match nothing and are spread over so many tasks.
+NULL_SALTS = 1024
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """The values of key that hold more than share of df's rows: fewer than 1/share of them, whatever the size of df."""
-    counts = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
-    rows = counts.where(F.col("n") > F.lit((total or 0) * share)).select("k").collect()
-    return sorted(r["k"] for r in rows if r["k"] is not None)
+def hot_keys(df: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
+    """The values of key with more rows than a task may hold, and over how many tasks to spread each: key, _tw_salts.
+
+    There are at most rows / rows_per_task of them, so the table can be sent to every task: at a trillion rows of df a few dozen MB.
+    """
+    rows = float(rows_per_task or ROWS_PER_TASK)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_tw_n"))
+    return counts.where(F.col("_tw_n") > rows).select(key, F.ceil(F.col("_tw_n") / rows).cast("int").alias("_tw_salts"))
 
 
-def join_salted(left: DataFrame, right: DataFrame, on: list[str], key: str, spread: str, hot: list, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """left joined with right on the columns on, where rows of left with a hot value of key are spread over salts tasks.
+def join_spread(left: DataFrame, right: DataFrame, *, on: list[str], key: str, spread: str, how: str = "inner", rows_per_task: int | None = None) -> DataFrame:
+    """left joined with right on the columns on, where rows of left with a hot value of key are spread over several tasks.
 
     spread is a column of left whose hash picks the task. right holds one row or few per value of on; only its rows of
-    hot keys are repeated. how is inner or left. Null keys match nothing, as in SQL.
+    hot keys are repeated. how is inner or left. Null keys match nothing, as in SQL. left's keys are counted
+    once, by an aggregate within the same plan; no job runs before the query does.
     """
-    if not hot:
-        return left.join(right, on, how)
     salt = "_tw_salt"
-    several = F.sequence(F.lit(0), F.lit(salts - 1))
-    lefts = left.withColumn(salt, F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-    rights = right.withColumn(salt, F.explode(F.when(F.col(key).isin(hot), several).otherwise(F.array(F.lit(0)))))
+    hot = F.broadcast(hot_keys(left, key, rows_per_task))
+    salts = F.coalesce("_tw_salts", F.lit(1))
+    tasks = F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(salts)
+    lefts = left.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), tasks).cast("int")).drop("_tw_salts")
+    rights = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), salts - 1))).drop("_tw_salts")
     return lefts.join(rights, [*on, salt], how).drop(salt)
 
 

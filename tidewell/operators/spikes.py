@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import day_number
-from tidewell.operators.skew import hot_keys, join_salted, spread, whole_groups
+from tidewell.operators.skew import join_spread, spread, whole_groups
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 FIELDS = ("close", "high", "volume")
@@ -281,7 +281,7 @@ def flag_bars(bars: DataFrame, *, row_id: str, source: str, at: str, ingested: s
 
     series = daily.select("source", "day", *FIELDS, "open", "keys", "mounting", "all_bad")
     contexts = spread(series, "source").sortWithinPartitions("source", "day").mapInPandas(learn, CONTEXT)
-    joined = join_salted(rows.drop("ing"), contexts, ["source", "day"], "source", "row", hot_keys(rows, "source"), how="left")
+    joined = join_spread(rows.drop("ing"), contexts, on=["source", "day"], key="source", spread="row", how="left")
     return _judge(joined, longest_live_run).select(F.col("row").alias(row_id), "p_spike", "p_stuck", "is_spike", "is_stuck", "is_impossible", "flagged")
 
 
