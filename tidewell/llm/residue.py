@@ -1,190 +1,255 @@
 """Template residue, filler and error pages among documents.
 
-A document is divided into segments (lines and sentences). Cheap detectors mark segments as placeholders, filler, possible notices or
-page furniture; what remains is proper content. Whether a possible notice is one is decided by the whole collection:
-a notice stands alone, again and again and on several hosts, while a sentence about notices stands among proper content.
+A document is divided into segments (lines and sentences). Open places of templates are found by their form. Whether
+a segment is a notice, an error message or filler is decided by evidence from the whole collection: a first guess
+learned from a few labelled examples, the words that stand in such texts and in others, whether the segment stands
+alone, and whether several hosts repeat it. A document is residue when such segments are all that it holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewell.operators.skew import hot_keys, join_salted
+from tidewell.llm.examples import ORDINARY, RESIDUE
+from tidewell.llm.places import MAY_HOLD, open_places
+from tidewell.operators.skew import join_spread
 from tidewell.session import cut
 
-# Forms of template places, in Java's syntax.
-PLACES = (
-    r"\$\{\s*[A-Za-z_][\w. ]{0,40}\}",
-    r"\{\{[^{}\n]{1,60}\}\}",
-    r"\{%[^%\n]{1,60}%\}",
-    r"<%[^%\n]{1,60}%>",
-    r"\[\[\s*[A-Za-z_][\w .-]{0,40}\]\]",
-    r"\[(?:INSERT|ENTER|ADD|YOUR|NAME|DATE|COMPANY|TITLE|FILL)\b[^\]\n]{0,40}\]",
-    r"(?i:\[(?:insert|enter|add|your|fill in)\b[^\]\n]{0,40}\])",
-    r"(?i:\[[^\]\n]{1,40}\bhere\])",
-    r"(?<![\w_])__[A-Za-z][A-Za-z0-9_]*__(?![\w_])",
-    r"(?<![\w%])%[A-Z][A-Z_]{1,30}%(?![\w%])",
-    r"(?<![\w{$%])\{[A-Za-z_][\w]{1,30}\}(?!\})",
-    r"(?<![\w<])<[A-Z][A-Z_]{1,30}>",
-    r"<<\s*[A-Za-z_][\w .-]{0,40}>>",
-    r"@@[A-Za-z_][\w.-]{0,40}@@",
-    r"##[A-Za-z_][\w.-]{0,40}##",
-    r"\u00AB[A-Za-z_][\w .-]{0,40}\u00BB",
-    r"(?<![\w'\"])(?:XX|XXX|XXXX|TBD|TODO|TBA|FIXME)(?![\w'\"])",
-    r"(?<![\w'\"])\?{3,}",
-)
-# Characters or words of which every form of PLACES has one.
-MAY_BE_PLACE = r"[\[{<%_@#?\u00AB]|XX|TBD|TODO|TBA|FIXME"
-# Words of sentences that write about placeholders or name the tools that use them.
-ABOUT_PLACES = (
-    r"(?i)\b(?:templates?|placeholders?|stands? for|replace[sd]?|variables?|substitut\w+|quoted|written as|denotes?|marks? (?:a|the)|syntax|macros?|escap\w+|"
-    r"environment|set the paths?|must exist|we use|the rule|notation|convention|steht für|platzhalter|vorlage|variable|remplac\w+|modèle|plantilla|reemplaz\w+|sustitu\w+)\b"
-)
-# Phrases of filler copy.
-FILLER = (
-    r"(?i)(?:\b(?:dummy|sample|placeholder|filler) (?:copy|text|paragraphs?|content|headline)\b|\bbody copy for\b|\bdescription of item\b|^\W*item \d+\W*$|^\W*heading (?:one|two|three|four|five|six|\d+)\W*$|"
-    r"\btext to follow\b|\b(?:summary|text|title|analysis|content|heading|body|copy|name) goes here\b|^\W*(?:write|add|enter|insert|type|paste|put) (?:the|your|a) .{0,60}(?:\bhere\b|\bin this (?:box|field|space)\b)|^\W*(?:tbd|tba|todo|xxx+|n/a)(?:\W+(?:tbd|tba|todo|xxx+|n/a))*\W*$|\bcopy to come\b|\bcontent to come\b|\bcoming soon\b|\bholds the place of\b|\bfor layout only\b|\breplace before release\b|\blorem ipsum\b|\bblindtext\b|\btexte (?:de remplissage|provisoire|à venir)\b|\btexto de relleno\b|\btext folgt\b)"
-)
-# Words of which every phrase of FILLER has one.
-FILLER_HINTS = "copy text paragraph paragraphs content headline body item heading come coming place layout release lorem blindtext texte texto here box field space tbd tba todo n provisoire".split()
-# Frequent words of English, German, French and Spanish; hardly a proper sentence has none.
-FUNCTION_WORDS = (
-    "the of and to in a an is was were are be been by for from with on at as that this it its or but not no has have had will would can may could than then when which who we you they he she i our your their there "
-    "more over after before between like see get got maybe here same yes anyone else now look looks think into out up so if all any each some only still under while near about both how what where ok "
-    "der die das den dem des ein eine einen einem einer und oder aber nicht ist war sind waren wurde wurden wird für von mit auf zu im in am bei nach um aus über unter bis dass sich "
-    "le la les un une des du de et ou mais ne pas est sont était ont sur dans par pour avec au aux ce cette qui que se il elle nous vous leur "
-    "el los las una unos del y o pero no es son fue fueron con por para en al lo su sus se que como más"
-).split()
-# Words that notices of a missing page, script or service use and other texts seldom do.
-NOTICE_WORDS = (
-    "javascript js script scripts scripting noscript browser cookie cookies captcha forbidden permission unauthorized unauthorised unavailable timeout maintenance withdrawn traceback exception reload "
-    "seite skript skripte skripten zugriff angemeldet sitzung fehler aktivieren aktiviere erneut später verfügbar "
-    "navigateur serveur erreur introuvable indisponible veuillez activer activez réessayer réessayez "
-    "navegador página servidor inténtelo habilite habilitar active acceso"
-).split()
-# Phrases of such notices, in lower case, as words with single blanks.
-NOTICE_PHRASES = (
-    "are human", "are a human", "are a person", "are a robot", "is a robot", "is a human", "is a person", "are robot", "not found", "isn't found", "cannot be found", "could not be found", "can't be found",
-    "unexpected error", "error id", "error code", "error occurred", "error has occurred", "an error", "internal server", "server error", "bad gateway", "gateway timeout", "gateway time out",
-    "went wrong", "was a problem", "did not answer", "did not respond", "try again", "try once more", "come back later", "access denied", "not allowed", "not authorised", "not authorized", "not permitted",
-    "licence to open", "licence to view", "licence to read", "licence to see", "license to open", "license to view", "license to read", "license to see", "deleted by",
-    "you asked for", "you were looking for", "you requested", "you tried to open", "session expired", "session has expired", "session timed out", "session has timed out", "signed out", "logged out", "log in again", "log in to", "sign in again", "sign in to",
-    "timed out", "time out", "too many requests", "too many clients", "too many connections", "rate limit", "slow down", "moved or", "no longer available", "no longer here", "no longer exists", "does not exist", "doesn't exist",
-    "the page you", "the document you", "this page", "that page", "la page", "failed to fetch", "failed to load", "failed to connect", "failed to open", "failed to render", "stack trace", "checking your", "nothing happens", "switch it on",
-    "start page", "home page", "homepage", "help desk", "quote this number", "the team has been told", "the team has been notified", "nicht gefunden", "versuchen sie", "acc\u00E8s refus\u00E9", "plus tard", "no est\u00E1 disponible", "m\u00E1s tarde", "por favor",
+BLANKS = re.compile(r"[  -​　﻿\t]")
+DIVIDE = re.compile(r"[\r\n]+|(?<=[.!?])['\")\]]*\s+(?=[^\W_]|[<\[({$'\"%_#])")
+WORD = re.compile(r"(?<!\w)[^\W\d_]{2,}(?:['’][^\W\d_]+)?(?!\w)")
+CODE = re.compile(r"(?<![\w.,])[45]\d\d(?![\w.,]\d|%)")
+BREADCRUMBS = re.compile(r"\s[|>»/·]\s")
+ENDED = re.compile(r"[.!?]['\")\]]*$")
+# Single lines around a page's content.
+FURNITURE = re.compile(
+    r"^\W*(?:home|menu|search|alerts|sign in|log ?in|log ?out|contact(?: us| support)?|skip to content|terms(?: of (?:use|service))?|privacy(?: policy)?|imprint|back(?: to \w+)?|share|print|"
+    r"all rights reserved|copyright.*|©.*|navigation|subscribe|newsletter|next|previous|help|about(?: us)?)\W*$",
+    re.IGNORECASE,
 )
-# Patterns of such notices, each with the words of which one must be there.
-NOTICE_PATTERNS = (
-    ("can't cannot could couldn't", r"\b(?:can't|cannot|could not|couldn't) (?:seem to )?(?:find|open|load|connect|reach|verify|process|display|complete|show)\b"),
-    ("limit code incident reference takes loading", r"\blimit of \d+\b|\bcode \d{3}\b|\bincident [0-9a-f]+\b|\breference [0-9a-f]{6,}\b|\bthis takes \d+\b|\bloading\b.{0,40}\.\.\."),
-    ("page", r"\bpage (?:not|is|was|has|requires)\b|\bpage\b.{0,40}\b(?:missing|gone|moved)\b"),
-    ("error", r"^\W*error\b"),
-)
-# Shapes of raw errors and bare markup.
-RAW_ERROR = r"^\W*\w*Error: |^\s*File \"[^\"]+\", line \d+|\bat line \d+\b|(?i:<html|<title>|<h1>|<error>|<code>|</\w+>\s*$)|^\W*(?i:http/\d|x-request)|^\W*[45]\d\d\b\W*(?:$|[A-Za-z-]{2,}(?: [A-Za-z]+){0,4}\W*$)"
-# Lines around a page's content.
-FURNITURE = (
-    r"(?i)^\W*(?:home|menu|search|sign in|log ?in|log ?out|contact(?: us| support)?|skip to content|terms(?: of (?:use|service))?|privacy(?: policy)?|imprint|back(?: to (?:top|list|start))?|share|print|"
-    r"all figures are delayed|all rights reserved|copyright.*|©.*|navigation|subscribe|newsletter|next|previous|help|about(?: us)?|alerts|markets|filings)\W*$"
-)
-#: A sentence stands alone in a document that holds fewer words of other content.
-RICH_WORDS = 12
-#: Words of proper content that a page around a notice may still hold.
-SPARE_WORDS = 7
-#: Weight, in hosts, of the first guess that a sentence is a notice, and that guess, for sentences with and without a notice's words.
-PRIOR = {True: (1.0, 0.6), False: (2.0, 0.0)}
-#: A sentence without a notice's words is one only if it stands alone on so many hosts and so often.
-LEAST_HOSTS, LEAST_ALONE = 3, 0.6
-#: Segments that can be notices.
-TELLING = "not is_furniture and not is_filler and (is_cue or not is_short)"
-#: Words of lines too short to be content when they lack a sentence's end.
-SHORT_LINE = 5
+#: A segment stands alone in a document that holds fewer words of other, unexplained content, each sentence counted once.
+RICH_WORDS = 15
+#: Words of proper content that a page around residue may hold, and as a share of the residue; twice as many where title and body share no word.
+SPARE_WORDS, SPARE_SHARE = 7, 0.15
+#: A title is a first line of at most so many words without a sentence's end.
+TITLE_WORDS = 8
+#: Log odds of residue before anything is known of a document or a segment, and the most that the examples say of one.
+DOCUMENT_ODDS, SEGMENT_ODDS, MOST_GUESS = -2.0, -1.0, 6.0
+#: Half the documents' worth of weight by which a word's odds are drawn to the collection's.
+SHRINK = 4.0
+#: Weight of a segment that several hosts repeat from which on its own behaviour counts for more than its words.
+KNOWN_WEIGHT = 8.0
+#: What is added to the counts of words among the examples.
+FEW = 0.3
+#: Most that one word adds or takes.
+MOST_WORD = 3.0
+#: A possible place counts if it is one of several in the document or is left open in so many documents of so many hosts.
+SHARED_DOCUMENTS, SHARED_HOSTS = 3, 2
+#: Judgements of segments that one process keeps.
+MEMORY = 200_000
+
+
+class Guess:
+    """The first guess: log odds of residue from words and pairs of words, learned from the labelled examples."""
+
+    def __init__(self) -> None:
+        counts = {True: Counter(), False: Counter()}
+        for label, lines in ((True, RESIDUE), (False, ORDINARY)):
+            for line in lines:
+                counts[label].update(set(self.features(terms_of(line))))
+        sizes = {label: len(lines) for label, lines in ((True, RESIDUE), (False, ORDINARY))}
+        self.odds = {
+            f: math.log((counts[True][f] + FEW) / (sizes[True] + 1)) - math.log((counts[False][f] + FEW) / (sizes[False] + 1))
+            for f in set(counts[True]) | set(counts[False])
+        }
+
+    @staticmethod
+    def features(terms: list[str]) -> list[str]:
+        return terms + [f"{a} {b}" for a, b in zip(terms, terms[1:])]
+
+    def __call__(self, terms: list[str]) -> float:
+        said = [self.odds.get(f, 0.0) for f in dict.fromkeys(self.features(terms))]
+        return max(-MOST_GUESS, min(MOST_GUESS, sum(said)))
+
+
+def terms_of(segment: str) -> list[str]:
+    """The words of a segment in lower case, without numbers and names of single letters; a short one's error code is a word."""
+    words = WORD.findall(segment.lower())
+    return ["#code", *words] if len(words) <= 6 and CODE.search(segment) else words
+
+
+_guess: list[Guess] = []
+_memory: dict[str, tuple[int, float]] = {}
+
 
+def judge(text: str) -> tuple[int, float, str]:
+    """Hash, first guess and terms of a segment's joined terms, from memory if it was seen before."""
+    known = _memory.get(text)
+    if known is None:
+        if not _guess:
+            _guess.append(Guess())
+        if len(_memory) >= MEMORY:
+            _memory.clear()
+        known = _memory[text] = (xxhash.xxh64_intdigest(text) - (1 << 63), _guess[0](text.split(" ")) if text else 0.0)
+    return known
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}']+"), lambda w: F.length(w) > 0)
+
+SEGMENT = T.StructType(
+    [T.StructField("row", T.LongType()), T.StructField("host", T.StringType()), T.StructField("key", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("guess", T.FloatType()),
+     T.StructField("belongs", T.FloatType()), T.StructField("alone", T.IntegerType()), T.StructField("is_content", T.BooleanType()), T.StructField("is_title", T.BooleanType()), T.StructField("mismatch", T.BooleanType()),
+     T.StructField("certain", T.IntegerType()), T.StructField("possible", T.ArrayType(T.LongType())), T.StructField("terms", T.StringType())]
+)
+
+
+def read(row: int, host: str | None, text: str) -> list[tuple]:
+    """The rows of segments for one document, but for their terms."""
+    parts = [p.strip() for p in DIVIDE.split(BLANKS.sub(" ", text))]
+    parts = [p for p in parts if p]
+    if not parts:
+        return []
+    certain, possible = 0, set()
+    if MAY_HOLD.search(text):
+        for p in parts:
+            if MAY_HOLD.search(p):
+                sure, maybe = open_places(p)
+                certain += sure
+                possible |= maybe
+    found = []
+    for p in parts:
+        terms = terms_of(p)
+        joined = " ".join(terms)
+        key, guess = judge(joined)
+        line = bool(BREADCRUMBS.search(p) and not ENDED.search(p)) or bool(FURNITURE.match(p))
+        found.append((key, len(terms), guess, not line and bool(terms), joined))
+    content = [f for f in found if f[3]]
+    title = len(content) > 1 and content[0][1] <= TITLE_WORDS and not ENDED.search(parts[found.index(content[0])])
+    mismatch = False
+    if title:
+        body = {t for f in content[1:] for t in f[4].split(" ")}
+        slug = set(content[0][4].split(" ")) | set(re.findall(r"[^\W_]+", (host or "").lower()))
+        mismatch = not slug & body
+        content = content[1:]
+    odds = DOCUMENT_ODDS + sum(f[2] for f in content) / max(1.0, math.sqrt(len(content)))
+    belongs = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+    least = 0.0 if odds > 0 else 1e-9
+    by_key = {f[0]: f[1] for f in content if f[2] < least}
+    other = sum(by_key.values())
+    first = True
+    out = []
+    for key, words, guess, is_content, joined in found:
+        is_title = title and first and is_content
+        first = first and not is_content
+        out.append((row, host, key, words, guess, belongs, int(other - by_key.get(key, 0) < RICH_WORDS), is_content, is_title, mismatch, 0, None, joined))
+    sure = certain + (len(possible) if len(possible) > 1 else 0)
+    hashes = [xxhash.xxh64_intdigest(p) - (1 << 63) for p in sorted(possible)] or None
+    out[0] = (*out[0][:10], sure, hashes, out[0][12])
+    return out
 
 
 def segments(documents: DataFrame, row_id: str, text: str, host: str) -> DataFrame:
-    """One row per line or sentence: row_id, host, seg, words, key, and the detectors' marks. Keys leave out numbers, case and blanks."""
-    flat = F.regexp_replace(F.col(text), r"[\u00A0\u2000-\u200B\u3000\uFEFF\t]", " ")
-    parts = F.split(flat, r"[\r\n]+|(?<=[.!?])['\")\]]*\s+(?=[\p{L}\p{N}<\[({$'\"%_])")
-    base = documents.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("row"), F.col(host).alias("host"), F.explode(parts).alias("seg"))
-    base = base.withColumn("seg", F.trim("seg")).where(F.length("seg") > 0)
-    # Words are worked out once, in a projection of their own.
-    base = base.withColumn("w", _words(F.col("seg"))).withColumn("told", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
-    words = F.col("w")
-    among = lambda fixed: F.arrays_overlap(words, F.array(*[F.lit(w) for w in sorted(set(fixed))]))
-    # A phrase is looked for only where its longest word is.
-    phrases = F.array(*[F.lit(f" {p} ") for p in NOTICE_PHRASES])
-    said = among([max(p.split(), key=len) for p in NOTICE_PHRASES]) & F.exists(phrases, lambda p: F.contains(F.col("told"), p))
-    cue = among(NOTICE_WORDS) | said | F.col("seg").rlike(RAW_ERROR)
-    for hints, pattern in NOTICE_PATTERNS:
-        cue = cue | (among(hints.split()) & F.lower("seg").rlike(pattern))
-    filler = (among(FILLER_HINTS) | F.col("seg").rlike(r"(?i)\bx{3,}")) & F.col("seg").rlike(FILLER)
-    place = F.lit(False)
-    for p in PLACES:
-        place = place | F.col("seg").rlike(p)
-    place = F.col("seg").rlike(MAY_BE_PLACE) & place
-    about = F.col("seg").rlike(ABOUT_PLACES)
-    spoken = F.col("seg").rlike(r"^[\p{L}\d_.-]{1,20}:\s")
-    lexical = F.filter(words, lambda w: w.rlike(r"^\p{L}"))
-    hollow = ~among(FUNCTION_WORDS) & ~spoken & ~F.col("seg").rlike(r"[|<>{}\[\]_=/]") & (F.size(lexical) >= 4)
-    masked = F.regexp_replace(F.regexp_replace(F.lower("seg"), r"\b[0-9a-f]*\d[0-9a-f]*\b", "#"), r"[^\p{L}#]+", " ")
-    marked = base.select(
-        "row", "host", F.size(words).alias("words"), F.xxhash64(F.trim(masked)).alias("key"),
-        (place & ~about).alias("is_place"),
-        F.coalesce(filler | hollow, F.lit(False)).alias("is_filler"),
-        F.coalesce(cue, F.lit(False)).alias("is_cue"),
-        (F.col("seg").rlike(FURNITURE) | F.col("seg").rlike(r"^[^.!?]*(?: \| | > )[^.!?]*$")).alias("is_furniture"),
-        ((F.size(words) <= SHORT_LINE) & ~F.col("seg").rlike(r"[.!?]['\")]*$")).alias("is_short"),
-    )
-    content = ~F.col("is_cue") & ~F.col("is_filler") & ~F.col("is_furniture") & ~F.col("is_short")
-    return marked.withColumn("content", F.when(content, F.col("words")).otherwise(0))
+    """One row per line or sentence: row, host, key (hash of its words), words, guess, belongs (first guess for its document), alone,
+    is_content (no furniture), is_title, mismatch (title and body share no word), certain and possible (open places, in
+    a document's first row) and terms (its words, once per task for each key)."""
 
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[int] = set()
+        for f in frames:
+            rows = [r for row, h, t in zip(f["row"], f["host"], f["text"]) for r in read(row, h, t)]
+            if len(told) > MEMORY:
+                told = set()
+            for i, r in enumerate(rows):
+                if r[2] in told:
+                    rows[i] = (*r[:12], None)
+                told.add(r[2])
+            yield pd.DataFrame(rows, columns=SEGMENT.names)
 
-def notices(marked: DataFrame, totals: DataFrame) -> DataFrame:
-    """The keys that the collection shows to be notices: those that mostly stand without other content.
+    held = documents.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("row"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
+    return held.mapInPandas(each, SEGMENT)
 
-    Each (key, host) is first counted by itself; each host then weighs by the root of its count, so one host that repeats a
-    sentence doesn't outvote several. A sentence with a notice's words is guessed to be one until the collection says
-    otherwise; one without them must stand alone on several hosts. At most as many rows as there are different sentences.
+
+def key_evidence(marked: DataFrame) -> DataFrame:
+    """Per key: weight, guess, terms, share (how much of it is residue by guess and standing alone) and odds that its hosts give.
+
+    Each (key, host) is counted by itself; a host weighs by the root of its count, so one that repeats a sentence
+    doesn't outvote several. What a single host says gives no odds; from three hosts on it counts in full.
     """
-    other = F.col("total") - F.col("content")
-    each = marked.where(TELLING).join(totals.select("row", F.col("content").alias("total")), "row")
-    alone = F.avg(F.when(other < RICH_WORDS, 1.0).otherwise(0.0))
-    hosts = each.groupBy("key", "host").agg(F.count("*").alias("n"), alone.alias("alone"), F.max("is_cue").alias("is_cue"))
+    content = marked.where("is_content")
+    hosts = content.groupBy("key", "host").agg(F.count("*").alias("n"), F.avg("alone").alias("alone"), F.avg("belongs").alias("belongs"), F.max("guess").alias("guess"), F.avg(F.col("mismatch").cast("int")).alias("mismatch"))
     weight = F.sqrt("n")
-    keys = hosts.groupBy("key").agg(F.sum(weight).alias("weight"), F.sum(weight * F.col("alone")).alias("alone"), F.count("*").alias("hosts"), F.max("is_cue").alias("is_cue"))
-    score = lambda cue: (F.col("alone") + F.lit(PRIOR[cue][0] * PRIOR[cue][1])) / (F.col("weight") + F.lit(PRIOR[cue][0]))
-    shown = F.when(F.col("is_cue"), score(True) >= 0.5).otherwise((F.col("hosts") >= LEAST_HOSTS) & (score(False) >= LEAST_ALONE))
-    return keys.where(shown).select("key", F.lit(True).alias("shown"))
+    keys = hosts.groupBy("key").agg(
+        F.sum(weight).alias("weight"), F.sum(weight * F.col("alone")).alias("alone"), F.sum(weight * F.col("belongs")).alias("belongs"), F.sum(weight * F.col("mismatch")).alias("mismatch"),
+        F.count("*").alias("hosts"), F.max("guess").alias("guess"),
+    )
+    alone = F.col("alone") / F.col("weight")
+    shared = F.least(F.col("hosts") - 1, F.lit(2)) / F.lit(2.0)
+    odds = shared * 2 * F.log((F.col("alone") + 0.5) / (F.col("weight") - F.col("alone") + 0.5))
+    guessed = F.col("belongs") / F.col("weight")
+    repeated = F.when((F.col("hosts") >= 3) & (alone >= 0.6), 0.7).otherwise(0.0)
+    share = guessed * (F.col("alone") + 0.5) / (F.col("weight") + 0.75) + (1 - guessed) * repeated
+    words = marked.where("is_content and terms is not null").groupBy("key").agg(F.max("terms").alias("terms"))
+    return keys.select("key", "weight", "guess", share.alias("share"), odds.alias("odds"), shared.alias("shared")).join(words, "key")
+
 
+def word_scores(keys: DataFrame) -> DataFrame:
+    """Per key the score from its words: the log odds that each has in the rest of the collection. keys is read several times."""
+    total = keys.select((F.col("weight") * F.size(F.split("terms", " "))).alias("w"), "share").agg(F.sum(F.col("w") * F.col("share")).alias("r"), F.sum("w").alias("n")).first()
+    rate = min(0.9, max(0.001, (total["r"] or 0.0) / total["n"])) if total["n"] else 0.5
+    own = keys.select("key", (F.col("weight") * F.col("share")).alias("own_r"), (F.col("weight") * (1 - F.col("share"))).alias("own_p"), F.explode(F.array_distinct(F.split("terms", " "))).alias("term")).where("term <> ''")
+    words = own.groupBy("term").agg(F.sum("own_r").alias("r"), F.sum("own_p").alias("p"))
+    both = join_spread(own, words, on=["term"], key="term", spread="key")
+    r, p = F.col("r") - F.col("own_r") + SHRINK * rate, F.col("p") - F.col("own_p") + SHRINK * (1 - rate)
+    odds = F.log(F.greatest(r, F.lit(1e-6)) / F.greatest(p, F.lit(1e-6))) - math.log(rate / (1 - rate))
+    return both.groupBy("key").agg(F.sum(F.greatest(F.lit(-MOST_WORD), F.least(F.lit(MOST_WORD), odds))).alias("words_say"))
 
-def flag_residue(documents: DataFrame, *, row_id: str, text: str, host: str) -> DataFrame:
-    """Every document's verdict: row_id, has_places, is_filler, is_notice, flagged.
 
-    has_places: a template's place was left open in a segment that doesn't write about templates. is_filler: at least
-    half of the words outside page furniture are filler. is_notice: it holds a notice and, besides notices and furniture,
-    hardly a word. Same texts get the same verdict. Null and empty texts hold nothing and aren't flagged; a null host is a
-    host of its own. Rows with a null row_id are left out; rows that repeat a row_id are one document. Empty input
-    gives no rows.
+def flag_residue(documents: DataFrame, *, row_id: str, text: str, host: str, host_evidence: bool = True) -> DataFrame:
+    """Every document's verdict: row_id, has_places, is_residue, residue_words, other_words, flagged.
+
+    has_places: a template's place was left open in a sentence that doesn't speak of the place; a form that means other
+    things as well counts if the document has several or the same one is left open elsewhere. is_residue: it holds
+    segments that the evidence calls notice, error or filler and, besides them, its title and page furniture,
+    hardly a word. Same texts get the same verdict. host_evidence=False leaves out what standing alone on several hosts says.
+
+    row_id must be a whole number. Null and empty texts hold nothing and aren't flagged; a null host is a host of its own. Rows
+    with a null row_id are left out; rows that repeat a row_id are one document. Empty input gives no rows.
     """
     marked = cut(segments(documents, row_id, text, host))
-    totals = marked.groupBy("row").agg(
-        F.max("is_place").alias("has_places"), F.sum(F.when(F.col("is_filler"), F.col("words")).otherwise(0)).alias("filler"), F.sum("content").alias("content"),
-        F.sum(F.when(F.col("is_cue") & ~F.col("is_filler"), F.col("words")).otherwise(0)).alias("cued"),
+    keys = key_evidence(marked)
+    if not host_evidence:
+        keys = keys.withColumn("odds", F.lit(0.0)).withColumn("shared", F.lit(0.0)).withColumn("share", F.when(F.col("guess") > 0, 0.5).otherwise(0.0))
+    keys = cut(keys)
+    told = (F.col("guess") + F.coalesce("words_say", F.lit(0.0))) / (1 + F.col("weight") * F.col("shared") / KNOWN_WEIGHT)
+    score = F.lit(SEGMENT_ODDS) + F.col("odds") + told
+    judged = keys.join(word_scores(keys), "key", "left").select("key", (score > 0).alias("is_bad"))
+    content = marked.where("is_content").select("row", "key", "words", "is_title", "mismatch")
+    each = join_spread(content, judged, on=["key"], key="key", spread="row")
+    sums = each.groupBy("row").agg(
+        F.sum(F.when(F.col("is_bad"), F.col("words")).otherwise(0)).alias("residue_words"), F.sum(F.when(F.col("is_bad") | F.col("is_title"), 0).otherwise(F.col("words"))).alias("other_words"), F.max("mismatch").alias("mismatch")
     )
-    known = marked.where(TELLING).select("row", "key", "words", "content")
-    shown = join_salted(known, notices(marked, totals), ["key"], "key", "row", hot_keys(known, "key"))
-    noticed = shown.groupBy("row").agg(F.sum("words").alias("notice"), F.sum("content").alias("noticed_content"))
-    verdict = totals.join(noticed, "row", "left").na.fill(0, ["notice", "noticed_content"])
-    plain = F.col("content") - F.col("noticed_content") + F.greatest(F.col("cued") - (F.col("notice") - F.col("noticed_content")), F.lit(0))
-    verdict = verdict.select(
-        F.col("row").alias(row_id), "has_places", ((F.col("filler") > 0) & (F.col("filler") >= plain + F.col("notice"))).alias("is_filler"), ((F.col("notice") > 0) & (plain <= SPARE_WORDS)).alias("is_notice"),
-    )
-    ids = documents.where(F.col(row_id).isNotNull()).select(row_id).distinct()
-    false = F.lit(False)
-    out = ids.join(verdict, row_id, "left").select(row_id, *[F.coalesce(c, false).alias(c) for c in ("has_places", "is_filler", "is_notice")])
-    return out.withColumn("flagged", F.col("has_places") | F.col("is_filler") | F.col("is_notice"))
+    spare = F.greatest(F.lit(float(SPARE_WORDS)), F.col("residue_words") * SPARE_SHARE) * F.when(F.col("mismatch"), 2).otherwise(1)
+    sums = sums.select("row", "residue_words", "other_words", ((F.col("residue_words") > 0) & (F.col("other_words") <= F.least(spare, F.col("residue_words") * 2.0))).alias("is_residue"))
+    return _with_places(documents.where(F.col(row_id).isNotNull()).select(row_id).distinct(), sums, marked, row_id)
+
+
+def _with_places(ids: DataFrame, sums: DataFrame, marked: DataFrame, row_id: str) -> DataFrame:
+    places = marked.where("certain > 0 or possible is not null").select("row", "host", "certain", F.explode_outer("possible").alias("possible"))
+    shared = places.where("possible is not null").groupBy("possible", "host").agg(F.count("*").alias("n")).groupBy("possible").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"))
+    shared = shared.where((F.col("n") >= SHARED_DOCUMENTS) & (F.col("hosts") >= SHARED_HOSTS)).select("possible", F.lit(True).alias("is_shared"))
+    joined = join_spread(places, shared, on=["possible"], key="possible", spread="row", how="left")
+    open_ = joined.where("certain > 0 or is_shared").select("row", F.lit(True).alias("has_places")).distinct()
+    no = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    out = ids.withColumn("row", F.col(row_id).cast("long")).join(sums, "row", "left").join(open_, "row", "left")
+    out = out.select(row_id, no("has_places", False), no("is_residue", False), no("residue_words", 0), no("other_words", 0))
+    return out.withColumn("flagged", F.col("has_places") | F.col("is_residue"))
+
+
