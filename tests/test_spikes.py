@@ -2,10 +2,11 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewell.operators.spikes import MOVES, START, flag_bars, forward_backward
+from tidewell.operators.spikes import MOVES, START, day_contexts, flag_bars, forward_backward
 
 SCHEMA = "bar_id long, symbol string, timestamp timestamp, ingested_at timestamp, open double, high double, low double, close double, volume long, day string, row string, source string"
 T0 = datetime(2024, 1, 1)
@@ -118,8 +119,8 @@ def test_forward_backward_equals_enumeration(densities):
 
     d = np.array(densities)
     n = len(d)
-    ahead, behind, _ = forward_backward(np.log(d)[None], np.array([n]), MOVES[None])
-    got = ahead[0] * d * behind[0]
+    ahead, behind, _ = forward_backward(np.log(d), np.array([n]), MOVES[None])
+    got = ahead * d * behind
     got /= got.sum(axis=1, keepdims=True)
     want = np.zeros((n, 4))
     for path in itertools.product(range(4), repeat=n):
@@ -129,3 +130,55 @@ def test_forward_backward_equals_enumeration(densities):
         for i, s in enumerate(path):
             want[i, s] += p
     np.testing.assert_allclose(got, want / want.sum(axis=1, keepdims=True), rtol=1e-6)
+
+
+def _daily(sources):
+    rng = np.random.default_rng(4)
+    parts = []
+    for name, days in sources:
+        close = 4 + np.cumsum(rng.normal(0, 0.02, days))
+        parts.append(pd.DataFrame({"source": name, "day": np.arange(days), "close": close, "high": close + 0.01, "volume": rng.normal(10, 0.4, days), "open": close, "keys": [[] for _ in range(days)], "mounting": False, "all_bad": False}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def test_memory_goes_with_the_rows_and_not_with_the_longest_calendar():
+    import time
+    import tracemalloc
+
+    f = _daily([("a", 6000)] + [(f"s{i:05}", 1) for i in range(3000)])
+    tracemalloc.start()
+    began = time.perf_counter()
+    out = day_contexts(f)
+    assert len(out) == len(f) and time.perf_counter() - began < 60
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_a_source_gets_the_same_whoever_shares_its_batch():
+    f = _daily([("a", 200), ("b", 150), ("c", 30)])
+    f.loc[50, "close"] += 1.0
+    f.loc[[220, 300], "volume"] += 6.0
+    together = day_contexts(f)
+    alone = pd.concat([day_contexts(g.reset_index(drop=True)) for _, g in f.groupby("source")], ignore_index=True)
+    numbers = [c for c in together if c.startswith(("w_", "before_", "after_", "spread_"))]
+    assert np.allclose(together[numbers].to_numpy(float), alone[numbers].to_numpy(float), equal_nan=True)
+
+
+def test_forward_backward_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(0)
+    moves = rng.dirichlet(np.ones(4), (2, 4))
+    lengths, logs = np.array([3, 2]), rng.normal(0, 1, (5, 4))
+    prior, after, counts = forward_backward(logs, lengths, moves)
+    for s, (first, n) in enumerate(((0, 3), (3, 2))):
+        mass, pairs = np.zeros((n, 4)), np.zeros((4, 4))
+        for path in itertools.product(range(4), repeat=n):
+            w = START[path[0]] * np.prod([moves[s][a, b] for a, b in zip(path, path[1:])]) * np.exp(sum(logs[first + i, x] for i, x in enumerate(path)))
+            for i, x in enumerate(path):
+                mass[i, x] += w
+            for a, b in zip(path, path[1:]):
+                pairs[a, b] += w
+        got = prior[first : first + n] * np.exp(logs[first : first + n]) * after[first : first + n]
+        assert np.allclose(got / got.sum(axis=1, keepdims=True), mass / mass.sum(axis=1, keepdims=True))
+        assert np.allclose(counts[s], pairs / mass.sum(axis=1)[0])

@@ -30,7 +30,11 @@ SAME = {NORMAL: 1e-5, SPIKE: 1e-5, STUCK: 0.95}
 MOVES = np.array([[0.9960, 0.0025, 0.0005, 0.0010], [0.9880, 0.0020, 0.0020, 0.0080], [0.0990, 0.0005, 0.9000, 0.0005], [0.9880, 0.0050, 0.0020, 0.0050]])
 PRIOR_DAYS = 2_000.0
 START = np.array([0.994, 0.0025, 0.0005, 0.003])
-LEARN_ROUNDS = 2
+#: A source's rates are learned until none moves by more than LEARNED and the readings left out stay the same; a source whose readings
+#: keep changing places ends after LEARN_ROUNDS.
+LEARN_ROUNDS, LEARNED = 20, 1e-4
+#: Chance that a day has nothing but readings that break hard bounds.
+BREAKS = {NORMAL: 1e-12, SPIKE: 1e-12, STUCK: 1e-12, OUT: 1 - 1e-9}
 #: A day's volumes mount when readings lie clearly between its least and its most: this much of the squared range in sum.
 BETWEEN = 0.1
 BATCH_ROWS = 60_000
@@ -75,8 +79,12 @@ def neighbours(x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return before(has, group, x), before(has[::-1], group[::-1], x[::-1])[::-1]
 
 
-def emissions(residuals: np.ndarray, spreads: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Log density of each state for each place: residuals and spreads are (places, fields), nan residuals say nothing."""
+def emissions(residuals: np.ndarray, spreads: np.ndarray, same: np.ndarray, broken: np.ndarray | None = None) -> np.ndarray:
+    """Log density of each state for each place: residuals and spreads are (places, fields), nan residuals say nothing.
+
+    A place that breaks hard bounds (broken; none if not given) is what the out-of-range state gives and hardly another: a state's density is
+    that of the fields, even over the whole range when out of range, times the chance that it breaks bounds.
+    """
     seen = ~np.isnan(residuals)
     known = np.where(seen, residuals, 0.0)
     plain = np.where(seen, log_normal(known, spreads), 0.0)
@@ -96,32 +104,47 @@ def emissions(residuals: np.ndarray, spreads: np.ndarray, same: np.ndarray) -> n
     out[:, STUCK] = plain.sum(axis=1)
     for state, p in SAME.items():
         out[:, state] += np.where(same, np.log(p), np.log1p(-p))
+    out[:, OUT] = bad.sum(axis=1) + np.where(same, np.log(SAME[NORMAL]), 0.0)
+    breaks = np.zeros(len(out), bool) if broken is None else broken
+    for state, p in BREAKS.items():
+        out[:, state] += np.where(breaks, np.log(p), np.log1p(-p))
     return out
 
 
 def forward_backward(logs: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For padded sequences logs (series, days, states): what the days before and the days after say of each state, and
-    the expected number of moves between states. moves is (series, states, states)."""
-    s, t, k = logs.shape
-    top = logs.max(axis=2, keepdims=True)
+    """For sequences laid end to end in logs (days, states): what the days before and the days after say of each state, and
+    the expected number of moves between states. moves is (series, states, states).
+
+    All sequences take a step together, the longest first in order, so those that have ended drop off the end; memory goes
+    with the days and not with the longest sequence.
+    """
+    n, k = logs.shape
+    s = len(lengths)
+    top = logs.max(axis=1, keepdims=True)
     dense = np.exp(logs - np.where(np.isfinite(top), top, 0.0))
-    ahead, behind = np.ones((s, t, k)), np.ones((s, t, k))
-    ahead[:, 0] = START
-    counts = np.zeros((s, k, k))
-    for i in range(1, t):
-        mass = ahead[:, i - 1] * dense[:, i - 1]
+    ahead, behind = np.ones((n, k)), np.ones((n, k))
+    order = np.argsort(-lengths, kind="stable")
+    starts = (np.cumsum(lengths) - lengths)[order]
+    going = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), "left")
+    step, counts = moves[order], np.zeros((s, k, k))
+    ahead[starts] = START
+    for i in range(1, len(going)):
+        m = going[i]
+        at = starts[:m] + i
+        mass = ahead[at - 1] * dense[at - 1]
         mass /= mass.sum(axis=1, keepdims=True) + 1e-300
-        ahead[:, i] = np.einsum("sa,sab->sb", mass, moves)
-    for i in range(t - 2, -1, -1):
-        live = (i + 1 < lengths)[:, None]
-        weight = dense[:, i + 1] * behind[:, i + 1]
-        pulled = np.einsum("sab,sb->sa", moves, weight)
-        pulled /= pulled.sum(axis=1, keepdims=True) + 1e-300
-        behind[:, i] = np.where(live, pulled, 1.0)
-        joint = (ahead[:, i] * dense[:, i])[:, :, None] * moves * weight[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True) + 1e-300
-        counts += np.where(live[:, :, None], joint, 0.0)
-    return ahead, behind, counts
+        ahead[at] = np.einsum("sa,sab->sb", mass, step[:m])
+    for i in range(len(going) - 2, -1, -1):
+        m = going[i + 1]
+        at = starts[:m] + i
+        weight = dense[at + 1] * behind[at + 1]
+        pulled = np.einsum("sab,sb->sa", step[:m], weight)
+        behind[at] = pulled / (pulled.sum(axis=1, keepdims=True) + 1e-300)
+        joint = (ahead[at] * dense[at])[:, :, None] * step[:m] * weight[:, None, :]
+        counts[:m] += joint / (joint.sum(axis=(1, 2), keepdims=True) + 1e-300)
+    out = np.empty_like(counts)
+    out[order] = counts
+    return ahead, behind, out
 
 
 def spread_of(x: np.ndarray, group: np.ndarray, prior: float) -> np.ndarray:
@@ -169,29 +192,34 @@ def day_contexts(f: pd.DataFrame) -> pd.DataFrame:
     same = np.zeros(n, bool)
     same[at] = True
     moves = np.broadcast_to(MOVES, (len(starts), 4, 4)).copy()
-    out_logs = np.where(f["all_bad"].to_numpy(bool), 0.0, -np.inf)
+    broken = f["all_bad"].to_numpy(bool)
     clean = {c: v.copy() for c, v in values.items()}
-    for round_ in range(LEARN_ROUNDS):
+    done = np.zeros(len(starts), bool)
+    for _ in range(LEARN_ROUNDS):
         near = {c: neighbours(clean[c], group) for c in FIELDS}
         residuals = deviations(values, {c: near[c][0] for c in FIELDS}, {c: near[c][1] for c in FIELDS} | {"open": next_open})
-        logs = emissions(residuals, spreads, same)
-        logs[:, OUT] = out_logs
-        logs[f["all_bad"].to_numpy(bool), :OUT] = -np.inf
-        padded = np.zeros((len(starts), lengths.max(), 4))
-        padded[group, place] = logs
-        ahead, behind, counts = forward_backward(padded, lengths, moves)
-        prior, after = ahead[group, place], behind[group, place]
+        logs = emissions(residuals, spreads, same, broken)
+        prior, after, counts = forward_backward(logs, lengths, moves)
         with np.errstate(divide="ignore"):
             weight = np.log(prior) + np.log(after)
         posterior = weight + logs
         posterior = np.exp(posterior - np.logaddexp.reduce(posterior, axis=1, keepdims=True))
         bad = posterior[:, SPIKE] > 0.5
-        for i, c in enumerate(FIELDS):
-            # Only the field that is off stops being a neighbour; the rest of the bar still counts.
-            off = bad & (np.abs(residuals[:, i]) > 4 * spreads[:, i])
-            clean[c] = np.where(off, np.nan, values[c])
+        before = clean
+        # Only the field that is off stops being a neighbour; the rest of the bar still counts.
+        clean = {c: np.where(bad & (np.abs(residuals[:, i]) > 4 * spreads[:, i]), np.nan, values[c]) for i, c in enumerate(FIELDS)} | {"open": values["open"]}
         total = PRIOR_DAYS * np.array([1.0, 0.01, 0.01, 0.01])[:, None] * MOVES + counts
-        moves = total / total.sum(axis=2, keepdims=True)
+        learned = total / total.sum(axis=2, keepdims=True)
+        # Each source ends by itself, so it doesn't matter which others share its batch.
+        shifted = np.abs(learned - moves).max(axis=(1, 2), initial=0.0) >= LEARNED
+        for c in FIELDS:
+            shifted |= np.bincount(group, np.isnan(before[c]) != np.isnan(clean[c]), len(starts)) > 0
+        done |= ~shifted
+        if done.all():
+            clean = before
+            break
+        moves = np.where(done[:, None, None], moves, learned)
+        clean = {c: np.where(done[group], before[c], clean[c]) for c in clean}
     near = {c: neighbours(clean[c], group) for c in FIELDS}
     top = weight[:, :OUT].max(axis=1)
     out = {"source": f["source"], "day": f["day"], "volume_newest": values["volume"], "mounting": f["mounting"]}
