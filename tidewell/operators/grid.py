@@ -14,31 +14,32 @@ from tidewell.operators.skew import spread, whole_groups
 
 WINDOW = 26
 RANK = 3
-ROUNDS = 60
+#: Rounds after which a series that still moves is given up; its filled weeks are marked as not converged.
+ROUNDS = 5_000
 TOLERANCE = 1e-6
 BATCH_ROWS = 50_000
 
 
-def impute(values: np.ndarray, window: int = WINDOW, rank: int = RANK, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """values with its nans filled; the first and last must not be nan.
+def impute(values: np.ndarray, window: int = WINDOW, rank: int = RANK, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, bool]:
+    """values with its nans filled, and whether the rounds converged; the first and last must not be nan.
 
     The gaps start as straight lines. Each round embeds the series in its trajectory (Hankel) matrix, keeps the leading
     singular vectors, averages the antidiagonals back to a series and takes its values where there was a gap, until they
-    move by less than tolerance of the series' spread. A series of fewer than four points keeps the straight lines.
+    move by less than tolerance of the series' spread: it takes dozens of rounds as a rule, thousands where a gap is long. A series of fewer than four points keeps the straight lines.
     """
     x = np.asarray(values, float)
     gap = np.isnan(x)
     if not gap.any():
-        return x
+        return x, True
     at = np.arange(len(x))
     x = np.where(gap, np.interp(at, at[~gap], x[~gap]), x)
     n = len(x)
     length = min(window, n // 2)
     if length < 2:
-        return x
+        return x, True
     middle, spread = x[~gap].mean(), x[~gap].std()
     if spread == 0 or not np.isfinite(spread):
-        return x
+        return x, True
     y = (x - middle) / spread
     rows = n - length + 1
     counts = np.convolve(np.ones(rows), np.ones(length))
@@ -51,8 +52,8 @@ def impute(values: np.ndarray, window: int = WINDOW, rank: int = RANK, rounds: i
         moved = np.abs(smooth[gap] - y[gap]).max()
         y = np.where(gap, smooth, y)
         if moved < tolerance:
-            break
-    return np.where(gap, y * spread + middle, x)
+            return np.where(gap, y * spread + middle, x), True
+    return np.where(gap, y * spread + middle, x), False
 
 
 def weekly_runs(readings: DataFrame, *, by: list[str], at: str, value: str, longest_gap: str) -> DataFrame:
@@ -76,14 +77,14 @@ def weekly_runs(readings: DataFrame, *, by: list[str], at: str, value: str, long
 
 
 def weekly_grid(readings: DataFrame, *, by: list[str], at: str, value: str, longest_gap: str = "56 days", window: int = WINDOW, rank: int = RANK) -> DataFrame:
-    """A regular weekly series per by and run: by, run, week (number), value, readings (0 in a filled week), filled.
+    """A regular weekly series per by and run: by, run, week (number), value, readings (0 in a filled week), filled, converged.
 
     See weekly_runs for runs and for rows that take no part. Weeks between a run's first and last reading that hold no
-    reading are filled by impute and marked. A run of one week is that week. Empty input gives no rows. A series is as
+    reading are filled by impute and marked; converged is false throughout a run whose imputation didn't settle. A run of one week is that week. Empty input gives no rows. A series is as
     long as its calendar has weeks, whatever the number of readings.
     """
     runs = weekly_runs(readings, by=by, at=at, value=value, longest_gap=longest_gap)
-    schema = runs.select(*by, "run", "week", "value", "readings", F.lit(False).alias("filled")).schema
+    schema = runs.select(*by, "run", "week", "value", "readings", F.lit(False).alias("filled"), F.lit(True).alias("converged")).schema
     keys = [*by, "run"]
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,18 +94,19 @@ def weekly_grid(readings: DataFrame, *, by: list[str], at: str, value: str, long
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             ends = np.r_[starts[1:], len(f)]
             sizes = week[ends - 1] - week[starts] + 1
+            first = np.r_[0, np.cumsum(sizes)]
             owner = np.repeat(starts, sizes)
-            begin = np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
             out = f[keys].iloc[owner].reset_index(drop=True)
-            out["week"] = np.arange(len(owner)) - begin + week[owner]
-            place = np.r_[0, np.cumsum(sizes)[:-1]][np.searchsorted(starts, np.arange(len(f)), "right") - 1] + week - week[starts][np.searchsorted(starts, np.arange(len(f)), "right") - 1]
+            out["week"] = np.arange(len(owner)) - np.repeat(first[:-1], sizes) + week[owner]
+            run = np.repeat(np.arange(len(starts)), ends - starts)
+            place = first[:-1][run] + week - week[starts][run]
             series, readings_ = np.full(len(owner), np.nan), np.zeros(len(owner), np.int64)
             series[place] = f["value"].to_numpy(float)
             readings_[place] = f["readings"].to_numpy(np.int64)
-            first = np.r_[0, np.cumsum(sizes)]
+            settled = np.ones(len(owner), bool)
             for a, b in zip(first[:-1], first[1:]):
-                series[a:b] = impute(series[a:b], window, rank)
-            out["value"], out["readings"], out["filled"] = series, readings_, readings_ == 0
+                series[a:b], settled[a:b] = impute(series[a:b], window, rank)
+            out["value"], out["readings"], out["filled"], out["converged"] = series, readings_, readings_ == 0, settled
             yield out
 
     return spread(runs, *by, "run").sortWithinPartitions(*by, "run", "week").mapInPandas(fill, schema)

@@ -129,7 +129,7 @@ def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly market_cap and pe_ratio of each symbol with filled weeks marked."""
+    """Weekly market_cap and pe_ratio of each symbol with filled weeks marked, and runs whose filling didn't settle."""
     m = _metrics(spark, sf_dir)
     each = F.explode(F.array(
         F.struct(F.lit("market_cap").alias("field_name"), usable(F.col("market_cap"), at_least=0.0).alias("value")),
@@ -137,7 +137,7 @@ def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     readings = m.select("symbol", "timestamp", each.alias("e")).select("symbol", "timestamp", "e.field_name", "e.value")
     grid = weekly_grid(readings, by=["field_name", "symbol"], at="timestamp", value="value", longest_gap="56 days")
-    return grid.select("field_name", "symbol", "run", date_text(F.col("week") * 7 - 3).alias("week_start"), "value", "readings", "filled")
+    return grid.select("field_name", "symbol", "run", date_text(F.col("week") * 7 - 3).alias("week_start"), "value", "readings", "filled", "converged")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
