@@ -64,3 +64,25 @@ def test_hot_entities_are_spread_and_lose_nothing(spark):
     assert sorted(x["bar_id"] for x in outer.collect()) == [*range(400), 1000]
     joined = join_known(e.select("bar_id", "symbol", "timestamp"), found, by="symbol", at="timestamp", spread="bar_id")
     assert sorted(x["bar_id"] for x in joined.collect()) == list(range(400))
+
+
+def test_what_was_known_about_an_earlier_time_takes_corrections_of_the_past(spark):
+    rng = random.Random(8)
+    when = lambda n: T0 + timedelta(hours=rng.randrange(24 * n))
+    attrs = []
+    for i in range(500):
+        at = when(200)
+        attrs.append((i, rng.choice("AAB"), at, rng.choice([None, at, at + timedelta(days=rng.choice([0, 1, 3, 40, 100]))]), float(i)))
+    asked = [(i, rng.choice("AB"), when(220), when(220), "") for i in range(400)]
+    a = spark.createDataFrame(attrs, "row_id long, symbol string, at timestamp, seen timestamp, v double")
+    e = spark.createDataFrame(asked, "bar_id long, symbol string, timestamp timestamp, asked timestamp, v string")
+    far = lambda x: x or datetime(1, 1, 1)
+    for days, rows in ((28, 200_000), (7, 5), (1, 3)):
+        out = known_at(e, a, by="symbol", at="timestamp", as_of="asked", valid="at", ingested="seen", row_id="row_id", carry=["v"], shard_days=days, shard_rows=rows).collect()
+        got = {(r["symbol"], r["timestamp"], r["asked"]): r["row_id"] for r in out}
+        want = {}
+        for _, s, t, v, _ in asked:
+            seen = [r for r in attrs if r[1] == s and r[2] <= min(t, v) and far(r[3]) <= t]
+            if seen:
+                want[s, t, v] = max(seen, key=lambda r: (r[2], far(r[3]), r[0]))[0]
+        assert got == want

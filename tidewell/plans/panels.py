@@ -16,6 +16,7 @@ from tidewell.session import table
 #: A price-earnings ratio of this size or more is a stand-in for a missing value.
 NO_PE = 10_000.0
 LONGEST_GAP_DAYS = 30
+LOOK_BACK_DAYS = 90
 CLOSE_SHIFT, VOLUME_SHARE, TRADED = 0.1203, 0.5503, 5_000_000
 
 
@@ -60,6 +61,14 @@ def p1_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("bar_id", "metric_id", "shares_outstanding", "fund_id", number("revenue").alias("revenue"), number("net_income").alias("net_income"))
 
 
+def p1_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per bar the shares outstanding of LOOK_BACK_DAYS before it, as known at the bar: corrections that had arrived by then count."""
+    bars = _bars(spark, sf_dir).select("bar_id", "symbol", "timestamp", (F.col("timestamp") - F.expr(f"interval {LOOK_BACK_DAYS} days")).alias("as_of"))
+    metrics = _metrics(spark, sf_dir).where(number("shares_outstanding") > 0)
+    found = known_at(bars, metrics, by="symbol", at="timestamp", as_of="as_of", valid="timestamp", ingested="ingested_at", row_id="metric_id", carry=["shares_outstanding"])
+    return join_known(bars, found, by="symbol", at="timestamp", as_of="as_of", spread="bar_id").select("bar_id", "metric_id", "shares_outstanding")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with an implausible close, high or volume."""
     return p3_flags(spark, sf_dir).where("flagged").select("bar_id")
@@ -145,7 +154,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_grid(spark, sf_dir).where("filled").select("field_name", "symbol", "week_start")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p3_found, p3_flags, p4_found, p4_totals, p5_found, p5_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p1_before, p3_found, p3_flags, p4_found, p4_totals, p5_found, p5_grid)}
 
 _SYMBOL = "upper(trim(symbol))"
 def _known_sql(metrics: str, statements: str) -> str:
@@ -197,6 +206,11 @@ ORACLES = {
     "p1_attributes": _known_sql("m.id as metric_id, m.shares_outstanding", "f.id as fund_id, f.revenue, f.net_income") + """
     select r.bar_id, km.metric_id, km.shares_outstanding, kf.fund_id, case when not isnan(kf.revenue) then kf.revenue end as revenue, case when not isnan(kf.net_income) then kf.net_income end as net_income
     from raw_alpaca_equity_ohlcv r left join km on km.symbol = upper(trim(r.symbol)) and km.t = r.timestamp left join kf on kf.symbol = upper(trim(r.symbol)) and kf.t = r.timestamp""",
+    "p1_before": f"""
+    with b as (select bar_id, {_SYMBOL} as symbol, timestamp as t, timestamp - interval {LOOK_BACK_DAYS} days as v from raw_alpaca_equity_ohlcv),
+    m as (select {_SYMBOL} as symbol, timestamp as valid, ingested_at as ing, metric_id, shares_outstanding from raw_fd_financial_metrics where shares_outstanding > 0 and not isnan(shares_outstanding))
+    select bar_id, metric_id, shares_outstanding from b join m on m.symbol = b.symbol and m.valid <= b.v and (m.ing is null or m.ing <= b.t)
+    qualify row_number() over (partition by bar_id order by m.valid desc, m.ing desc nulls last, m.metric_id desc) = 1""",
     "p4_found": _DAILY_SQL + f"""
     select 'volume' as measure_name, symbol, strftime(d, '%Y-%m-%d') as day_date from w where n30 >= 8 and v30 > 0 and v7 >= {VOLUME_SHARE}::double * v30
     union all select 'close', symbol, strftime(d, '%Y-%m-%d') from w where n30 >= 8 and abs(c7 - c30) >= {CLOSE_SHIFT}::double * c30
