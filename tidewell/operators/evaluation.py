@@ -21,7 +21,7 @@ def performance(df: DataFrame, *, by: list[str], order: str, ret: str) -> DataFr
     spread = F.stddev_samp(ret)
     return drawdowns(df, by=by, order=order, ret=ret).groupBy(*by).agg(
         F.count(ret).alias("n"), F.round(F.when(spread > 1e-15, F.try_divide(F.avg(ret), spread) * math.sqrt(YEAR)).otherwise(F.lit(0.0)), 6).alias("sharpe"),
-        F.round(F.try_divide(F.avg(ret), down) * math.sqrt(YEAR), 6).alias("sortino"), F.round(F.min("drawdown"), 8).alias("max_drawdown"), F.round(F.exp(F.sum(F.ln(1 + F.col(ret)))) - 1, 8).alias("total_return"),
+        F.round(F.try_divide(F.avg(ret), down) * math.sqrt(YEAR), 6).alias("sortino"), F.round(F.min("drawdown"), 8).alias("max_drawdown"), F.round(F.sum(F.ln(1 + F.col(ret))), 8).alias("total_log_return"),
         F.round(F.count_if(F.col(ret) > 0) / F.count(ret), 8).alias("win_rate"), F.round(F.try_divide(F.sum(F.greatest(F.col(ret), F.lit(0.0))), -F.sum(F.least(F.col(ret), F.lit(0.0)))), 6).alias("profit_factor"),
     )
 

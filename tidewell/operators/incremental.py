@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Calendar days per row of lookback, and days on top.
@@ -19,13 +19,17 @@ def lookback_days(rows: int) -> int:
 def fresh_features(bars: DataFrame, marks: DataFrame, features: Callable[[DataFrame], DataFrame], *, by: str, at: str, lookback_rows: int) -> DataFrame:
     """features(bars) for the rows after each key's mark only.
 
-    marks has one row per by with the column watermark; a key without one is computed in full. Bars older than the mark less the
-    lookback aren't read into the windows. Equal to the full computation wherever features look back no further.
+    marks has one row per by with the column watermark; a key without one is computed in full. Of the rows up to the mark
+    only the last lookback_rows of each key go into the windows, however far apart they are: the planner cuts each task's
+    rows to that many per key before the shuffle. Equal to the full computation wherever features look back no further.
     """
     joined = bars.join(marks.select(by, "watermark"), by, "left")
-    start = F.col("watermark") - F.make_dt_interval(days=F.lit(lookback_days(lookback_rows)))
-    loaded = joined.where(F.col("watermark").isNull() | (F.col(at) > start)).drop("watermark")
-    return features(loaded).join(marks.select(by, "watermark"), by, "left").where(F.col("watermark").isNull() | (F.col(at) > F.col("watermark"))).drop("watermark")
+    fresh = F.col("watermark").isNull() | (F.col(at) > F.col("watermark"))
+    old = joined.where(F.col("watermark").isNotNull() & (F.col(at) <= F.col("watermark")))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.col(at).desc()))
+    past = old.withColumn("_nth", nth).where(F.col("_nth") <= lookback_rows).drop("_nth", "watermark")
+    loaded = joined.where(fresh).drop("watermark").unionByName(past)
+    return features(loaded).join(marks.select(by, "watermark"), by, "left").where(fresh).drop("watermark")
 
 
 def advance(marks: DataFrame, computed: DataFrame, *, by: str, at: str, cap: DataFrame | None = None) -> DataFrame:

@@ -16,9 +16,11 @@ from tidewell.session import table
 
 book = Book()
 _W = "partition by symbol order by timestamp"
-#: Moves sums off the middle between two rounded values, where their order of addition would decide.
-TIE = 1e-6
-PASSED_ON = ("ps_ratio", "pb_ratio", "roe", "net_margin", "debt_to_equity", "revenue_growth_yoy")
+#: What the ratios that features pass on are called in the metrics table.
+PASSED_ON = {
+    "pe_ttm": "pe_ratio", "ps_ttm": "ps_ratio", "pb": "pb_ratio", "ev_ebitda": "ev_ebitda", "roe": "roe", "gross_margin": "gross_margin", "operating_margin": "operating_margin",
+    "fcf_margin": "fcf_margin", "debt_equity": "debt_to_equity", "eps_growth_1y": "eps_growth_yoy", "revenue_growth_1y": "revenue_growth_yoy",
+}
 _MOM = f"b as ({SOUND_SQL}), f as (select symbol, timestamp, close, close / lag(close, 21) over ({_W}) - 1 as mom, lead(close) over ({_W}) / close - 1 as fwd from b)"
 _PCT = "(rank() over (partition by timestamp order by {0}) + (count(*) over (partition by timestamp, {0}) - 1) / 2.0) / count({0}) over (partition by timestamp)"
 
@@ -52,13 +54,13 @@ def projected_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""with {_MOM}, r as (select *, rank() over (partition by timestamp order by mom desc, symbol) as k from f where mom is not null and symbol <> '{BENCHMARK}'), w as (select symbol, timestamp, fwd, case when k <= 5 then 0.2 else 0 end as w from r),
-    t as (select *, coalesce(lag(w) over ({_W}), 0) as pw from w) select timestamp, round(sum(case when fwd between -0.5 and 0.5 then w * fwd else 0 end), 8) as ret, round(sum(abs(w - pw)), 8) as turnover from t group by timestamp""")
+    t as (select *, coalesce(lag(w) over ({_W}), 0) as pw from w) select timestamp, round(sum(coalesce(w * fwd, 0)), 8) as ret, round(sum(abs(w - pw)), 8) as turnover from t group by timestamp""")
 def top_five_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return of equal weights in the five strongest symbols, and how much of the book changes."""
     k = F.row_number().over(Window.partitionBy("timestamp").orderBy(F.desc("mom"), "symbol"))
     w = momentum(spark, sf_dir).where(F.col("mom").isNotNull() & (F.col("symbol") != BENCHMARK)).withColumn("w", F.when(k <= 5, 0.2).otherwise(0.0))
     t = w.withColumn("pw", F.coalesce(F.lag("w").over(by_symbol()), F.lit(0.0)))
-    return t.groupBy("timestamp").agg(F.round(F.sum(F.when(F.col("fwd").between(-0.5, 0.5), F.col("w") * F.col("fwd")).otherwise(0.0)), 8).alias("ret"), F.round(F.sum(F.abs(F.col("w") - F.col("pw"))), 8).alias("turnover"))
+    return t.groupBy("timestamp").agg(F.round(F.sum(F.coalesce(F.col("w") * F.col("fwd"), F.lit(0.0))), 8).alias("ret"), F.round(F.sum(F.abs(F.col("w") - F.col("pw"))), 8).alias("turnover"))
 
 
 @book.query(f"""with {_MARKET_SQL}, q as (select quantile_cont(market_vol_20d, 0.5) as v from m), l as (select timestamp, case when market_vol_20d > v then 'high_vol' else 'low_vol' end || case when market_trend_20d > 0 then '_trend_up' else '_trend_down' end as label from m, q where market_vol_20d is not null)
@@ -80,11 +82,12 @@ _CLIP = ", ".join(f"round(case when {c} is not null then greatest(least({c}, (se
 
 
 @book.query(f"""with b as ({SOUND_SQL}), m as (select * from ({METRICS_SQL}) qualify row_number() over (partition by symbol, timestamp order by ingested_at desc nulls last, metric_id desc) = 1),
-    j as (select b.symbol, b.timestamp, {', '.join('m.' + c for c in PASSED_ON)} from b asof left join m on m.symbol = b.symbol and b.timestamp >= m.timestamp) select symbol, timestamp, {_CLIP} from j""")
+    j as (select b.symbol, b.timestamp, {', '.join(f'm.{c} as {n}' for n, c in PASSED_ON.items())} from b asof left join m on m.symbol = b.symbol and b.timestamp >= m.timestamp) select symbol, timestamp, {_CLIP} from j""")
 def fundamental_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios known at each bar, clipped to their symbol's exact quantiles."""
-    j = asof(sound_bars(spark, sf_dir).select("symbol", "timestamp"), metrics(spark, sf_dir), by=["symbol"], at="timestamp", right_at="timestamp", carry=list(PASSED_ON), tie=["ingested_at", "metric_id"])
-    return winsorize(j.drop("matched_at"), list(PASSED_ON), ["symbol"]).select("symbol", "timestamp", *[F.round(c, 8).alias(c) for c in PASSED_ON])
+    j = asof(sound_bars(spark, sf_dir).select("symbol", "timestamp"), metrics(spark, sf_dir), by=["symbol"], at="timestamp", right_at="timestamp", carry=list(PASSED_ON.values()), tie=["ingested_at", "metric_id"])
+    j = j.select("symbol", "timestamp", *[F.col(c).alias(n) for n, c in PASSED_ON.items()])
+    return winsorize(j, list(PASSED_ON), ["symbol"]).select("symbol", "timestamp", *[F.round(c, 8).alias(c) for c in PASSED_ON])
 
 
 @book.query(f"""with b as ({SOUND_SQL}), t as (select symbol, filed_day, total_value from ({TRADES_SQL}) where transaction_type = 'Open market purchase' and total_value is not null),
@@ -102,28 +105,29 @@ def insider_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("symbol", "timestamp", F.round(F.try_divide(F.sum("bought").over(w), F.col("cap")) * 1e6, 4).alias("intensity")).where("timestamp is not null")
 
 
-@book.query(f"""with h as ({HOLDINGS_SQL}), f as (select symbol, period, filed, sum(shares) as total from h group by all), d as (select symbol, unnest(generate_series(min(filed), max(filed), interval 30 days))::date as day from f group by symbol),
-    v as (select d.symbol, d.day, f.period, f.filed, f.total from d join f on f.symbol = d.symbol and f.filed <= d.day)
-    select symbol, day::varchar as day, max(period)::varchar as period, round(arg_max(total, (period, filed)), 4) as total from v group by symbol, v.day""")
+@book.query(f"""with h as ({HOLDINGS_SQL}), f as (select symbol, period, filed, sum(shares) as total from h group by all), d as (select symbol, unnest(generate_series(min(filed), max(filed), interval 1 day))::date as day from f group by symbol),
+    r as (select symbol, filed, max((period, filed, total)) over (partition by symbol order by filed) as best from f), k as (select symbol, filed, max(best) as best from r group by all)
+    select d.symbol, d.day::varchar as day, k.best[1]::varchar as period, round(k.best[3], 4) as total from d asof join k on k.symbol = d.symbol and d.day >= k.filed""")
 def freshest_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On every thirtieth day the latest filing of the latest quarter filed by then: quarter first, filing date second."""
+    """On every day the latest filing of the latest quarter filed by then: quarter first, filing date second."""
     f = holdings(spark, sf_dir).groupBy("symbol", "period", "filed").agg(F.sum("shares").alias("total"))
     w = Window.partitionBy("symbol").orderBy("filed").rowsBetween(Window.unboundedPreceding, 0)
     daily = f.groupBy("symbol", "filed").agg(F.max(F.struct("period", "filed", "total")).alias("best")).withColumn("best", F.max("best").over(w))
-    days = f.groupBy("symbol").agg(F.explode(F.sequence(F.min("filed"), F.max("filed"), F.expr("interval 30 days"))).alias("day"))
-    out = asof(days.withColumn("t", F.col("day").cast("timestamp")), daily.select("symbol", F.col("filed").cast("timestamp").alias("ft"), F.col("best.period").alias("period"), F.col("best.total").alias("total")), by=["symbol"], at="t", right_at="ft", carry=["period", "total"], tie=["period"])
-    return out.select("symbol", F.col("day").cast("string").alias("day"), F.col("period").cast("string").alias("period"), F.round("total", 4).alias("total"))
+    next_ = F.lead("filed").over(Window.partitionBy("symbol").orderBy("filed"))
+    held = daily.withColumn("until", F.coalesce(F.date_sub(next_, 1), F.col("filed")))
+    out = held.select("symbol", F.explode(F.sequence("filed", "until")).alias("day"), "best")
+    return out.select("symbol", F.col("day").cast("string").alias("day"), F.col("best.period").cast("string").alias("period"), F.round("best.total", 4).alias("total"))
 
 
 @book.query(f"""with o as ({OPTIONS_SQL}), d as (select underlying, quote_date, avg(iv) as iv from o group by all),
-    z as (select underlying, quote_date, iv - lag(iv, 5) over w as change, case when count(iv) over v >= 24 then (iv - avg(iv) over v) / nullif(stddev_samp(iv) over v, 0) end as z from d window w as (partition by underlying order by quote_date), v as (partition by underlying order by quote_date rows between 23 preceding and current row))
+    z as (select underlying, quote_date, iv - lag(iv, 5) over w as change, case when count(iv) over v >= 60 then (iv - avg(iv) over v) / nullif(stddev_samp(iv) over v, 0) end as z from d window w as (partition by underlying order by quote_date), v as (partition by underlying order by quote_date rows between 59 preceding and current row))
     select underlying, quote_date::varchar as quote_date, round(change, 8) as change, sign(round(change, 8))::double as direction, round(z, 6) as z from z""")
 def iv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change of mean volatility over five quotes, its sign, and its z-score over 24."""
+    """Change of mean volatility over five quotes, its sign, and its z-score over 60."""
     w = Window.partitionBy("underlying").orderBy("quote_date")
     d = options(spark, sf_dir).groupBy("underlying", "quote_date").agg(F.avg("iv").alias("iv"))
     change = F.round(F.col("iv") - F.lag("iv", 5).over(w), 8)
-    z = F.try_divide(F.col("iv") - rolling(F.avg("iv"), w, 24, "iv"), rolling(F.stddev_samp("iv"), w, 24, "iv"))
+    z = F.try_divide(F.col("iv") - rolling(F.avg("iv"), w, 60, "iv"), rolling(F.stddev_samp("iv"), w, 60, "iv"))
     return d.select("underlying", F.col("quote_date").cast("string").alias("quote_date"), change.alias("change"), F.signum(change).alias("direction"), F.round(z, 6).alias("z"))
 
 
@@ -156,11 +160,11 @@ def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAD = " union all ".join(f"select {k} as lag, count(*) as n, round(corr(mom, x), 6) as corr from (select symbol, mom, {('lead' if k > 0 else 'lag')}(ret, {abs(k)}) over ({_W}) as x from r) where mom is not null and x is not null" for k in (-2, -1, 0, 1, 2))
 
 
-@book.query(f"""with b as ({SOUND_SQL}), r as (select symbol, timestamp, ret, mom from (select symbol, timestamp, close / lag(close) over ({_W}) - 1 as ret, close / lag(close, 21) over ({_W}) - 1 as mom from b) where ret between -0.5 and 0.5) {_LEAD}""")
+@book.query(f"""with b as ({SOUND_SQL}), r as (select symbol, timestamp, ret, mom from (select symbol, timestamp, close / lag(close) over ({_W}) - 1 as ret, close / lag(close, 21) over ({_W}) - 1 as mom from b) where ret is not null) {_LEAD}""")
 def leakage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of a feature with returns before, at and after its time: a peak at a later one gives a leak away."""
     w = by_symbol()
-    r = sound_bars(spark, sf_dir).select("symbol", "timestamp", simple_return("close", w).alias("ret"), simple_return("close", w, 21).alias("mom")).where("ret between -0.5 and 0.5")
+    r = sound_bars(spark, sf_dir).select("symbol", "timestamp", simple_return("close", w).alias("ret"), simple_return("close", w, 21).alias("mom")).where("ret is not null")
     lags = (-2, -1, 0, 1, 2)
     moved = r.select("mom", *[(F.lead("ret", k) if k > 0 else F.lag("ret", -k)).over(w).alias(f"f{k + 2}") for k in lags]).where("mom is not null")
     one = moved.agg(*[F.count(f"f{k + 2}").alias(f"n{k + 2}") for k in lags], *[correlation("mom", f"f{k + 2}").alias(f"c{k + 2}") for k in lags])
@@ -180,15 +184,17 @@ def price_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query("""with f as (select o_custkey, p_brand, sum(case when l_returnflag = 'R' then -l_quantity else l_quantity end) as q, arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice)) as p
-    from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by all) select o_custkey, round(sum(abs(q * p)) + 1e-6, 2) as gross, round(sum(q * p) + 1e-6, 2) as net, count(*) filter (q <> 0) as positions from f group by o_custkey""")
+    from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by all), d as (select o_custkey, q, (q * p)::decimal(28, 10) as v from f)
+    select o_custkey, round(sum(abs(v))::double, 4) as gross, round(sum(v)::double, 4) as net, count(*) filter (q <> 0) as positions from d group by o_custkey""")
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gross and net value of each customer's open quantities at the last price seen."""
+    """Gross and net value of each customer's open quantities at the last price seen; decimals, so the order of adding up doesn't matter."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     q = F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")))
     last = F.max_by(F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"))
-    f = j.groupBy("o_custkey", "p_brand").agg(q.alias("q"), last.alias("p"))
-    return f.groupBy("o_custkey").agg(F.round(F.sum(F.abs(F.col("q") * F.col("p"))) + TIE, 2).alias("gross"), F.round(F.sum(F.col("q") * F.col("p")) + TIE, 2).alias("net"), F.count_if(F.col("q") != 0).alias("positions"))
+    f = j.groupBy("o_custkey", "p_brand").agg(q.alias("q"), last.alias("p")).withColumn("v", (F.col("q") * F.col("p")).cast("decimal(28,10)"))
+    total = lambda v: F.round(F.sum(v).cast("double"), 4)
+    return f.groupBy("o_custkey").agg(total(F.abs("v")).alias("gross"), total("v").alias("net"), F.count_if(F.col("q") != 0).alias("positions"))
 
 
 _REG = ("ret_5d", "rv_21d", "dist_20d_high")
@@ -202,8 +208,7 @@ def incremental_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered features after a high-water mark, from no more bars than they look back on: the same values as in full."""
     b = sound_bars(spark, sf_dir).select("symbol", "timestamp", "close")
     marks = b.select("symbol").distinct().withColumn("watermark", F.lit("2024-02-01").cast("timestamp"))
-    # Halts make rows rarer than weekdays, so the lookback is taken twice as long.
-    out = fresh_features(b, marks, lambda df: registry.compute(df, _REG), by="symbol", at="timestamp", lookback_rows=12 * registry.lookback(_REG))
+    out = fresh_features(b, marks, lambda df: registry.compute(df, _REG), by="symbol", at="timestamp", lookback_rows=registry.lookback(_REG))
     return out.select("symbol", "timestamp", *[F.round(c, 8).alias(c) for c in _REG])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import date_text, day_number
+from tidewell.functions import date_text, day_number, symbol
 from tidewell.operators.latest import compare, latest, preserving, row_hash, set_hash, upsert
 from tidewell.plans.base import BARS_SQL, METRICS_SQL, PRICES, RAW_BARS_SQL, TRADES_SQL, Book, bars, metrics, raw_bars, trades
 from tidewell.session import table
@@ -61,7 +61,7 @@ def reconciliation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     from raw_fd_fundamentals group by all""")
 def latest_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last filing of each statement key as spelled."""
-    df = table(spark, sf_dir, "raw_fd_fundamentals").select(F.upper(F.trim("symbol")).alias("symbol"), F.upper(F.trim("fiscal_period")).alias("fiscal_period"), "period", "report_date", "ingested_at", "fund_id")
+    df = table(spark, sf_dir, "raw_fd_fundamentals").select(symbol("symbol").alias("symbol"), F.upper(F.trim("fiscal_period")).alias("fiscal_period"), "period", "report_date", "ingested_at", "fund_id")
     return latest(df, by=["symbol", "fiscal_period", "period"], order=["report_date", "ingested_at", "fund_id"]).select("symbol", "fiscal_period", "period", "fund_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.asof import asof, asof_nearest
-from tidewell.operators.series import log_return, percent_rank_average, rolling, rolling_correlation, simple_return, winsorize, z_score
+from tidewell.operators.series import log_return, percent_rank_average, rolling, simple_return, winsorize, z_score
 from tidewell.plans.base import BENCHMARK, HOLDINGS_SQL, METRICS_SQL, OPTIONS_SQL, SOUND_SQL, TRADES_SQL, Book, by_symbol, holdings, metrics, options, sound_bars, trades
 
 book = Book()
@@ -39,7 +39,7 @@ def ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_OHLCV = ("ret_1d", "ret_5d", "ret_21d", "rv_21d", "rv_63d", "dist_20d_high", "dist_20d_low")
+_OHLCV = ("ret_1d", "ret_5d", "ret_21d", "mom_3m", "mom_12m_excl_1m", "rv_21d", "rv_63d", "dist_20d_high", "dist_20d_low")
 
 
 @book.query(f"{_OHLCV_SQL} select symbol, timestamp, {', '.join(f'round({c}, 8) as {c}' for c in _OHLCV)} from f")
@@ -130,23 +130,40 @@ def regime_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("market_vol_20d", F.round("market_vol_20d", 8))
 
 
-@book.query(f"""with b as ({SOUND_SQL}), big as (select symbol from b where symbol <> '{BENCHMARK}' group by symbol order by count(*) desc, symbol limit 6), r as (select symbol, timestamp, {_lr(1)} as ret from b semi join big using (symbol)),
-    p as (select x.symbol as a, y.symbol as z, x.timestamp, x.ret as rx, y.ret as ry from r x join r y on x.timestamp = y.timestamp and x.symbol < y.symbol where x.ret is not null and y.ret is not null),
-    c as (select a, z, timestamp, case when count(*) over w >= 20 then corr(rx, ry) over w end as rho from p window w as (partition by a, z order by timestamp rows between 19 preceding and current row))
-    select timestamp, round(avg(rho), 6) as corr_mean_20d, count(rho) as pairs from c where rho is not null group by timestamp""")
+CORRELATED_DAYS = 20
+
+
+@book.query(f"""with b as ({SOUND_SQL}), r as (select * from (select symbol, timestamp, {_lr(1)} as ret from b where symbol <> '{BENCHMARK}') where ret is not null),
+    c as (select timestamp, row_number() over (order by timestamp) as k from (select distinct timestamp from r)), n as (select symbol, k, ret from r join c using (timestamp)),
+    w as (select symbol, k, ret, list(ret) over p as rets from n window p as (partition by symbol order by k range between {CORRELATED_DAYS - 1} preceding and current row)),
+    full_ as (select symbol, k, rets from w where len(rets) = {CORRELATED_DAYS} and list_var_pop(rets) > 1e-18),
+    x as (select symbol, k, unnest(rets) as ret, generate_subscripts(rets, 1) as i from full_),
+    pairs as (select a.k, a.symbol as s, z.symbol as t, corr(a.ret, z.ret) as rho from x a join x z on a.k = z.k and a.i = z.i and a.symbol < z.symbol group by all)
+    select c.timestamp, round(avg(rho), 6) as corr_mean_20d, count(*) as pairs from pairs join c using (k) group by c.timestamp""")
 def pairwise_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean rolling correlation over all pairs of the six longest-lived symbols, the regime universe."""
-    b = sound_bars(spark, sf_dir).select("symbol", "timestamp", "close")
-    big = b.where(F.col("symbol") != BENCHMARK).groupBy("symbol").count().orderBy(F.desc("count"), "symbol").limit(6).select("symbol")
-    r = b.join(F.broadcast(big), "symbol", "left_semi").select("symbol", "timestamp", log_return("close", by_symbol(), 1).alias("ret")).where("ret is not null")
-    x, y = r.select(F.col("symbol").alias("a"), "timestamp", F.col("ret").alias("rx")), r.select(F.col("symbol").alias("z"), "timestamp", F.col("ret").alias("ry"))
-    p = x.join(y, "timestamp").where("a < z")
-    c = p.withColumn("rho", rolling_correlation("rx", "ry", Window.partitionBy("a", "z").orderBy("timestamp"), 20))
-    return c.where("rho is not null and not isnan(rho)").groupBy("timestamp").agg(F.round(F.avg("rho"), 6).alias("corr_mean_20d"), F.count("rho").alias("pairs"))
+    """Mean correlation over 20 market days of all pairs of symbols that have all of them, without making pairs.
+
+    With each symbol's returns standardised within the window, the squares of their sums over the symbols hold all pairs:
+    the mean correlation is (mean over the days of squared sums - n) / (n (n - 1)). Each return is laid out on the 20
+    windows that it belongs to; what is added up per window and day is one number.
+    """
+    n_days = CORRELATED_DAYS
+    r = sound_bars(spark, sf_dir).where(F.col("symbol") != BENCHMARK).select("symbol", "timestamp", log_return("close", by_symbol(), 1).alias("ret")).where("ret is not null")
+    calendar = r.select("timestamp").distinct().select("timestamp", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("timestamp")).alias("k"))
+    numbered = r.join(calendar, "timestamp").select("symbol", "k", "ret")
+    back = Window.partitionBy("symbol").orderBy("k").rangeBetween(-(n_days - 1), 0)
+    whole = numbered.select("symbol", "k", F.collect_list("ret").over(back).alias("rets"), F.avg("ret").over(back).alias("m"), F.var_pop("ret").over(back).alias("v"))
+    whole = whole.where((F.size("rets") == n_days) & (F.col("v") > 1e-18))
+    laid = whole.select("symbol", "k", F.posexplode("rets").alias("i", "ret"), "m", "v")
+    sums = laid.groupBy("k", "i").agg(F.sum((F.col("ret") - F.col("m")) / F.sqrt("v")).alias("s"), F.count("*").alias("n"))
+    out = sums.groupBy("k").agg(F.avg(F.col("s") * F.col("s")).alias("square"), F.max("n").alias("n")).where("n > 1")
+    pairs = F.col("n") * (F.col("n") - 1)
+    return out.join(calendar, "k").select("timestamp", F.round((F.col("square") - F.col("n")) / pairs, 6).alias("corr_mean_20d"), (pairs / 2).cast("long").alias("pairs"))
 
 
 BUYS, SELLS = ("Open market purchase",), ("Open market sale",)
-_EXEC = "ceo|cfo|chief|president|coo|evp|director|officer"
+#: Parts of titles that mark an executive or the chair.
+_EXEC = "ceo|cfo|coo|president|chair|chief executive|chief financial|chief operating"
 _TYPED = f"""t as (select *, case when transaction_type in ('{BUYS[0]}') then total_value end as buy, case when transaction_type in ('{SELLS[0]}') then total_value end as sell,
     coalesce(is_board_director, false) or regexp_matches(lower(coalesce(insider_title, '')), '{_EXEC}') as exec from ({TRADES_SQL}))"""
 

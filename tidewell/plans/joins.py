@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import symbol
 from tidewell.operators.latest import compare, latest
 from tidewell.plans.base import BARS_SQL, BENCHMARK, SOUND_SQL, TRADES_SQL, Book, bars, sound_bars, trades
 from tidewell.session import table
@@ -15,8 +16,8 @@ book = Book()
 @book.query(f"select symbol, timestamp, close, volume::double as volume from ({BARS_SQL}) where timestamp between '2024-01-01' and '2024-03-31 23:59:59.999999' and symbol <> '{BENCHMARK}'")
 def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of a closed range of days: the range reaches the scan."""
-    raw = table(spark, sf_dir, "raw_alpaca_equity_ohlcv").where(F.col("timestamp").between(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-03-31 23:59:59.999999").cast("timestamp")) & (F.upper(F.trim("symbol")) != BENCHMARK))
-    one = latest(raw.select(F.upper(F.trim("symbol")).alias("symbol"), "timestamp", F.when(~F.isnan("close"), F.col("close")).alias("close"), "volume", "ingested_at", "bar_id"), by=["symbol", "timestamp"], order=["ingested_at", "bar_id"])
+    raw = table(spark, sf_dir, "raw_alpaca_equity_ohlcv").where(F.col("timestamp").between(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-03-31 23:59:59.999999").cast("timestamp")) & (symbol("symbol") != BENCHMARK))
+    one = latest(raw.select(symbol("symbol").alias("symbol"), "timestamp", F.when(~F.isnan("close"), F.col("close")).alias("close"), "volume", "ingested_at", "bar_id"), by=["symbol", "timestamp"], order=["ingested_at", "bar_id"])
     return one.select("symbol", "timestamp", "close", F.col("volume").cast("double").alias("volume"))
 
 
@@ -45,7 +46,7 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book.query(f"with b as ({SOUND_SQL}), u as (select upper(trim(symbol)) as symbol from raw_fd_fundamentals group by 1 having count(*) >= 10) select symbol, timestamp, close from b where symbol in (select symbol from u)")
 def universe_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the symbols that have ten statement rows or more."""
-    u = table(spark, sf_dir, "raw_fd_fundamentals").groupBy(F.upper(F.trim("symbol")).alias("symbol")).count().where("count >= 10")
+    u = table(spark, sf_dir, "raw_fd_fundamentals").groupBy(symbol("symbol").alias("symbol")).count().where("count >= 10")
     return sound_bars(spark, sf_dir).join(u, "symbol", "left_semi").select("symbol", "timestamp", "close")
 
 
@@ -61,7 +62,7 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bars_and_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days with a bar, a reading or both: a full outer join."""
     b = bars(spark, sf_dir).select("symbol", F.to_date("timestamp").alias("day"), "close")
-    m = table(spark, sf_dir, "raw_fd_financial_metrics").groupBy(F.upper(F.trim("symbol")).alias("symbol"), F.to_date("timestamp").alias("day")).agg(F.count("*").alias("readings"))
+    m = table(spark, sf_dir, "raw_fd_financial_metrics").groupBy(symbol("symbol").alias("symbol"), F.to_date("timestamp").alias("day")).agg(F.count("*").alias("readings"))
     return b.join(m, ["symbol", "day"], "full_outer").select("symbol", F.col("day").cast("string").alias("day"), "close", F.coalesce("readings", F.lit(0)).alias("readings"))
 
 
@@ -70,7 +71,7 @@ def bars_and_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def close_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical close where there is one, else the average traded price."""
     raw = table(spark, sf_dir, "raw_alpaca_equity_ohlcv").where((F.col("vwap") > 0) & ~F.isnan("vwap"))
-    a = raw.groupBy(F.upper(F.trim("symbol")).alias("symbol"), "timestamp").agg(F.avg("vwap").alias("vwap_close"))
+    a = raw.groupBy(symbol("symbol").alias("symbol"), "timestamp").agg(F.avg("vwap").alias("vwap_close"))
     b = sound_bars(spark, sf_dir).select("symbol", "timestamp", "close")
     return a.join(b, ["symbol", "timestamp"], "left").select("symbol", "timestamp", F.round(F.coalesce("close", "vwap_close"), 6).alias("close"))
 
@@ -117,38 +118,38 @@ def largest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which tables know each symbol: a union of distinct sets."""
     names = {"in_bars": "raw_alpaca_equity_ohlcv", "in_metrics": "raw_fd_financial_metrics", "in_trades": "raw_fd_insider_trades"}
-    each = [table(spark, sf_dir, t).select(F.upper(F.trim("symbol")).alias("s")).distinct().select("s", *[F.lit(1 if c == n else 0).alias(c) for c in names]) for n, t in names.items()]
+    each = [table(spark, sf_dir, t).select(symbol("symbol").alias("s")).distinct().select("s", *[F.lit(1 if c == n else 0).alias(c) for c in names]) for n, t in names.items()]
     return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("s").agg(*[F.sum(c).alias(c) for c in names])
 
 
 @book.query("select upper(trim(symbol)) as symbol from raw_fd_insider_trades intersect select upper(trim(symbol)) from raw_fd_fundamentals")
 def traded_and_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = lambda t: table(spark, sf_dir, t).select(F.upper(F.trim("symbol")).alias("symbol"))
+    names = lambda t: table(spark, sf_dir, t).select(symbol("symbol").alias("symbol"))
     return names("raw_fd_insider_trades").intersect(names("raw_fd_fundamentals"))
 
 
 @book.query("select upper(trim(symbol)) as symbol from raw_alpaca_equity_ohlcv except select upper(trim(symbol)) from raw_fd_fundamentals")
 def never_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = lambda t: table(spark, sf_dir, t).select(F.upper(F.trim("symbol")).alias("symbol"))
+    names = lambda t: table(spark, sf_dir, t).select(symbol("symbol").alias("symbol"))
     return names("raw_alpaca_equity_ohlcv").subtract(names("raw_fd_fundamentals"))
 
 
 @book.query("""with b as (select user_id, ts, event_id, value, row_number() over (partition by user_id order by ts, event_id) as n, count(*) over (partition by user_id) as total from events)
-    select user_id, ts, event_id, value from b where (n - 1) % greatest(ceil(total / 20.0)::bigint, 1) = 0""")
+    select user_id, ts, event_id, value from b where (n - 1) % greatest(ceil(total / 200.0)::bigint, 1) = 0""")
 def downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 20 evenly spaced events of each user, the first among them: a sampling operator."""
+    """At most 200 evenly spaced events of each user, the first among them: a sampling operator."""
     w = Window.partitionBy("user_id")
     n = F.row_number().over(w.orderBy("ts", "event_id"))
-    stride = F.greatest(F.ceil(F.count("*").over(w) / 20.0), F.lit(1))
+    stride = F.greatest(F.ceil(F.count("*").over(w) / 200.0), F.lit(1))
     return table(spark, sf_dir, "events").withColumn("_n", n).withColumn("_s", stride).where((F.col("_n") - 1) % F.col("_s") == 0).select("user_id", "ts", "event_id", "value")
 
 
-@book.query("""select user_id from (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 3 group by user_id having count(*) = 3 and count(distinct event_type) = 1""")
+@book.query("""select user_id from (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 5 group by user_id having count(*) = 5 and count(distinct event_type) = 1""")
 def livelocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose last three events are all of one type."""
+    """Users whose last five events are all of one type."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    last = table(spark, sf_dir, "events").withColumn("n", n).where("n <= 3")
-    return last.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("d")).where("n = 3 and d = 1").select("user_id")
+    last = table(spark, sf_dir, "events").withColumn("n", n).where("n <= 5")
+    return last.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("d")).where("n = 5 and d = 1").select("user_id")
 
 
 @book.query("""select user_id, event_type, count(*) as n, grouping_id(user_id, event_type)::bigint as g from (select user_id % 10 as user_id, event_type from events) group by cube (user_id, event_type)""")

@@ -67,18 +67,18 @@ def benchmark_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("n > 3")
 
 
-_PF_SQL = f"{_RET_SQL}, d as (select timestamp, avg(ret) as ret from r where symbol <> '{BENCHMARK}' and ret between -0.5 and 0.5 group by timestamp)"
+_PF_SQL = f"{_RET_SQL}, d as (select timestamp, avg(ret) as ret from r where symbol <> '{BENCHMARK}' and ret is not null group by timestamp)"
 
 
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily return of equal weights over all symbols but the benchmark, single moves of more than half left out."""
-    r = returns(spark, sf_dir).where((F.col("symbol") != BENCHMARK) & F.col("ret").between(-0.5, 0.5))
+    """Daily return of equal weights over all symbols but the benchmark; every return counts, however large."""
+    r = returns(spark, sf_dir).where((F.col("symbol") != BENCHMARK) & F.col("ret").isNotNull())
     return r.groupBy("timestamp").agg(F.avg("ret").alias("ret")).withColumn("book", F.lit("equal"))
 
 
 @book.query(f"""with {_PF_SQL}, e as (select *, exp(sum(ln(1 + ret)) over (order by timestamp)) as equity from d), p as (select *, greatest(max(equity) over (order by timestamp), 1.0) as peak from e)
     select 'equal' as book, count(*) as n, round(case when stddev_samp(ret) > 1e-15 then avg(ret) / stddev_samp(ret) * sqrt(252) else 0 end, 6) as sharpe, round(avg(ret) / sqrt(sum(least(ret, 0) ** 2) / count(*)) * sqrt(252), 6) as sortino,
-    round(min(equity / peak - 1), 8) as max_drawdown, round(exp(sum(ln(1 + ret))) - 1, 8) as total_return, round(count(*) filter (ret > 0) / count(*), 8) as win_rate, round(sum(greatest(ret, 0)) / -sum(least(ret, 0)), 6) as profit_factor from p""")
+    round(min(equity / peak - 1), 8) as max_drawdown, round(sum(ln(1 + ret)), 8) as total_log_return, round(count(*) filter (ret > 0) / count(*), 8) as win_rate, round(sum(greatest(ret, 0)) / -sum(least(ret, 0)), 6) as profit_factor from p""")
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe, Sortino, drawdown, total return, win rate and profit factor of a book."""
     return ev.performance(portfolio(spark, sf_dir), by=["book"], order="timestamp", ret="ret")
@@ -106,16 +106,31 @@ def information_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy("timestamp").agg(F.count("*").alias("n"), F.round(correlation("rf", "rm"), 6).alias("ic")).where("n > 2")
 
 
-@book.query(f"""with {_RET_SQL}, s(scenario, a, z) as (values ('spring', date '2024-03-01', date '2024-04-30'), ('summer', date '2024-06-01', date '2024-07-31'), ('winter', date '2023-12-01', date '2024-01-31'))
-    select symbol, scenario, count(*) as n, round(sum(ret), 8) as total, round(min(ret), 8) as worst from r join s on r.timestamp::date between a and z where ret is not null group by all""")
+#: Stretches of market stress with their first and last day.
+STRESS = (
+    ("gfc_2008", "2008-09-01", "2009-03-31"), ("covid_2020", "2020-02-19", "2020-03-23"), ("dotcom_2000", "2000-03-10", "2002-10-09"),
+    ("flash_crash_2010", "2010-05-06", "2010-05-07"), ("vix_2018", "2018-02-02", "2018-02-09"),
+)
+#: Stretches that the tables at hand cover; the last two overlap.
+COVERED = (("spring_2024", "2024-03-01", "2024-04-30"), ("winter_2023", "2023-12-01", "2024-01-31"), ("quarter_2024", "2024-01-01", "2024-03-31"))
+_STRETCHES = ", ".join(f"('{n}', date '{a}', date '{z}')" for n, a, z in STRESS + COVERED)
+
+
+@book.query(f"""with {_PF_SQL}, s(scenario, a, z) as (values {_STRETCHES}),
+    j as (select scenario, timestamp, ret, exp(sum(ln(1 + ret)) over (partition by scenario order by timestamp)) - 1 as grown from d join s on d.timestamp::date between a and z)
+    select scenario, count(*) as n_days, round(exp(sum(ln(1 + ret))) - 1, 7) as total_return, round(min(grown), 7) as max_drawdown, round(min(ret), 8) as worst_day, round(max(ret), 8) as best_day, round(stddev_pop(ret) * sqrt(252), 7) as volatility
+    from j group by scenario""")
 def stress_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returns within named windows of dates: a range join with a fixed list of three."""
-    rows = [("spring", "2024-03-01", "2024-04-30"), ("summer", "2024-06-01", "2024-07-31"), ("winter", "2023-12-01", "2024-01-31")]
-    name = F.lit(None).cast("string")
-    for scenario, a, z in rows:
-        name = F.when(F.to_date("timestamp").between(F.lit(a).cast("date"), F.lit(z).cast("date")), F.lit(scenario)).otherwise(name)
-    r = returns(spark, sf_dir).where("ret is not null").withColumn("scenario", name).where("scenario is not null")
-    return r.groupBy("symbol", "scenario").agg(F.count("*").alias("n"), F.round(F.sum("ret"), 8).alias("total"), F.round(F.min("ret"), 8).alias("worst"))
+    """The equal-weight book within named stretches of days, which may overlap: each day is laid out on the stretches that hold it."""
+    day = F.to_date("timestamp")
+    names = F.array_compact(F.array(*[F.when(day.between(F.lit(a).cast("date"), F.lit(z).cast("date")), F.lit(n)) for n, a, z in STRESS + COVERED]))
+    d = portfolio(spark, sf_dir).select("timestamp", "ret", F.explode(names).alias("scenario"))
+    so_far = Window.partitionBy("scenario").orderBy("timestamp")
+    d = d.withColumn("grown", F.exp(F.sum(F.ln(1 + F.col("ret"))).over(so_far)) - 1)
+    return d.groupBy("scenario").agg(
+        F.count("*").alias("n_days"), F.round(F.exp(F.sum(F.ln(1 + F.col("ret")))) - 1, 7).alias("total_return"), F.round(F.min("grown"), 7).alias("max_drawdown"),
+        F.round(F.min("ret"), 8).alias("worst_day"), F.round(F.max("ret"), 8).alias("best_day"), F.round(F.stddev_pop("ret") * F.sqrt(F.lit(252)), 7).alias("volatility"),
+    )
 
 
 @book.query(f"""with {_PF_SQL}, k as (select timestamp, ret as rb from r where symbol = '{BENCHMARK}' and ret is not null), j as (select d.timestamp, d.ret, rb from d join k using (timestamp)),
