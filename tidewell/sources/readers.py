@@ -38,6 +38,11 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=wanted, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
 
 
+def csv_text(df: DataFrame, column: str, schema: str, separator: str = ",") -> DataFrame:
+    """The fields of CSV texts in a column, by a fixed schema; fields that can't be read are null. Other columns stay."""
+    return df.withColumn("_csv", F.from_csv(column, schema, {"sep": separator, "mode": "PERMISSIVE"})).select(*[c for c in df.columns if c != column], "_csv.*")
+
+
 def columnar_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """Parquet or ORC."""
     if kind not in ("parquet", "orc"):

@@ -26,14 +26,24 @@ def merge_table(incoming: DataFrame, path: str, *, by: list[str], order: list[st
     touched = [r[0] for r in incoming.select(partition).distinct().collect()]
     if not touched:
         return 0
-    merged = incoming
-    if exists(spark, path):
-        held = spark.read.parquet(path).where(F.col(partition).isin(touched))
-        merged = cut(upsert(held.select(*incoming.columns), incoming, by=by, order=order))
+    there = exists(spark, path)
+    held = spark.read.parquet(path).where(F.col(partition).isin(touched)).select(*incoming.columns) if there else incoming.limit(0)
+    merged = upsert(held, incoming, by=by, order=order)
+    merged = cut(merged) if there else merged
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     return len(touched)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append rows as JSON lines."""
-    rows.write.mode("append").json(path)
+def append_log(rows: DataFrame, path: str, batch: int | str) -> None:
+    """Write the rows of a batch as JSON lines under batch=...; a batch that is repeated replaces its own rows and no others."""
+    rows.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def write_artifact(rows: DataFrame, path: str) -> None:
+    """Few rows as one JSON file of lines in a folder of its own, replaced as a whole."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def already_written(log: DataFrame, run_id: str, domain: str) -> bool:
+    """Whether a log of runs (run_id, domain) holds this run: a writer then has nothing to do."""
+    return not log.where((F.col("run_id") == run_id) & (F.col("domain") == domain)).limit(1).isEmpty()

@@ -31,9 +31,9 @@ def canonicalize(messages: DataFrame, table: str, log: str, bad: str, checkpoint
 
     def store(batch: DataFrame, number: int) -> None:
         parsed = bar_messages(batch, text)
-        append_log(parsed.where("bad is not null").select("bad"), bad)
+        append_log(parsed.where("bad is not null").select("bad"), bad, number)
         bars = with_status(parsed.where("bad is null").drop("bad")).withColumn("batch", F.lit(number))
-        append_log(bars.select("symbol", "timestamp", "status", F.to_json("warnings").alias("warnings"), "batch"), log)
+        append_log(bars.select("symbol", "timestamp", "status", F.to_json("warnings").alias("warnings")), log, number)
         good = bars.where("status <> 'failed' and symbol is not null and timestamp is not null").drop("warnings")
         one = latest(good, by=["symbol", "timestamp"], order=["volume", "trade_count", "close"])
         merge_table(one.withColumn("month", F.date_format("timestamp", "yyyy-MM")), table, by=["symbol", "timestamp"], order=["batch"], partition="month")
