@@ -61,16 +61,21 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(df, by=["symbol", "insider_name", "transaction_type", "shares", "filed_day", "dealt_day"], order=["ingested_at", "trade_id"])
 
 
-def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarterly holdings per filer: star-schema adapter with symbol = brand, filer = customer."""
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries of quarterly holdings: star-schema adapter with symbol = brand, filer = customer; seq orders what was delivered."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     joined = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return joined.select(
         F.col("p_brand").alias("symbol"), F.col("o_custkey").alias("filer"), F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("period"), F.to_date("o_orderdate").alias("filed"),
-        F.col("l_quantity").alias("shares"), F.col("l_extendedprice").alias("value"), "l_orderkey", "l_linenumber", "l_suppkey",
+        F.col("l_quantity").alias("shares"), F.col("l_extendedprice").alias("value"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice").alias("seq"),
     )
 
 
+def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly holdings per filer: of several deliveries of a filing the last one counts."""
+    return latest(filings(spark, sf_dir), by=["symbol", "filer", "period", "filed"], order=["seq"]).drop("seq")
+
+
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly option chain: star-schema adapter with underlying = brand."""
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
@@ -95,8 +100,9 @@ METRICS_SQL = "select metric_id, timestamp, upper(trim(symbol)) as symbol, inges
 TRADES_SQL = """select * from (select * replace (upper(trim(symbol)) as symbol, case when not isnan(total_value) then total_value end as total_value, case when not isnan(shares) then shares end as shares),
     filed_at::date as filed_day, transaction_date::date as dealt_day from raw_fd_insider_trades)
     qualify row_number() over (partition by symbol, insider_name, transaction_type, shares, filed_day, dealt_day order by ingested_at desc nulls last, trade_id desc) = 1"""
-HOLDINGS_SQL = """select p_brand as symbol, o_custkey as filer, date_trunc('quarter', o_orderdate)::date as period, o_orderdate::date as filed, l_quantity as shares, l_extendedprice as value, l_orderkey, l_linenumber, l_suppkey
-    from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey"""
+HOLDINGS_SQL = """select symbol, filer, period, filed, arg_max(shares, seq) as shares, arg_max(value, seq) as value from (
+    select p_brand as symbol, o_custkey as filer, date_trunc('quarter', o_orderdate)::date as period, o_orderdate::date as filed, l_quantity as shares, l_extendedprice as value,
+    (l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice) as seq from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey) group by all"""
 OPTIONS_SQL = """select p_brand as underlying, date_trunc('month', l_shipdate)::date as quote_date, date_trunc('month', l_shipdate)::date + ([21, 30, 45, 60, 75])[l_linenumber % 5 + 1] as expiry, ([21, 30, 45, 60, 75])[l_linenumber % 5 + 1] as dte,
     floor(l_extendedprice / l_quantity / 100) * 100.0::double as strike, case when l_linestatus = 'O' then 'C' else 'P' end as "right", 0.1::double + l_discount as iv, (1 + l_quantity) / 52.0::double as abs_delta, l_tax / 10.0::double as gamma, l_quantity as open_interest, l_extendedprice / l_quantity as price
     from lineitem join part on l_partkey = p_partkey"""

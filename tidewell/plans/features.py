@@ -248,23 +248,43 @@ def _near(o: DataFrame, target: int) -> DataFrame:
     return o.join(best.select("underlying", "quote_date", F.col("e.expiry").alias("expiry")), ["underlying", "quote_date", "expiry"], "left_semi")
 
 
-@book.query(f"""with o as ({OPTIONS_SQL}), s as (select underlying, quote_date, avg(price) as spot from o group by all), {_EXPIRY.format(t=30)},
+def _atm_sql(target: int) -> str:
+    return f"""with o as ({OPTIONS_SQL}), s as (select underlying, quote_date, avg(price) as spot from o group by all), {_EXPIRY.format(t=target)},
     k as (select underlying, quote_date, strike, avg(iv) as iv from o semi join x using (underlying, quote_date, expiry) where strike > 0 group by all),
-    e as (select k.underlying, k.quote_date, any_value(spot) as spot, max(strike) filter (strike <= spot) as lo, min(strike) filter (strike > spot) as hi, arg_max(iv, strike) filter (strike <= spot) as ivl, arg_min(iv, strike) filter (strike > spot) as ivh
+    e as (select k.underlying, k.quote_date, any_value(spot) as spot, max(strike) filter (strike <= spot) as lo, min(strike) filter (strike > spot) as hi,
+          arg_max(iv, strike) filter (strike <= spot) as ivl, arg_min(iv, strike) filter (strike > spot) as ivh
           from k join s using (underlying, quote_date) group by k.underlying, k.quote_date)
-    select underlying, quote_date::varchar as quote_date, round(case when lo is null then ivh when hi is null then ivl else ivl + (ivh - ivl) * (ln(spot) - ln(lo)) / (ln(hi) - ln(lo)) end, 8) as atm_iv from e""")
-def atm_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At-the-money volatility of the expiry nearest to 30 days, interpolated in log strike between the strikes around spot."""
+    select underlying, quote_date::varchar as quote_date,
+        round(case when lo is null then ivh when hi is null then ivl else ivl + (ivh - ivl) * (ln(spot) - ln(lo)) / (ln(hi) - ln(lo)) end, 8) as atm_iv from e"""
+
+
+def at_the_money(spark: SparkSession, sf_dir: str, target: int) -> DataFrame:
+    """Volatility at the money of the expiry nearest to target days, interpolated in log strike between the strikes around spot."""
     o = options(spark, sf_dir)
     spot = o.groupBy("underlying", "quote_date").agg(F.avg("price").alias("spot"))
-    k = _near(o, 30).where("strike > 0").groupBy("underlying", "quote_date", "strike").agg(F.avg("iv").alias("iv")).join(spot, ["underlying", "quote_date"])
+    k = _near(o, target).where("strike > 0").groupBy("underlying", "quote_date", "strike").agg(F.avg("iv").alias("iv")).join(spot, ["underlying", "quote_date"])
     below, above = F.when(F.col("strike") <= F.col("spot"), F.col("strike")), F.when(F.col("strike") > F.col("spot"), F.col("strike"))
-    e = k.groupBy("underlying", "quote_date").agg(F.first("spot").alias("spot"), F.max(below).alias("lo"), F.min(above).alias("hi"), F.max_by("iv", below).alias("ivl"), F.min_by("iv", above).alias("ivh"))
+    e = k.groupBy("underlying", "quote_date").agg(
+        F.first("spot").alias("spot"), F.max(below).alias("lo"), F.min(above).alias("hi"), F.max_by("iv", below).alias("ivl"), F.min_by("iv", above).alias("ivh")
+    )
     part = (F.ln("spot") - F.ln("lo")) / (F.ln("hi") - F.ln("lo"))
     iv = F.when(F.col("lo").isNull(), F.col("ivh")).when(F.col("hi").isNull(), F.col("ivl")).otherwise(F.col("ivl") + (F.col("ivh") - F.col("ivl")) * part)
     return e.select("underlying", F.col("quote_date").cast("string").alias("quote_date"), F.round(iv, 8).alias("atm_iv"))
 
 
+@book.query(_atm_sql(30))
+def atm_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At-the-money volatility of the expiry nearest to 30 days."""
+    return at_the_money(spark, sf_dir, 30)
+
+
+@book.query(f"select underlying, quote_date, round(far.atm_iv - near.atm_iv, 8) as iv_term_slope from ({_atm_sql(60)}) far join ({_atm_sql(30)}) near using (underlying, quote_date)")
+def iv_term_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At-the-money volatility at 60 days less that at 30, where both expiries are quoted."""
+    far, near = at_the_money(spark, sf_dir, 60).withColumnRenamed("atm_iv", "far"), at_the_money(spark, sf_dir, 30)
+    return far.join(near, ["underlying", "quote_date"]).select("underlying", "quote_date", F.round(F.col("far") - F.col("atm_iv"), 8).alias("iv_term_slope"))
+
+
 @book.query(f"""with o as ({OPTIONS_SQL}) select underlying, quote_date::varchar as quote_date, round(sum(open_interest) filter ("right" = 'P') / nullif(sum(open_interest) filter ("right" = 'C'), 0), 8) as put_call_oi_ratio,
     round(sum(gamma * open_interest * case "right" when 'C' then 1 when 'P' then -1 else 0 end), 6) as net_gamma_exposure from o group by underlying, quote_date""")
 def option_positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
