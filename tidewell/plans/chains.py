@@ -15,7 +15,7 @@ book = Book()
 CONTRACT = ["underlying", "quote_date", "expiry", "strike", "right"]
 GREEKS = ["iv", "gamma", "open_interest"]
 #: A volatility above this can't be.
-MOST_IV = 10.0
+MOST_IV = 20.0
 #: Spellings of an option's right.
 CALLS, PUTS = ("C", "CALL", "CALLS"), ("P", "PUT", "PUTS")
 _SPELLED = (*CALLS, *PUTS)
