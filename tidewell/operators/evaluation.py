@@ -79,6 +79,16 @@ def expected_best_sharpe(trials: int, spread: float) -> float:
     return spread * ((1 - euler) * normal.inv_cdf(1 - 1 / trials) + euler * normal.inv_cdf(1 - 1 / (trials * math.e)))
 
 
+def deflate(trials: pd.DataFrame) -> pd.DataFrame:
+    """trials (sharpe a year, skew, kurtosis raw, n) with benchmark_sharpe, what the best of them is expected to show by chance, and dsr, the
+    probability that a trial's true ratio is above it."""
+    benchmark = expected_best_sharpe(len(trials), float(trials["sharpe"].std(ddof=0)) if len(trials) else 0.0)
+    year = math.sqrt(YEAR)
+    told = [probabilistic_sharpe(r.sharpe / year, int(r.n), r.skew, r.kurtosis, benchmark / year) for r in trials.itertuples()]
+    dsr = [0.0 if p is None else p for p in told]
+    return trials.assign(benchmark_sharpe=benchmark, dsr=dsr, is_significant=[p > 0.95 for p in dsr])
+
+
 def walk_forward(bars: int, folds: int, *, test: int, purge: int, anchored: bool = True, train: int | None = None) -> list[tuple[range, range]]:
     """Train and test ranges of each fold, the last test ending with the last bar; purge bars lie between them."""
     out = []
