@@ -68,7 +68,7 @@ def test_compare_and_hashes(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "k long, v double")
     b = spark.createDataFrame([(1, 1.0000001), (2, 2.5), (4, 4.0)], "k long, v double")
     assert {(r["k"], r["kind"]) for r in compare(a, b, by=["k"], tolerances={"v": 1e-3}).collect()} == {(2, "differs"), (3, "left_only"), (4, "right_only")}
-    h = lambda d: d.agg(set_hash(row_hash(["k", "v"]))).first()[0]
+    h = lambda d: d.agg(set_hash(row_hash(d, ["k", "v"]))).first()[0]
     assert h(a) == h(a.orderBy(F.desc("k"))) != h(b)
 
 

@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.series import drawdowns
@@ -16,11 +16,14 @@ YEAR = 252
 
 
 def performance(df: DataFrame, *, by: list[str], order: str, ret: str) -> DataFrame:
-    """One row per series. A series without spread has a Sharpe ratio of 0; one without losses has null Sortino and profit factor."""
+    """One row per series, with its longest stretch under water, return a year and that over its deepest drawdown. A series without spread has a Sharpe ratio of 0; one without losses has null Sortino and profit factor."""
     down = F.sqrt(F.sum(F.pow(F.least(F.col(ret), F.lit(0.0)), F.lit(2.0))) / F.count(ret))
     spread = F.stddev_samp(ret)
-    return drawdowns(df, by=by, order=order, ret=ret).groupBy(*by).agg(
-        F.count(ret).alias("n"), F.round(F.when(spread > 1e-15, F.try_divide(F.avg(ret), spread) * math.sqrt(YEAR)).otherwise(F.lit(0.0)), 6).alias("sharpe"),
+    fell = drawdowns(df, by=by, order=order, ret=ret)
+    days = F.count_if(F.col("drawdown") <= -1e-12).over(Window.partitionBy(*by, "episode"))
+    a_year = F.exp(F.sum(F.ln(1 + F.col(ret))) * YEAR / F.count(ret)) - 1
+    return fell.withColumn("_under", days).groupBy(*by).agg(
+        F.count(ret).alias("n"), F.max("_under").alias("underwater_days"), F.round(a_year, 6).alias("annual_return"), F.round(F.try_divide(a_year, F.abs(F.min("drawdown"))), 5).alias("calmar"), F.round(F.when(spread > 1e-15, F.try_divide(F.avg(ret), spread) * math.sqrt(YEAR)).otherwise(F.lit(0.0)), 6).alias("sharpe"),
         F.round(F.try_divide(F.avg(ret), down) * math.sqrt(YEAR), 6).alias("sortino"), F.round(F.min("drawdown"), 8).alias("max_drawdown"), F.round(F.sum(F.ln(1 + F.col(ret))), 8).alias("total_log_return"),
         F.round(F.count_if(F.col(ret) > 0) / F.count(ret), 8).alias("win_rate"), F.round(F.try_divide(F.sum(F.greatest(F.col(ret), F.lit(0.0))), -F.sum(F.least(F.col(ret), F.lit(0.0)))), 6).alias("profit_factor"),
     )
@@ -133,7 +136,7 @@ def augmented_dickey_fuller(x: np.ndarray, lags: int = 1) -> float | None:
     return float(beta[1] / math.sqrt(covariance[1, 1])) if covariance[1, 1] > 0 else None
 
 
-def sharpe_intervals(df: DataFrame, *, by: str, order: str, ret: str, draws: int = 200, seed: int = 7) -> DataFrame:
+def sharpe_intervals(df: DataFrame, *, by: str, order: str, ret: str, draws: int = 10_000, seed: int = 7) -> DataFrame:
     """Per series Sharpe ratio, 90 percent bootstrap interval and probabilistic Sharpe ratio. A series has one row per day, so a group is as long as a calendar."""
     schema = f"{by} string, n long, sharpe double, low double, high double, psr double"
 
@@ -174,4 +177,4 @@ def fold_positions(fills: DataFrame, *, by: list[str], order: str, quantity: str
         return F.struct(q.alias("q"), F.coalesce(cost, F.lit(0.0)).alias("c"), gain.alias("g"))
 
     done = grouped.withColumn("_s", F.aggregate("_f", start, step))
-    return done.select(*by, "fills", F.round("_s.q", 6).alias("quantity"), F.round("_s.c", 6).alias("average_cost"), F.round("_s.g", 4).alias("realised"))
+    return done.select(*by, "fills", F.round("_s.q", 6).alias("quantity"), F.round("_s.c", 8).alias("average_cost"), F.round("_s.g", 8).alias("realised"))

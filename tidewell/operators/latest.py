@@ -45,10 +45,11 @@ def compare(left: DataFrame, right: DataFrame, *, by: list[str], tolerances: dic
     return both.withColumn("kind", kind).where("kind is not null").drop("_l", "_r")
 
 
-def row_hash(columns: list[str], places: int = 10) -> Column:
-    """SHA-256 of a row's columns in their order, doubles rounded; nulls are told from empty strings."""
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
-    return F.sha2(F.concat_ws("\x1f", *text), 256)
+def row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """SHA-256 of a row's columns in their order, doubles to 8 places; nulls are told from empty strings."""
+    types = dict(df.dtypes)
+    text = lambda c: (F.col(c).cast("decimal(38,8)") if types[c] in ("double", "float") else F.col(c)).cast("string")
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(text(c), F.lit("\\N")) for c in columns]), 256)
 
 
 def set_hash(hashes: Column | str) -> Column:

@@ -40,16 +40,25 @@ def rank_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("symbol", "timestamp", F.round(F.when(spread > 1e-10, (F.col("p") - F.avg("p").over(d)) / spread).otherwise(F.lit(0.0)), 7).alias("score"))
 
 
-@book.query()
+@book.query(f"""with recursive {_MOM}, r as (select symbol, timestamp, rank() over d + (count(*) over (partition by timestamp, mom) - 1) / 2.0::double as r from f where mom is not null and symbol <> '{BENCHMARK}' window d as (partition by timestamp order by mom)),
+    w0 as (select symbol, timestamp, count(*) over t as n, r / sum(r) over t as w from r window t as (partition by timestamp)),
+    c as (select symbol, timestamp, n, 0 as i, case when 0.1::double * n <= 1 then 1.0::double / n else w end as w from w0
+        union all select symbol, timestamp, n, i + 1, case when w > 0.1::double + 1e-12 then 0.1::double when w < 0.1::double then w + surplus / rest else w end
+        from (select *, sum(case when w > 0.1::double + 1e-12 then w - 0.1::double else 0 end) over (partition by timestamp) as surplus, count(*) filter (w < 0.1::double) over (partition by timestamp) as rest from c where 0.1::double * n > 1) where surplus > 0 and i < n),
+    l as (select symbol, timestamp, arg_max(w, i) as w from c group by all) select symbol, timestamp, round(w / sum(w) over (partition by timestamp), 8) as weight from l""")
 def rank_weight_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-only weights by momentum rank, none above a tenth."""
+    return ranked_weights(spark, sf_dir).withColumn("weight", F.round("weight", 8))
+
+
+def ranked_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_weights(momentum(spark, sf_dir).where(F.col("symbol") != BENCHMARK), date="timestamp", key="symbol", score="mom", cap=0.1)
 
 
 @book.query()
 def projected_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same weights moved by at most a tenth a day, along the days of each month's book."""
-    w = rank_weight_book(spark, sf_dir).withColumn("book", F.date_format("timestamp", "yyyy-MM"))
+    w = ranked_weights(spark, sf_dir).withColumn("book", F.date_format("timestamp", "yyyy-MM"))
     return project_path(w, book="book", date="timestamp", key="symbol", weight="weight", limits=Limits(symbol=0.1, gross=0.95, turnover=0.1))
 
 
@@ -148,7 +157,13 @@ def walk_forward_fits(m: DataFrame, purge_days: int = 5) -> DataFrame:
     return past.select("month", slope.alias("slope"), F.col("n").cast("long").alias("trained"))
 
 
-@book.query()
+@book.query(f"""with b as ({SOUND_SQL}), f as (select symbol, timestamp, close / lag(close, 21) over ({_W}) - 1 as mom, lead(close) over ({_W}) / close - 1 as fwd, lead(timestamp) over ({_W}) as fwd_at from b),
+    m as (select *, strftime(timestamp, '%Y-%m') as month, {_PCT.format('mom')} as p from f where mom is not null and fwd is not null),
+    s as (select strftime(greatest(timestamp::date + 5, fwd_at::date), '%Y-%m') as ready, count(*) as n, sum(p) as sx, sum(fwd) as sy, sum(p * p) as sxx, sum(p * fwd) as sxy from m group by all),
+    t as (select month, count(*) as tested, corr(p, fwd) as rho from m group by month),
+    a as (select t.month, any_value(tested) as tested, any_value(rho) as rho, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy from t join s on s.ready < t.month group by t.month having sum(n) > 20),
+    g as (select *, (sxy - sx * sy / n) / (sxx - sx * sx / n + 10.0) as slope from a)
+    select month, n::bigint as trained, tested, round(slope, 8) as slope, round(sign(slope) * rho, 6) as score from g""")
 def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge regressions of the next return on the rank of momentum, fitted on all that was known five days before each month, and the rank correlation of their scores in it."""
     m = momentum(spark, sf_dir).withColumn("fwd_at", F.lead("timestamp").over(by_symbol())).where("mom is not null and fwd is not null")

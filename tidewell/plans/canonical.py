@@ -115,11 +115,13 @@ def upserted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(early, raw.where(late), by=["symbol", "timestamp"], order=order).select("symbol", "timestamp", "close", F.col("volume").cast("double").alias("volume"))
 
 
-@book.query()
+@book.query(f"""with h as (select symbol, sha256(concat_ws(chr(31), coalesce(symbol, '\\N'), strftime(timestamp, '%Y-%m-%d %H:%M:%S'),
+        {', '.join(f"coalesce({c}::decimal(38, 8)::varchar, '\\N')" for c in PRICES)}, coalesce(volume::varchar, '\\N'))) as h from ({BARS_SQL}))
+    select symbol, sha256({" || ',' || ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint)::bigint::varchar" for i in range(4))} || ',' || count(*)::varchar) as hash, count(*) as rows from h group by symbol""")
 def symbol_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hash of each symbol's canonical rows: changes when any value does, not with the order of rows."""
     b = bars(spark, sf_dir)
-    return b.withColumn("h", row_hash(["symbol", "timestamp", *PRICES, "volume"])).groupBy("symbol").agg(set_hash("h").alias("hash"), F.count("*").alias("rows"))
+    return b.withColumn("h", row_hash(b, ["symbol", "timestamp", *PRICES, "volume"])).groupBy("symbol").agg(set_hash("h").alias("hash"), F.count("*").alias("rows"))
 
 
 @book.query(f"""

@@ -79,6 +79,11 @@ def p3_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_bars(_bars(spark, sf_dir), row_id="bar_id", source="symbol", at="timestamp", ingested="ingested_at")
 
 
+def p3_certain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars that break hard bounds or are part of a standing value: what needs no judgement of size."""
+    return p3_flags(spark, sf_dir).where("is_impossible or is_stuck").select("bar_id", "is_impossible", "is_stuck")
+
+
 def daily_bars(bars: DataFrame) -> DataFrame:
     """The newest bar of each symbol and day."""
     newest = F.max(F.struct("timestamp", "ingested_at", "bar_id", F.col("volume").cast("long").alias("volume"), number("close").alias("close")))
@@ -154,7 +159,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_grid(spark, sf_dir).where("filled").select("field_name", "symbol", "week_start")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p1_before, p3_found, p3_flags, p4_found, p4_totals, p5_found, p5_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p1_before, p3_found, p3_flags, p3_certain, p4_found, p4_totals, p5_found, p5_grid)}
 
 _SYMBOL = "upper(trim(symbol))"
 def _known_sql(metrics: str, statements: str) -> str:
@@ -211,6 +216,15 @@ ORACLES = {
     m as (select {_SYMBOL} as symbol, timestamp as valid, ingested_at as ing, metric_id, shares_outstanding from raw_fd_financial_metrics where shares_outstanding > 0 and not isnan(shares_outstanding))
     select bar_id, metric_id, shares_outstanding from b join m on m.symbol = b.symbol and m.valid <= b.v and (m.ing is null or m.ing <= b.t)
     qualify row_number() over (partition by bar_id order by m.valid desc, m.ing desc nulls last, m.metric_id desc) = 1""",
+    "p3_certain": f"""
+    with r as (select bar_id, {_SYMBOL} as symbol, timestamp::date as d, {', '.join(f'case when not isnan({c}) then {c} end as {c}' for c in ('open', 'high', 'low', 'close'))}, volume from raw_alpaca_equity_ohlcv),
+    k as (select *, coalesce(open <= 0 or high <= 0 or low <= 0 or close <= 0, false) or coalesce(volume < 0, false) or coalesce(high < low, false) or coalesce(high < open, false) or coalesce(high < close, false)
+          or coalesce(open <= 0, false) or coalesce(high <= 0, false) or coalesce(low <= 0, false) or coalesce(close <= 0, false) as is_impossible from r),
+    days as (select symbol, d, row_number() over (partition by symbol order by d) as n from (select distinct symbol, d from r where symbol is not null)),
+    held as (select distinct symbol, d, open, high, low, close, n from r join days using (symbol, d) where open is not null and high is not null and low is not null and close is not null),
+    g as (select *, n - row_number() over (partition by symbol, open, high, low, close order by n) as island from held),
+    runs as (select symbol, d, open, high, low, close, count(*) over (partition by symbol, open, high, low, close, island) as days from g)
+    select bar_id, is_impossible, coalesce(days >= 6, false) and not is_impossible as is_stuck from k left join runs using (symbol, d, open, high, low, close) where is_impossible or days >= 6""",
     "p4_found": _DAILY_SQL + f"""
     select 'volume' as measure_name, symbol, strftime(d, '%Y-%m-%d') as day_date from w where n30 >= 8 and v30 > 0 and v7 >= {VOLUME_SHARE}::double * v30
     union all select 'close', symbol, strftime(d, '%Y-%m-%d') from w where n30 >= 8 and abs(c7 - c30) >= {CLOSE_SHIFT}::double * c30

@@ -77,8 +77,9 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""with {_PF_SQL}, e as (select *, exp(sum(ln(1 + ret)) over (order by timestamp)) as equity from d), p as (select *, greatest(max(equity) over (order by timestamp), 1.0) as peak from e)
-    select 'equal' as book, count(*) as n, round(case when stddev_samp(ret) > 1e-15 then avg(ret) / stddev_samp(ret) * sqrt(252) else 0 end, 6) as sharpe, round(avg(ret) / sqrt(sum(least(ret, 0) ** 2) / count(*)) * sqrt(252), 6) as sortino,
-    round(min(equity / peak - 1), 8) as max_drawdown, round(sum(ln(1 + ret)), 8) as total_log_return, round(count(*) filter (ret > 0) / count(*), 8) as win_rate, round(sum(greatest(ret, 0)) / -sum(least(ret, 0)), 6) as profit_factor from p""")
+    , u as (select *, sum(case when equity / peak - 1 > -1e-12 then 1 else 0 end) over (order by timestamp) as episode from p), v as (select *, count(*) filter (equity / peak - 1 <= -1e-12) over (partition by episode) as under from u)
+    select 'equal' as book, count(*) as n, max(under) as underwater_days, round(exp(sum(ln(1 + ret)) * 252 / count(*)) - 1, 6) as annual_return, round((exp(sum(ln(1 + ret)) * 252 / count(*)) - 1) / abs(min(equity / peak - 1)), 5) as calmar, round(case when stddev_samp(ret) > 1e-15 then avg(ret) / stddev_samp(ret) * sqrt(252) else 0 end, 6) as sharpe, round(avg(ret) / sqrt(sum(least(ret, 0) ** 2) / count(*)) * sqrt(252), 6) as sortino,
+    round(min(equity / peak - 1), 8) as max_drawdown, round(sum(ln(1 + ret)), 8) as total_log_return, round(count(*) filter (ret > 0) / count(*), 8) as win_rate, round(sum(greatest(ret, 0)) / -sum(least(ret, 0)), 6) as profit_factor from v""")
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe, Sortino, drawdown, total return, win rate and profit factor of a book."""
     return ev.performance(portfolio(spark, sf_dir), by=["book"], order="timestamp", ret="ret")
@@ -153,12 +154,21 @@ def vol_target_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio(spark, sf_dir).withColumn("vol", vol).select("timestamp", F.round(F.when(F.col("vol") > 0, F.least(F.lit(1.0), F.try_divide(F.lit(0.1), F.col("vol")))).otherwise(F.lit(1.0)), 8).alias("scale"))
 
 
-@book.query()
+@book.query(f"""with {_RET_SQL}, k as (select timestamp, avg(ret) as x1, stddev_samp(ret) as x2 from r where ret is not null group by timestamp),
+    j as (select symbol, ret as y, x1, x2 from r join k using (timestamp) where ret is not null and x1 is not null and x2 is not null),
+    s as (select symbol, count(*) as n, avg(y) as my, avg(x1) as m1, avg(x2) as m2, regr_syy(y, x1) as syy, regr_sxx(y, x1) as s11, regr_sxx(y, x2) as s22, regr_sxy(y, x1) as s1y, regr_sxy(y, x2) as s2y, regr_sxy(x1, x2) as s12 from j group by symbol),
+    d as (select *, s11 * s22 - s12 * s12 as d from s),
+    fit as (select *, (s1y * s22 - s2y * s12) / d as b1, (s2y * s11 - s1y * s12) / d as b2 from d),
+    e as (select *, my - b1 * m1 - b2 * m2 as b0, greatest(syy - b1 * s1y - b2 * s2y, 0) as rss from fit)
+    select symbol, n, round(b0, 6) as beta_intercept, round(b1, 5) as beta_mkt, round(b2, 5) as beta_spread, round(1 - rss / syy, 6) as r2,
+    round(b0 / sqrt(rss / (n - 3) * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / d)), 3) as t_intercept, round(b1 / sqrt(rss / (n - 3) * s22 / d), 3) as t_mkt, round(b2 / sqrt(rss / (n - 3) * s11 / d), 3) as t_spread from e""")
 def factor_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least squares of each symbol's returns on market and momentum spread: products are summed where the rows are, a 3 x 3 system is solved per symbol."""
     r = returns(spark, sf_dir).where("ret is not null")
     market = r.groupBy("timestamp").agg(F.avg("ret").alias("mkt"), F.stddev_samp("ret").alias("spread"))
-    return ev.least_squares(r.join(market, "timestamp").dropna(subset=["mkt", "spread"]), by=["symbol"], y="ret", xs=["mkt", "spread"])
+    fit = ev.least_squares(r.join(market, "timestamp").dropna(subset=["mkt", "spread"]), by=["symbol"], y="ret", xs=["mkt", "spread"])
+    places = {"beta_intercept": 6, "beta_mkt": 5, "beta_spread": 5, "r2": 6, "t_intercept": 3, "t_mkt": 3, "t_spread": 3}
+    return fit.select("symbol", "n", *[F.round(c, k).alias(c) for c, k in places.items()])
 
 
 @book.query()
@@ -168,7 +178,15 @@ def sharpe_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.sharpe_intervals(r, by="symbol", order="timestamp", ret="ret")
 
 
-@book.query()
+@book.query("""with recursive f as (select o_custkey, p_brand, case when l_returnflag = 'R' then -l_quantity else l_quantity end as q, l_extendedprice / l_quantity as p,
+        row_number() over (partition by o_custkey, p_brand order by o_orderdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as n, count(*) over (partition by o_custkey, p_brand) as fills
+        from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+    s as (select o_custkey, p_brand, n, fills, q, p as c, 0.0::double as g from f where n = 1
+        union all select f.o_custkey, f.p_brand, f.n, f.fills, s.q + f.q,
+            case when s.q = 0 or sign(s.q) = sign(f.q) then (s.c * abs(s.q) + f.p * abs(f.q)) / abs(s.q + f.q) when s.q + f.q = 0 then 0 when sign(s.q + f.q) = sign(s.q) then s.c else f.p end,
+            case when s.q = 0 or sign(s.q) = sign(f.q) then s.g else s.g + least(abs(s.q), abs(f.q)) * sign(s.q) * (f.p - s.c) end
+        from s join f on f.o_custkey = s.o_custkey and f.p_brand = s.p_brand and f.n = s.n + 1)
+    select o_custkey, p_brand, fills, round(q, 6) as quantity, round(c, 8) as average_cost, round(g, 8) as realised from s where n = fills""")
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity, average cost and realised gain per customer and brand from their lines in order: an ordered fold."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
