@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewell.operators.incremental import advance, changed, fresh_features, reset
-from tidewell.operators.weights import Limits, capped, project, project_path, rank_weights
+from tidewell.operators.weights import Limits, Today, capped, project, project_path, rank_weights
 from tidewell.plans import registry
 
 T0 = datetime(2023, 1, 2)
@@ -69,8 +70,9 @@ limits = st.builds(Limits, symbol=st.floats(0.05, 1), gross=st.floats(0.2, 1), c
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.floats(-1, 2), min_size=1, max_size=9), limits, st.floats(0.01, 0.5))
 def test_projection_holds_limits(raw, limit, volatility):
-    w = project(np.array(raw), limit, volatility=volatility)
-    assert (w >= 0).all() and w.max() <= limit.symbol + 1e-9 and w.sum() <= max(limit.gross - limit.cash, 0) + 1e-9
+    # Cash is kept out of the whole book: the sum may be no more than gross, nor than 1 less cash.
+    w = project(np.array(raw), limit, previous=np.zeros(len(raw)), volatility=volatility)
+    assert (w >= 0).all() and w.max() <= limit.symbol + 1e-9 and w.sum() <= min(limit.gross, 1 - limit.cash) + 1e-9
     if limit.turnover is not None:
         assert w.sum() <= limit.turnover + 1e-9
     if limit.positions is not None:
@@ -86,3 +88,28 @@ def test_weights_over_dates(spark):
     path = project_path(w.withColumn("book", F.lit("x")), book="book", date="d", key="k", weight="weight", limits=Limits(symbol=0.6, turnover=0.5)).orderBy("d", "k").collect()
     assert [round(r["weight"], 6) for r in path] == [0.3, 0.2, 0.4, 0.6]
     assert rank_weights(s.limit(0), date="d", key="k", score="s").count() == 0
+
+
+def test_projection_steps_and_log():
+    log = []
+    day = Today(previous=np.array([0.1, 0.3, 0.0, 0.2]), volatility=0.4, traded=np.array([1.0, 1.0, 0.1, 1.0]), confidence=np.array([1.0, 1.0, 1.0, 0.2]), bars_held=np.array([9.0, 1.0, 0.0, 9.0]))
+    limits = Limits(symbol=0.4, gross=1.0, cash=0.1, calm=0.3, brake_symbol=0.25, brake_gross=0.2, volatility=0.2, traded_share=0.5, confidence=0.5, hold=3, smallest_move=0.02)
+    w = project(np.array([0.6, 0.1, 0.4, -0.5]), limits, today=day, log=log)
+    # Halved for volatility, cut at nothing, 0.3 and the room of 0.8; the third by its trading, the second held, the fourth out.
+    assert np.allclose(w, [0.3, 0.3, 0.05, 0.0])
+    assert [name for name, changed, *_ in log if changed] == ["vol_regime_brakes", "volatility_scaling", "long_only", "max_adv_pct", "min_holding_period"]
+    assert len(log) == 16
+    small = project(np.array([0.105, 0.5]), Limits(symbol=0.4, smallest_move=0.01), previous=np.array([0.1, 0.0]))
+    assert np.allclose(small, [0.1, 0.4])
+    fewer = project(np.array([0.3, 0.2, 0.1]), Limits(symbol=0.5, positions=2, top=1, top_share=0.25))
+    assert np.allclose(fewer, [0.25, 0.2, 0.0])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.floats(0, 1), min_size=2, max_size=9), limits, st.floats(0.01, 0.5), st.integers(0, 99))
+def test_hard_limits_hold_whatever_was_held(raw, limit, volatility, seed):
+    rng = np.random.default_rng(seed)
+    n = len(raw)
+    day = Today(previous=rng.dirichlet(np.ones(n)), volatility=volatility, bars_held=rng.integers(0, 5, n).astype(float), confidence=rng.random(n), traded=rng.random(n))
+    w = project(np.array(raw), replace(limit, hold=3, calm=0.2, traded_share=0.5, confidence=0.3, smallest_move=0.01), today=day)
+    assert (w >= 0).all() and w.max() <= limit.symbol + 1e-9 and w.sum() <= min(limit.gross, 1 - limit.cash) + 1e-9

@@ -55,11 +55,24 @@ def ranked_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_weights(momentum(spark, sf_dir).where(F.col("symbol") != BENCHMARK), date="timestamp", key="symbol", score="mom", cap=0.1)
 
 
+PROJECTED = Limits(symbol=0.1, gross=0.95, cash=0.02, turnover=0.1, positions=30, top=5, top_share=0.45, smallest_move=0.001)
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_weights(spark, sf_dir).withColumn("book", F.date_format("timestamp", "yyyy-MM"))
+
+
 @book.query()
 def projected_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same weights moved by at most a tenth a day, along the days of each month's book."""
-    w = ranked_weights(spark, sf_dir).withColumn("book", F.date_format("timestamp", "yyyy-MM"))
-    return project_path(w, book="book", date="timestamp", key="symbol", weight="weight", limits=Limits(symbol=0.1, gross=0.95, turnover=0.1))
+    """The same weights brought within limits, along the days of each month's book."""
+    return project_path(_monthly(spark, sf_dir), book="book", date="timestamp", key="symbol", weight="weight", limits=PROJECTED)
+
+
+@book.query()
+def projection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each step of the projection changed a month's book, and by how much in all."""
+    told = project_path(_monthly(spark, sf_dir), book="book", date="timestamp", key="symbol", weight="weight", limits=PROJECTED, log=True)
+    return told.groupBy("book", "step").agg(F.count("*").alias("days"), F.count_if("changed").alias("changed"), F.round(F.sum(F.col("after") - F.col("before")), 8).alias("moved"))
 
 
 @book.query(f"""with {_MOM}, r as (select *, rank() over (partition by timestamp order by mom desc, symbol) as k from f where mom is not null and symbol <> '{BENCHMARK}'), w as (select symbol, timestamp, fwd, case when k <= 5 then 0.2 else 0 end as w from r),
