@@ -62,3 +62,18 @@ def fiscal_period(c: Column | str) -> Column:
         .when(tail_year != "", F.concat(F.lit("20"), tail_year))
     )
     return F.when(year.isNotNull(), F.concat(year, F.lit("-"), F.coalesce(F.concat(F.lit("Q"), quarter), F.lit("FY"))))
+
+
+def date_range(c: Column | str, since: str | None = None, until: str | None = None) -> Column:
+    """Whether a timestamp lies in the UTC days since to until, both included; an end that isn't given is open.
+
+    Compares the column itself with fixed times, so the condition reaches a scan.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    at = lambda d, more: F.lit(d).cast("timestamp") + F.expr(f"interval {more} days")
+    out = F.lit(True)
+    if since:
+        out = out & (c >= at(since, 0))
+    if until:
+        out = out & (c < at(until, 1))
+    return out
