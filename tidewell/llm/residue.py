@@ -13,8 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ BLANKS = re.compile(r"[  -​　﻿\t]")
 DIVIDE = re.compile(r"[\r\n]+|(?<=[.!?])['\")\]]*\s+(?=[^\W_]|[<\[({$'\"%_#])")
 WORD = re.compile(r"(?<!\w)[^\W\d_]{2,}(?:['’][^\W\d_]+)?(?!\w)")
 CODE = re.compile(r"(?<![\w.,])[45]\d\d(?![\w.,]\d|%)")
+CRUMBS = frozenset("|>»/·")
 BREADCRUMBS = re.compile(r"\s[|>»/·]\s")
 ENDED = re.compile(r"[.!?]['\")\]]*$")
 # Single lines around a page's content.
@@ -129,8 +129,9 @@ def read(row: int, host: str | None, text: str) -> list[tuple]:
         terms = terms_of(p)
         joined = " ".join(terms)
         key, guess = judge(joined)
-        line = bool(BREADCRUMBS.search(p) and not ENDED.search(p)) or bool(FURNITURE.match(p))
-        found.append((key, len(terms), guess, not line and bool(terms), joined))
+        crumbs = not CRUMBS.isdisjoint(p) and BREADCRUMBS.search(p) and not ENDED.search(p)
+        furniture = crumbs or (len(terms) <= TITLE_WORDS and FURNITURE.match(p))
+        found.append((key, len(terms), guess, not furniture and bool(terms), joined))
     content = [f for f in found if f[3]]
     title = len(content) > 1 and content[0][1] <= TITLE_WORDS and not ENDED.search(parts[found.index(content[0])])
     mismatch = False
@@ -161,20 +162,26 @@ def segments(documents: DataFrame, row_id: str, text: str, host: str) -> DataFra
     is_content (no furniture), is_title, mismatch (title and body share no word), certain and possible (open places, in
     a document's first row) and terms (its words, once per task for each key)."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([
+        ("row", pa.int64()), ("host", pa.string()), ("key", pa.int64()), ("words", pa.int32()), ("guess", pa.float32()), ("belongs", pa.float32()), ("alone", pa.int32()), ("is_content", pa.bool_()),
+        ("is_title", pa.bool_()), ("mismatch", pa.bool_()), ("certain", pa.int32()), ("possible", pa.list_(pa.int64())), ("terms", pa.string()),
+    ])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
-        for f in frames:
-            rows = [r for row, h, t in zip(f["row"], f["host"], f["text"]) for r in read(row, h, t)]
+        for batch in batches:
+            rows = [r for document in zip(*[c.to_pylist() for c in batch.columns]) for r in read(*document)]
             if len(told) > MEMORY:
                 told = set()
-            for i, r in enumerate(rows):
-                if r[2] in told:
-                    rows[i] = (*r[:12], None)
+            terms: list[str | None] = []
+            for r in rows:
+                terms.append(None if r[2] in told else r[12])
                 told.add(r[2])
-            yield pd.DataFrame(rows, columns=SEGMENT.names)
+            columns = [*zip(*rows)][:12] if rows else [[]] * 12
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip([*columns, terms], schema.types)], schema=schema)
 
     held = documents.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("row"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    return held.mapInPandas(each, SEGMENT)
+    return held.mapInArrow(each, SEGMENT)
 
 
 def key_evidence(marked: DataFrame) -> DataFrame:
