@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import cut
+
 #: Share of what a configuration could still take of its scarcest length that one step takes.
-STEP = 0.25
+STEP = 0.5
 #: How fast a length's weight falls as it is covered, one pass over the program each.
 FALLS = (0.3, 0.1, 0.03, 0.2, 0.05, 0.0, 0.15, 0.01)
 #: Packs that lie above the bound by no more than this share are good enough, as are packs of which no whole one can be saved.
@@ -182,23 +185,32 @@ def _pieces(tokens: DataFrame, capacities: dict[str, int], row_id: str, n_tokens
 def make_plans(tokens: DataFrame, capacities: dict[str, int], *, row_id: str, n_tokens: str = "n_tokens") -> tuple[dict[str, Plan], int]:
     """The plan of each capacity and the greatest number of items of one length. Each program is solved in a task of its own.
 
-    What comes to the driver are the plans' runs: about log(items of a length) / log(4/3) configurations for each
+    What comes to the driver are the plans' runs: about log2(items of a length) configurations for each
     length up to the capacity, however many documents there are.
     """
-    if capacities and min(capacities.values()) < 1:
+    if not capacities:
+        return {}, 0
+    if min(capacities.values()) < 1:
         raise ValueError("capacities must be positive")
     each = _pieces(tokens, capacities, row_id, n_tokens)
 
-    def program(f: pd.DataFrame) -> pd.DataFrame:
+    def program(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [f for f in frames if len(f)]
+        if not held:
+            return
+        f = pd.concat(held)
         capacity = int(f["capacity"].iloc[0])
         counts = np.zeros(capacity + 1, np.int64)
         counts[f["length"].to_numpy(np.int64)] = f["items"].to_numpy(np.int64)
         p = plan_packs(counts, capacity)
         out = pd.DataFrame({"length": p.length, "first": p.first, "pack": p.pack, "each": p.each})
-        return out.assign(pack_name=f["pack_name"].iloc[0], packs=p.packs, bound=p.bound, most=counts.max())
+        yield out.assign(pack_name=f["pack_name"].iloc[0], packs=p.packs, bound=p.bound, most=counts.max())
 
     schema = "length long, first long, pack long, each long, pack_name string, packs long, bound double, most long"
-    runs = histogram(each).groupBy("pack_name").applyInPandas(program, schema).toPandas()
+    counted = cut(histogram(each))
+    # Different numbers of partitions, or the union would put the programs into one task.
+    solved = [counted.where(F.col("pack_name") == n).repartition(i + 1, "pack_name").mapInPandas(program, schema) for i, n in enumerate(sorted(capacities))]
+    runs = reduce(DataFrame.unionByName, solved).toPandas()
     plans = {}
     for name, f in runs.groupby("pack_name", sort=True):
         columns = [f[c].to_numpy(np.int64) for c in ("length", "first", "pack", "each")]
