@@ -65,7 +65,12 @@ def known_at(
     rows = rows.withColumn("first", first).withColumn("shard", F.explode(F.sequence("first", "last")))
 
     # Shards that hold too much, and into how many parts each is divided: at most as many as all rows / shard_rows.
-    held = rows.groupBy("entity", "shard").agg(F.count("*").alias("n")).unionByName(probes.groupBy("entity", "shard").agg(F.count("*").alias("n")))
+    # Counted before repeats are taken out, which is cheaper and can only divide a shard further.
+    raw = attributes.where(F.col(by).isNotNull() & F.col(valid).isNotNull()).select(F.col(by).alias("entity"), F.floor(known / width).alias("last"), F.floor(micros(valid) / width).alias("first"))
+    raw = raw.select("entity", F.explode(F.sequence("first", "last")).alias("shard")) if as_of else raw.select("entity", F.col("last").alias("shard"))
+    asks = events.select(F.col(by).alias("entity"), F.floor(F.least(micros(as_of or at), micros(at)) / width).alias("shard"))
+    counted = lambda df: df.groupBy("entity", "shard").agg(F.count("*").alias("n"))
+    held = counted(raw).unionByName(counted(asks))
     parts = held.groupBy("entity", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > shard_rows)
     parts = F.broadcast(parts.select("entity", "shard", F.least(F.ceil(F.col("n") * 4 / shard_rows), F.lit(PARTS - 1)).cast("long").alias("parts")))
     several = F.coalesce("parts", F.lit(1).cast("long"))
