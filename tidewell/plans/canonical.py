@@ -40,12 +40,27 @@ def validated(b: DataFrame) -> DataFrame:
     z = F.abs(F.col("close") - F.col("_m")) / F.col("_sd")
     far = (F.col("_n") >= STATS_LEAST) & (F.col("_sd") > 0) & (F.col("close") > 0) & (z > STATS_Z)
     failed = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing_{c}")) for c in (*PRICES, "volume")], *[F.when(F.col(c) <= 0, F.concat(F.lit(f"non_positive_{c}="), F.col(c).cast("string"))) for c in PRICES]))
-    warned = F.array_compact(F.array(F.when(far, F.concat(F.lit("outlier_z="), F.format_number(z, 2)))))
+    warned = F.array_compact(F.array(F.when(far, F.concat(F.lit("outlier_close_z="), F.format_string("%.2f", z)))))
     out = b.join(stats, "symbol", "left").withColumn("_f", failed).withColumn("_w", warned)
     status = F.when(F.size("_f") > 0, "failed").when(F.size("_w") > 0, "warning").otherwise("passed")
     return out.withColumn("warnings", F.concat("_f", "_w")).withColumn("status", status).drop("_m", "_sd", "_n", "_f", "_w")
 
 
+_MISSING_SQL = ", ".join(f"case when {c} is null then 'missing_{c}' end" for c in (*PRICES, "volume"))
+_LOW_SQL = ", ".join(f"case when {c} <= 0 then 'non_positive_{c}=' || {c}::varchar end" for c in PRICES)
+
+
+@book.query(f"""
+    with b as ({BARS_SQL}),
+    last60 as (select * from b where close > 0 qualify row_number() over (partition by symbol order by timestamp desc) <= {STATS_ROWS}),
+    s as (select symbol, avg(close) as m, stddev_samp(close) as sd, count(*) as n from last60 group by symbol),
+    w as (select bar_id, unnest([{_MISSING_SQL}, {_LOW_SQL}, case when n >= {STATS_LEAST} and sd > 0 and close > 0 and abs(close - m) / sd > {STATS_Z} then 'outlier_close_z=' || printf('%.2f', abs(close - m) / sd) end]) as warning from b left join s using (symbol))
+    select bar_id, warning from w where warning is not null""")
+def validation_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each canonical bar's warnings as texts, one row each."""
+    return validated(bars(spark, sf_dir)).select("bar_id", F.explode("warnings").alias("warning"))
+
+
 @book.query(f"""
     select symbol, count(*) as deliveries, count(distinct timestamp) as days, count(*) - count(distinct timestamp) as superseded,
     max(ingested_at) as last_ingested from ({RAW_BARS_SQL}) group by symbol""")

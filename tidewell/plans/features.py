@@ -285,26 +285,39 @@ def iv_term_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return far.join(near, ["underlying", "quote_date"]).select("underlying", "quote_date", F.round(F.col("far") - F.col("atm_iv"), 8).alias("iv_term_slope"))
 
 
-@book.query(f"""with o as ({OPTIONS_SQL}) select underlying, quote_date::varchar as quote_date, round(sum(open_interest) filter ("right" = 'P') / nullif(sum(open_interest) filter ("right" = 'C'), 0), 8) as put_call_oi_ratio,
-    round(sum(gamma * open_interest * case "right" when 'C' then 1 when 'P' then -1 else 0 end), 6) as net_gamma_exposure from o group by underlying, quote_date""")
+@book.query(f"""with o as ({OPTIONS_SQL}), {_EXPIRY.format(t=30)},
+    n as (select underlying, quote_date, sum(open_interest) filter ("right" = 'P') as puts, sum(open_interest) filter ("right" = 'C') as calls from o semi join x using (underlying, quote_date, expiry) group by all),
+    g as (select underlying, quote_date, sum(gamma * open_interest * case "right" when 'C' then 1 when 'P' then -1 else 0 end) as gex from o group by all)
+    select underlying, quote_date::varchar as quote_date, round(case when calls > 0 then coalesce(puts, 0) / calls end, 8) as put_call_oi_ratio, round(gex, 6) as net_gamma_exposure from g left join n using (underlying, quote_date)""")
 def option_positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratio of put to call interest and signed gamma exposure per chain."""
+    """Ratio of put to call interest at the near expiry, and signed gamma exposure of the whole chain."""
+    o = options(spark, sf_dir)
     side = F.when(F.col("right") == "C", 1).when(F.col("right") == "P", -1).otherwise(0)
     interest = lambda r: F.sum(F.when(F.col("right") == r, F.col("open_interest")))
-    return options(spark, sf_dir).groupBy("underlying", F.col("quote_date").cast("string").alias("quote_date")).agg(
-        F.round(F.try_divide(interest("P"), interest("C")), 8).alias("put_call_oi_ratio"), F.round(F.sum(F.col("gamma") * F.col("open_interest") * side), 6).alias("net_gamma_exposure")
-    )
+    near = _near(o, 30).groupBy("underlying", "quote_date").agg(interest("P").alias("puts"), interest("C").alias("calls"))
+    gex = o.groupBy("underlying", "quote_date").agg(F.sum(F.col("gamma") * F.col("open_interest") * side).alias("gex"))
+    ratio = F.when(F.col("calls") > 0, F.coalesce("puts", F.lit(0.0)) / F.col("calls"))
+    out = gex.join(near, ["underlying", "quote_date"], "left")
+    return out.select("underlying", F.col("quote_date").cast("string").alias("quote_date"), F.round(ratio, 8).alias("put_call_oi_ratio"), F.round("gex", 6).alias("net_gamma_exposure"))
+
+
+QUARTER_DELTA = 0.25
 
 
 @book.query(f"""with o as ({OPTIONS_SQL}), {_EXPIRY.format(t=30)}, n as (select * from o semi join x using (underlying, quote_date, expiry)),
-    g as (select * from (select underlying, quote_date, "right", avg(iv) as iv, abs_delta, abs(abs_delta - 0.25) as gap from n group by underlying, quote_date, "right", abs_delta) qualify row_number() over (partition by underlying, quote_date, "right" order by gap, abs_delta) = 1)
-    select underlying, quote_date::varchar as quote_date, round(max(iv) filter ("right" = 'P') - max(iv) filter ("right" = 'C'), 8) as skew_25d from g group by underlying, quote_date""")
+    k as (select underlying, quote_date, "right", abs_delta as d, avg(iv) as iv from n where abs_delta > 0 and abs_delta <= 1 group by all),
+    e as (select underlying, quote_date, "right", min(d) filter (d >= {QUARTER_DELTA}) as hi, max(d) filter (d < {QUARTER_DELTA}) as lo, arg_min(iv, d) filter (d >= {QUARTER_DELTA}) as ivh, arg_max(iv, d) filter (d < {QUARTER_DELTA}) as ivl from k group by all),
+    i as (select underlying, quote_date, "right", case when lo is null then ivh when hi is null then ivl else ivl + ({QUARTER_DELTA} - lo) / (hi - lo) * (ivh - ivl) end as iv from e)
+    select underlying, quote_date::varchar as quote_date, round(max(iv) filter ("right" = 'P') - max(iv) filter ("right" = 'C'), 8) as skew_25d from i group by underlying, quote_date""")
 def skew_25d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volatility of the put less that of the call nearest to a delta of 25."""
-    k = _near(options(spark, sf_dir), 30).groupBy("underlying", "quote_date", "right", "abs_delta").agg(F.avg("iv").alias("iv"))
-    g = k.groupBy("underlying", "quote_date", "right").agg(F.min_by("iv", F.struct(F.abs(F.col("abs_delta") - 0.25), "abs_delta")).alias("iv"))
+    """Volatility of the put less that of the call at a delta of 25, interpolated between the deltas around it; beyond the outermost its own counts."""
+    k = _near(options(spark, sf_dir), 30).where("abs_delta > 0 and abs_delta <= 1").groupBy("underlying", "quote_date", "right", F.col("abs_delta").alias("d")).agg(F.avg("iv").alias("iv"))
+    above, below = F.when(F.col("d") >= QUARTER_DELTA, F.col("d")), F.when(F.col("d") < QUARTER_DELTA, F.col("d"))
+    e = k.groupBy("underlying", "quote_date", "right").agg(F.min(above).alias("hi"), F.max(below).alias("lo"), F.min_by("iv", above).alias("ivh"), F.max_by("iv", below).alias("ivl"))
+    between = F.col("ivl") + (QUARTER_DELTA - F.col("lo")) / (F.col("hi") - F.col("lo")) * (F.col("ivh") - F.col("ivl"))
+    i = e.withColumn("iv", F.when(F.col("lo").isNull(), F.col("ivh")).when(F.col("hi").isNull(), F.col("ivl")).otherwise(between))
     pick = lambda r: F.max(F.when(F.col("right") == r, F.col("iv")))
-    return g.groupBy("underlying", F.col("quote_date").cast("string").alias("quote_date")).agg(F.round(pick("P") - pick("C"), 8).alias("skew_25d"))
+    return i.groupBy("underlying", F.col("quote_date").cast("string").alias("quote_date")).agg(F.round(pick("P") - pick("C"), 8).alias("skew_25d"))
 
 
 @book.query(f"""with b as ({SOUND_SQL}) select symbol, timestamp, round(lead(close, 5) over ({_W}) / close - 1, 8) as fwd_5d, round(lead(close, 21) over ({_W}) / close - 1, 8) as fwd_21d from b""")
