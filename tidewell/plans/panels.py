@@ -154,12 +154,18 @@ def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("field_name", "symbol", "run", date_text(F.col("week") * 7 - 3).alias("week_start"), "value", "readings", "filled", "converged")
 
 
+def p5_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weeks of the grid that hold readings, with their mean and number."""
+    read = p5_grid(spark, sf_dir).where("not filled")
+    return read.select("field_name", "symbol", "run", "week_start", F.round("value", 4).alias("value"), "readings")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weeks within a run that hold no usable reading."""
     return p5_grid(spark, sf_dir).where("filled").select("field_name", "symbol", "week_start")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p1_before, p3_found, p3_flags, p3_certain, p4_found, p4_totals, p5_found, p5_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p1_before, p3_found, p3_flags, p3_certain, p4_found, p4_totals, p5_found, p5_grid, p5_readings)}
 
 _SYMBOL = "upper(trim(symbol))"
 def _known_sql(metrics: str, statements: str) -> str:
@@ -204,6 +210,11 @@ _WEEKS = " union all ".join(
     for n, ok in _USABLE.items()
 )
 
+_WEEK_VALUES = " union all ".join(
+    f"select '{n}' as field_name, {_SYMBOL} as symbol, timestamp as t, {n} as v from raw_fd_financial_metrics where {n} is not null and not isnan({n}) and not isinf({n}) and {ok} and symbol is not null and timestamp is not null"
+    for n, ok in _USABLE.items()
+)
+
 ORACLES = {
     "p1_found": _known_sql("m.id as row_id", "f.id as row_id") + f"""
     select 'metrics' as kind, km.row_id, r.bar_id from raw_alpaca_equity_ohlcv r join km on km.symbol = upper(trim(r.symbol)) and km.t = r.timestamp
@@ -232,6 +243,11 @@ ORACLES = {
     "p4_totals": _DAILY_SQL + """
     select 'bars' as kind, symbol, strftime(d, '%Y-%m-%d') as day_date, v7::double as total_7, v30::double as total_30, round(c7, 6) as average_7, round(c30, 6) as average_30 from w
     union all select 'trades', symbol, strftime(d, '%Y-%m-%d'), round(t7, 2), round(t30, 2), round(t7 / 7, 6), round(t30 / 30, 6) from tw""",
+    "p5_readings": f"""
+    with r as ({_WEEK_VALUES}),
+    m as (select *, case when t > lag(t) over (partition by field_name, symbol order by t) + interval 56 days then 1 else 0 end as brk from r),
+    n as (select *, sum(brk) over (partition by field_name, symbol order by t) as run from m)
+    select field_name, symbol, run, strftime(date_trunc('week', t), '%Y-%m-%d') as week_start, round(avg(v), 4) as value, count(*) as readings from n group by field_name, symbol, run, date_trunc('week', t)""",
     "p5_found": f"""
     with r as ({_WEEKS}),
     m as (select *, case when t > lag(t) over (partition by field_name, symbol order by t) + interval 56 days then 1 else 0 end as brk from r),

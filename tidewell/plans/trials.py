@@ -47,7 +47,15 @@ def trial_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("config", "n", F.round(F.col("m") / F.col("sd") * F.sqrt(F.lit(252)), 6).alias("sharpe"), "skew", "kurtosis")
 
 
-@book.query()
+_BEST_OF = ev.expected_best_sharpe(len(LOOKBACKS), 1.0)
+
+
+@book.query(f"""with {_TRIALS_SQL}, s as (select config, avg(ret) as m, stddev_pop(ret) as sp, stddev_samp(ret) as sd, count(*) as n from t group by config),
+    mo as (select config, n, round(m / sd * sqrt(252), 6) as sharpe, round(avg(((ret - m) / sp) ** 3), 5) as skew, round(avg(((ret - m) / sp) ** 4), 4) as kurtosis from t join s using (config) group by config, n, m, sd),
+    q as (select *, stddev_pop(sharpe) over () * {_BEST_OF!r}::double as benchmark from mo),
+    y as (select *, (sharpe - benchmark) / sqrt(252) / sqrt((1 - skew * sharpe / sqrt(252) + (kurtosis - 1) / 4 * (sharpe * sharpe / 252)) / (n - 1)) as z from q),
+    w as (select config, n, sharpe, skew, kurtosis, benchmark, 0.5 + any_value(z) / 3000 * sum(exp(-0.5 * (z * i / 1000.0::double) ** 2) * case when i in (0, 1000) then 1 when i % 2 = 1 then 4 else 2 end) / sqrt(2 * pi()) as dsr from y, range(1001) r(i) group by config, n, sharpe, skew, kurtosis, benchmark)
+    select config, n, sharpe, skew, kurtosis, round(benchmark, 6) as benchmark_sharpe, round(dsr, 6) as dsr, dsr > 0.95 as is_significant from w""")
 def deflated_sharpes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability that each configuration's Sharpe ratio is above what the best of all would show by chance: one row per configuration goes through Python."""
     schema = "config int, n long, sharpe double, skew double, kurtosis double, benchmark_sharpe double, dsr double, is_significant boolean"
@@ -55,7 +63,9 @@ def deflated_sharpes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def deflate(f: pd.DataFrame) -> pd.DataFrame:
         return ev.deflate(f.sort_values("config"))[["config", "n", "sharpe", "skew", "kurtosis", "benchmark_sharpe", "dsr", "is_significant"]]
 
-    return trial_moments(spark, sf_dir).withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda f: deflate(f.drop(columns="_one")), schema)
+    return trial_moments(spark, sf_dir).withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda f: deflate(f.drop(columns="_one")), schema).withColumns(
+        {c: F.round(c, 6) for c in ("benchmark_sharpe", "dsr")}
+    )
 
 
 _FOLDS_SQL = f"""{_TRIALS_SQL}, c as (select timestamp, row_number() over (order by timestamp) - 1 as bar from (select distinct timestamp from t)),
@@ -113,7 +123,16 @@ def rank_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.count("*").alias("configs"), F.round(F.least(F.lit(1.0), F.avg(F.abs(F.col("ra") - F.col("rz"))) / F.greatest(F.lit(1), F.count("*") - 1)), 8).alias("rank_decay"))
 
 
-@book.query()
+_PARTS = 8
+
+
+@book.query(f"""with {_TRIALS_SQL}, h as (select timestamp from t group by timestamp having count(*) = {len(LOOKBACKS)}), n as (select timestamp, row_number() over (order by timestamp) - 1 as i, count(*) over () as days from h),
+    p as (select timestamp, days, case when i < (days % {_PARTS}) * (days // {_PARTS} + 1) then i // (days // {_PARTS} + 1) else (i - days % {_PARTS}) // (days // {_PARTS}) end as part from n),
+    m as (select r::int as mask from range({2**_PARTS}) x(r) where bit_count(r::int) = {_PARTS // 2}),
+    s as (select mask, config, (mask >> part::int) & 1 = 1 as inside, avg(ret) / (stddev_samp(ret) + 1e-15) as score from t join p using (timestamp), m group by all),
+    top as (select mask, arg_max(config, (score, -config)) as best from s where inside group by mask),
+    o as (select s.mask, count(*) filter (s.score < z.score) + 0.5 * (count(*) filter (s.score = z.score) - 1) as rank, count(*) as k from s join top using (mask) join s z on z.mask = s.mask and z.config = top.best and not z.inside where not s.inside group by s.mask)
+    select {len(LOOKBACKS)} as configs, (select max(days)::int from n) as days, round(count(*) filter (rank / (k - 1) < 0.5) / count(*), 8) as pbo from o""")
 def overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of backtest overfitting over combinatorial splits. All that one task holds is a number per day and configuration."""
 
@@ -122,18 +141,24 @@ def overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
         pbo = ev.backtest_overfitting(wide.to_numpy(float)) if len(wide) >= 16 else float("nan")
         return pd.DataFrame({"configs": [wide.shape[1]], "days": [len(wide)], "pbo": [pbo]})
 
-    return trials(spark, sf_dir).withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda f: split(f.drop(columns="_one")), "configs int, days int, pbo double")
+    return trials(spark, sf_dir).withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda f: split(f.drop(columns="_one")), "configs int, days int, pbo double").withColumn("pbo", F.round("pbo", 8))
 
 
-@book.query()
+@book.query(f"""with b as ({SOUND_SQL}), l as (select symbol, timestamp, ln(close) as x from b), d as (select *, x - lag(x) over ({_W}) as d from l),
+    j as (select symbol, d as y, lag(x) over ({_W}) as x1, lag(d) over ({_W}) as x2 from d), c as (select symbol, count(*) as n from b group by symbol),
+    k as (select * from j where y is not null and x2 is not null),
+    s as (select symbol, count(*) as m, regr_syy(y, x1) as syy, regr_sxx(y, x1) as s11, regr_sxx(y, x2) as s22, regr_sxy(y, x1) as s1y, regr_sxy(y, x2) as s2y, regr_sxy(x1, x2) as s12 from k group by symbol),
+    f as (select *, s11 * s22 - s12 * s12 as det from s), g as (select *, (s1y * s22 - s2y * s12) / det as b1, (s2y * s11 - s1y * s12) / det as b2 from f)
+    select c.symbol, c.n::int as n, round(case when c.n > 6 then b1 / sqrt((syy - b1 * s1y - b2 * s2y) / (m - 3) * s22 / det) end, 4) as t from c left join g using (symbol)""")
 def unit_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dickey-Fuller t-value of each symbol's log price. A symbol has one row per day, so a group is as long as a calendar."""
 
     def test(f: pd.DataFrame) -> pd.DataFrame:
         t = ev.augmented_dickey_fuller(np.log(f.sort_values("timestamp")["close"].to_numpy(float)))
-        return pd.DataFrame({"symbol": [f["symbol"].iloc[0]], "n": [len(f)], "t": [np.nan if t is None else t]})
+        return pd.DataFrame({"symbol": [f["symbol"].iloc[0]], "n": [len(f)], "t": [t]}).astype({"t": float})
 
-    return sound_bars(spark, sf_dir).select("symbol", "timestamp", "close").groupBy("symbol").applyInPandas(test, "symbol string, n int, t double")
+    tested = sound_bars(spark, sf_dir).select("symbol", "timestamp", "close").groupBy("symbol").applyInPandas(test, "symbol string, n int, t double")
+    return tested.select("symbol", "n", F.round(F.when(~F.isnan("t"), F.col("t")), 4).alias("t"))
 
 
 TARGETS, MOST_SCALES = (0.05, 0.1, 0.2), (1.0, 1.5)
