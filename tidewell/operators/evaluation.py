@@ -106,7 +106,8 @@ def walk_forward(bars: int, folds: int, *, test: int, purge: int, anchored: bool
 
 
 def backtest_overfitting(returns: np.ndarray, parts: int = 8) -> float:
-    """Share of combinatorial splits in which the configuration best in sample ranks in the lower half out of sample. returns is (days, configurations)."""
+    """Share of combinatorial splits in which the configuration best in sample ranks in the lower half out of sample. returns is (days, configurations);
+    scores are equal if they are to nine places."""
     from itertools import combinations
 
     blocks = np.array_split(np.arange(len(returns)), parts)
@@ -114,7 +115,7 @@ def backtest_overfitting(returns: np.ndarray, parts: int = 8) -> float:
     for chosen in combinations(range(parts), parts // 2):
         inside = np.concatenate([blocks[i] for i in chosen])
         outside = np.setdiff1d(np.arange(len(returns)), inside)
-        score = lambda rows: returns[rows].mean(axis=0) / (returns[rows].std(axis=0, ddof=1) + 1e-15)
+        score = lambda rows: np.round(returns[rows].mean(axis=0) / (returns[rows].std(axis=0, ddof=1) + 1e-15), 9)
         best, out = int(np.argmax(score(inside))), score(outside)
         rank = (out < out[best]).sum() + 0.5 * ((out == out[best]).sum() - 1)
         worse += rank / max(len(out) - 1, 1) < 0.5

@@ -97,14 +97,21 @@ SOUND_SQL = f"select * from ({BARS_SQL}) where close > 0"
 METRICS_SQL = "select metric_id, timestamp, upper(trim(symbol)) as symbol, ingested_at, " + ", ".join(
     _NUM.format(c) for c in "market_cap pe_ratio ps_ratio pb_ratio ev_ebitda roe roa gross_margin operating_margin net_margin fcf_margin debt_to_equity current_ratio revenue_growth_yoy eps_growth_yoy dividend_yield shares_outstanding".split()
 ) + " from raw_fd_financial_metrics"
-TRADES_SQL = """select * from (select * replace (upper(trim(symbol)) as symbol, case when not isnan(total_value) then total_value end as total_value, case when not isnan(shares) then shares end as shares),
+TRADES_SQL = """select * from (select * replace (upper(trim(symbol)) as symbol, case when not isnan(total_value) then total_value end as total_value,
+        case when not isnan(shares) then shares end as shares),
     filed_at::date as filed_day, transaction_date::date as dealt_day from raw_fd_insider_trades)
-    qualify row_number() over (partition by symbol, insider_name, transaction_type, shares, filed_day, dealt_day order by ingested_at desc nulls last, trade_id desc) = 1"""
+    qualify row_number() over (partition by symbol, insider_name, transaction_type, shares, filed_day, dealt_day order by ingested_at desc nulls last,
+        trade_id desc) = 1"""
 HOLDINGS_SQL = """select symbol, filer, period, filed, arg_max(shares, seq) as shares, arg_max(value, seq) as value from (
-    select p_brand as symbol, o_custkey as filer, date_trunc('quarter', o_orderdate)::date as period, o_orderdate::date as filed, l_quantity as shares, l_extendedprice as value,
-    (l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice) as seq from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey) group by all"""
-OPTIONS_SQL = """select p_brand as underlying, date_trunc('month', l_shipdate)::date as quote_date, date_trunc('month', l_shipdate)::date + ([21, 30, 45, 60, 75])[l_linenumber % 5 + 1] as expiry, ([21, 30, 45, 60, 75])[l_linenumber % 5 + 1] as dte,
-    floor(l_extendedprice / l_quantity / 100) * 100.0::double as strike, case when l_linestatus = 'O' then 'C' else 'P' end as "right", 0.1::double + l_discount as iv, (1 + l_quantity) / 52.0::double as abs_delta, l_tax / 10.0::double as gamma, l_quantity as open_interest, l_extendedprice / l_quantity as price
+    select p_brand as symbol, o_custkey as filer, date_trunc('quarter', o_orderdate)::date as period, o_orderdate::date as filed, l_quantity as shares,
+        l_extendedprice as value,
+    (l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey,
+        l_extendedprice) as seq from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey) group by all"""
+OPTIONS_SQL = """select p_brand as underlying, date_trunc('month', l_shipdate)::date as quote_date, date_trunc('month', l_shipdate)::date + ([21, 30, 45, 60,
+        75])[l_linenumber % 5 + 1] as expiry, ([21, 30, 45, 60, 75])[l_linenumber % 5 + 1] as dte,
+    floor(l_extendedprice / l_quantity / 100) * 100.0::double as strike, case when l_linestatus = 'O' then 'C' else 'P' end as "right",
+        0.1::double + l_discount as iv, (1 + l_quantity) / 52.0::double as abs_delta, l_tax / 10.0::double as gamma, l_quantity as open_interest,
+        l_extendedprice / l_quantity as price
     from lineitem join part on l_partkey = p_partkey"""
 
 

@@ -31,7 +31,8 @@ def momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""with {_MOM}, p as (select symbol, timestamp, {_PCT.format('mom')} as p from f where mom is not null)
-    select symbol, timestamp, round(case when stddev_samp(p) over d > 1e-10 then (p - avg(p) over d) / stddev_samp(p) over d else 0 end, 7) as score from p window d as (partition by timestamp)""")
+    select symbol, timestamp, round(case when stddev_samp(p) over d > 1e-10 then (p - avg(p) over d) / stddev_samp(p) over d else 0 end,
+        7) as score from p window d as (partition by timestamp)""")
 def rank_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per day the z-score of the average rank of momentum."""
     d = Window.partitionBy("timestamp")
@@ -40,12 +41,15 @@ def rank_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("symbol", "timestamp", F.round(F.when(spread > 1e-10, (F.col("p") - F.avg("p").over(d)) / spread).otherwise(F.lit(0.0)), 7).alias("score"))
 
 
-@book.query(f"""with recursive {_MOM}, r as (select symbol, timestamp, rank() over d + (count(*) over (partition by timestamp, mom) - 1) / 2.0::double as r from f where mom is not null and symbol <> '{BENCHMARK}' window d as (partition by timestamp order by mom)),
+@book.query(f"""with recursive {_MOM}, r as (select symbol, timestamp, rank() over d + (count(*) over (partition by timestamp,
+        mom) - 1) / 2.0::double as r from f where mom is not null and symbol <> '{BENCHMARK}' window d as (partition by timestamp order by mom)),
     w0 as (select symbol, timestamp, count(*) over t as n, r / sum(r) over t as w from r window t as (partition by timestamp)),
     c as (select symbol, timestamp, n, 0 as i, case when 0.1::double * n <= 1 then 1.0::double / n else w end as w from w0
         union all select symbol, timestamp, n, i + 1, case when w > 0.1::double + 1e-12 then 0.1::double when w < 0.1::double then w + surplus / rest else w end
-        from (select *, sum(case when w > 0.1::double + 1e-12 then w - 0.1::double else 0 end) over (partition by timestamp) as surplus, count(*) filter (w < 0.1::double) over (partition by timestamp) as rest from c where 0.1::double * n > 1) where surplus > 0 and i < n),
-    l as (select symbol, timestamp, arg_max(w, i) as w from c group by all) select symbol, timestamp, round(w / sum(w) over (partition by timestamp), 8) as weight from l""")
+        from (select *, sum(case when w > 0.1::double + 1e-12 then w - 0.1::double else 0 end) over (partition by timestamp) as surplus,
+        count(*) filter (w < 0.1::double) over (partition by timestamp) as rest from c where 0.1::double * n > 1) where surplus > 0 and i < n),
+    l as (select symbol, timestamp, arg_max(w, i) as w from c group by all) select symbol, timestamp, round(w / sum(w) over (partition by timestamp),
+        8) as weight from l""")
 def rank_weight_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-only weights by momentum rank, none above a tenth."""
     return ranked_weights(spark, sf_dir).withColumn("weight", F.round("weight", 8))
@@ -75,8 +79,11 @@ def projection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("book", "step").agg(F.count("*").alias("days"), F.count_if("changed").alias("changed"), F.round(F.sum(F.col("after") - F.col("before")), 8).alias("moved"))
 
 
-@book.query(f"""with {_MOM}, r as (select *, rank() over (partition by timestamp order by mom desc, symbol) as k from f where mom is not null and symbol <> '{BENCHMARK}'), w as (select symbol, timestamp, fwd, case when k <= 5 then 0.2 else 0 end as w from r),
-    t as (select *, coalesce(lag(w) over ({_W}), 0) as pw from w) select timestamp, round(sum(coalesce(w * fwd, 0)), 8) as ret, round(sum(abs(w - pw)), 8) as turnover from t group by timestamp""")
+@book.query(f"""with {_MOM}, r as (select *, rank() over (partition by timestamp order by mom desc,
+        symbol) as k from f where mom is not null and symbol <> '{BENCHMARK}'), w as (select symbol, timestamp, fwd,
+        case when k <= 5 then 0.2 else 0 end as w from r),
+    t as (select *, coalesce(lag(w) over ({_W}), 0) as pw from w) select timestamp, round(sum(coalesce(w * fwd, 0)), 8) as ret, round(sum(abs(w - pw)),
+        8) as turnover from t group by timestamp""")
 def top_five_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return of equal weights in the five strongest symbols, and how much of the book changes."""
     k = F.row_number().over(Window.partitionBy("timestamp").orderBy(F.desc("mom"), "symbol"))
@@ -85,8 +92,12 @@ def top_five_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("timestamp").agg(F.round(F.sum(F.coalesce(F.col("w") * F.col("fwd"), F.lit(0.0))), 8).alias("ret"), F.round(F.sum(F.abs(F.col("w") - F.col("pw"))), 8).alias("turnover"))
 
 
-@book.query(f"""with {_MARKET_SQL}, q as (select quantile_cont(market_vol_20d, 0.5) as v from m), l as (select timestamp, case when market_vol_20d > v then 'high_vol' else 'low_vol' end || case when market_trend_20d > 0 then '_trend_up' else '_trend_down' end as label from m, q where market_vol_20d is not null)
-    select label, count(*) as days, round(avg(mean_ret), 8) as mean, round(stddev_samp(mean_ret), 8) as sd, round(case when stddev_samp(mean_ret) > 1e-15 then avg(mean_ret) / stddev_samp(mean_ret) * sqrt(252) else 0 end, 5) as sharpe from l join d using (timestamp) group by label""")
+@book.query(f"""with {_MARKET_SQL}, q as (select quantile_cont(market_vol_20d, 0.5) as v from m), l as (select timestamp,
+        case when market_vol_20d > v then 'high_vol' else 'low_vol' end || case when market_trend_20d > 0 then '_trend_up' else '_trend_down' end as label from m,
+        q where market_vol_20d is not null)
+    select label, count(*) as days, round(avg(mean_ret), 8) as mean, round(stddev_samp(mean_ret), 8) as sd,
+        round(case when stddev_samp(mean_ret) > 1e-15 then avg(mean_ret) / stddev_samp(mean_ret) * sqrt(252) else 0 end,
+        5) as sharpe from l join d using (timestamp) group by label""")
 def regime_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The market's mean, spread and Sharpe ratio in each regime of volatility and trend."""
     m = market(spark, sf_dir).where("market_vol_20d is not null")
@@ -103,7 +114,8 @@ def regime_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLIP = ", ".join(f"round(case when {c} is not null then greatest(least({c}, (select quantile_cont(g.{c}, 0.99) from j g where g.symbol = j.symbol)), (select quantile_cont(g.{c}, 0.01) from j g where g.symbol = j.symbol)) end, 8) as {c}" for c in PASSED_ON)
 
 
-@book.query(f"""with b as ({SOUND_SQL}), m as (select * from ({METRICS_SQL}) qualify row_number() over (partition by symbol, timestamp order by ingested_at desc nulls last, metric_id desc) = 1),
+@book.query(f"""with b as ({SOUND_SQL}), m as (select * from ({METRICS_SQL}) qualify row_number() over (partition by symbol,
+        timestamp order by ingested_at desc nulls last, metric_id desc) = 1),
     j as (select b.symbol, b.timestamp, {', '.join(f'm.{c} as {n}' for n, c in PASSED_ON.items())} from b asof left join m on m.symbol = b.symbol and b.timestamp >= m.timestamp) select symbol, timestamp, {_CLIP} from j""")
 def fundamental_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios known at each bar, clipped to their symbol's exact quantiles."""
@@ -112,10 +124,13 @@ def fundamental_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winsorize(j, list(PASSED_ON), ["symbol"]).select("symbol", "timestamp", *[F.round(c, 8).alias(c) for c in PASSED_ON])
 
 
-@book.query(f"""with b as ({SOUND_SQL}), t as (select symbol, filed_day, total_value from ({TRADES_SQL}) where transaction_type = 'Open market purchase' and total_value is not null),
-    s as (select * from ({METRICS_SQL}) where shares_outstanding > 0 qualify row_number() over (partition by symbol, timestamp order by ingested_at desc nulls last, metric_id desc) = 1),
+@book.query(f"""with b as ({SOUND_SQL}), t as (select symbol, filed_day,
+        total_value from ({TRADES_SQL}) where transaction_type = 'Open market purchase' and total_value is not null),
+    s as (select * from ({METRICS_SQL}) where shares_outstanding > 0 qualify row_number() over (partition by symbol, timestamp order by ingested_at desc nulls last,
+        metric_id desc) = 1),
     k as (select b.symbol, b.timestamp, b.close * s.shares_outstanding as cap from b asof left join s on s.symbol = b.symbol and b.timestamp >= s.timestamp)
-    select k.symbol, k.timestamp, round(sum(t.total_value) / any_value(cap) * 1e6, 4) as intensity from k left join t on t.symbol = k.symbol and t.filed_day between k.timestamp::date - 30 and k.timestamp::date group by k.symbol, k.timestamp""")
+    select k.symbol, k.timestamp, round(sum(t.total_value) / any_value(cap) * 1e6,
+        4) as intensity from k left join t on t.symbol = k.symbol and t.filed_day between k.timestamp::date - 30 and k.timestamp::date group by k.symbol, k.timestamp""")
 def insider_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insider purchases of 30 days in millionths of the market value known at each bar."""
     shares = metrics(spark, sf_dir).where("shares_outstanding > 0")
@@ -127,8 +142,10 @@ def insider_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("symbol", "timestamp", F.round(F.try_divide(F.sum("bought").over(w), F.col("cap")) * 1e6, 4).alias("intensity")).where("timestamp is not null")
 
 
-@book.query(f"""with h as ({HOLDINGS_SQL}), f as (select symbol, period, filed, sum(shares) as total from h group by all), d as (select symbol, unnest(generate_series(min(filed), max(filed), interval 1 day))::date as day from f group by symbol),
-    r as (select symbol, filed, max((period, filed, total)) over (partition by symbol order by filed) as best from f), k as (select symbol, filed, max(best) as best from r group by all)
+@book.query(f"""with h as ({HOLDINGS_SQL}), f as (select symbol, period, filed, sum(shares) as total from h group by all), d as (select symbol,
+        unnest(generate_series(min(filed), max(filed), interval 1 day))::date as day from f group by symbol),
+    r as (select symbol, filed, max((period, filed, total)) over (partition by symbol order by filed) as best from f), k as (select symbol, filed,
+        max(best) as best from r group by all)
     select d.symbol, d.day::varchar as day, k.best[1]::varchar as period, round(k.best[3], 4) as total from d asof join k on k.symbol = d.symbol and d.day >= k.filed""")
 def freshest_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On every day the latest filing of the latest quarter filed by then: quarter first, filing date second."""
@@ -142,7 +159,10 @@ def freshest_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""with o as ({OPTIONS_SQL}), d as (select underlying, quote_date, avg(iv) as iv from o group by all),
-    z as (select underlying, quote_date, iv - lag(iv, 5) over w as change, case when count(iv) over v >= 60 then (iv - avg(iv) over v) / nullif(stddev_samp(iv) over v, 0) end as z from d window w as (partition by underlying order by quote_date), v as (partition by underlying order by quote_date rows between 59 preceding and current row))
+    z as (select underlying, quote_date, iv - lag(iv, 5) over w as change,
+        case when count(iv) over v >= 60 then (iv - avg(iv) over v) / nullif(stddev_samp(iv) over v,
+        0) end as z from d window w as (partition by underlying order by quote_date),
+        v as (partition by underlying order by quote_date rows between 59 preceding and current row))
     select underlying, quote_date::varchar as quote_date, round(change, 8) as change, sign(round(change, 8))::double as direction, round(z, 6) as z from z""")
 def iv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of mean volatility over five quotes, its sign, and its z-score over 60."""
@@ -170,11 +190,14 @@ def walk_forward_fits(m: DataFrame, purge_days: int = 5) -> DataFrame:
     return past.select("month", slope.alias("slope"), F.col("n").cast("long").alias("trained"))
 
 
-@book.query(f"""with b as ({SOUND_SQL}), f as (select symbol, timestamp, close / lag(close, 21) over ({_W}) - 1 as mom, lead(close) over ({_W}) / close - 1 as fwd, lead(timestamp) over ({_W}) as fwd_at from b),
+@book.query(f"""with b as ({SOUND_SQL}), f as (select symbol, timestamp, close / lag(close, 21) over ({_W}) - 1 as mom, lead(close) over ({_W}) / close - 1 as fwd,
+        lead(timestamp) over ({_W}) as fwd_at from b),
     m as (select *, strftime(timestamp, '%Y-%m') as month, {_PCT.format('mom')} as p from f where mom is not null and fwd is not null),
-    s as (select strftime(greatest(timestamp::date + 5, fwd_at::date), '%Y-%m') as ready, count(*) as n, sum(p) as sx, sum(fwd) as sy, sum(p * p) as sxx, sum(p * fwd) as sxy from m group by all),
+    s as (select strftime(greatest(timestamp::date + 5, fwd_at::date), '%Y-%m') as ready, count(*) as n, sum(p) as sx, sum(fwd) as sy, sum(p * p) as sxx,
+        sum(p * fwd) as sxy from m group by all),
     t as (select month, count(*) as tested, corr(p, fwd) as rho from m group by month),
-    a as (select t.month, any_value(tested) as tested, any_value(rho) as rho, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy from t join s on s.ready < t.month group by t.month having sum(n) > 20),
+    a as (select t.month, any_value(tested) as tested, any_value(rho) as rho, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx,
+        sum(sxy) as sxy from t join s on s.ready < t.month group by t.month having sum(n) > 20),
     g as (select *, (sxy - sx * sy / n) / (sxx - sx * sx / n + 10.0) as slope from a)
     select month, n::bigint as trained, tested, round(slope, 8) as slope, round(sign(slope) * rho, 6) as score from g""")
 def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +211,8 @@ def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAD = " union all ".join(f"select {k} as lag, count(*) as n, round(corr(mom, x), 6) as corr from (select symbol, mom, {('lead' if k > 0 else 'lag')}(ret, {abs(k)}) over ({_W}) as x from r) where mom is not null and x is not null" for k in (-2, -1, 0, 1, 2))
 
 
-@book.query(f"""with b as ({SOUND_SQL}), r as (select symbol, timestamp, ret, mom from (select symbol, timestamp, close / lag(close) over ({_W}) - 1 as ret, close / lag(close, 21) over ({_W}) - 1 as mom from b) where ret is not null) {_LEAD}""")
+@book.query(f"""with b as ({SOUND_SQL}), r as (select symbol, timestamp, ret, mom from (select symbol, timestamp, close / lag(close) over ({_W}) - 1 as ret,
+        close / lag(close, 21) over ({_W}) - 1 as mom from b) where ret is not null) {_LEAD}""")
 def leakage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of a feature with returns before, at and after its time: a peak at a later one gives a leak away."""
     w = by_symbol()
@@ -199,7 +223,9 @@ def leakage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"n{k + 2}").alias("n"), F.round(f"c{k + 2}", 6).alias("corr")) for k in lags])).alias("e")).select("e.*")
 
 
-@book.query("""select o_orderpriority, count(*) as n, max(o_totalprice) filter (k = floor(n * 0.95) + 1) as p95, round(avg(o_totalprice), 4) as mean from (select o_orderpriority, o_totalprice, row_number() over (partition by o_orderpriority order by o_totalprice, o_orderkey) as k, count(*) over (partition by o_orderpriority) as n from orders) group by o_orderpriority""")
+@book.query("""select o_orderpriority, count(*) as n, max(o_totalprice) filter (k = floor(n * 0.95) + 1) as p95, round(avg(o_totalprice),
+        4) as mean from (select o_orderpriority, o_totalprice, row_number() over (partition by o_orderpriority order by o_totalprice, o_orderkey) as k,
+        count(*) over (partition by o_orderpriority) as n from orders) group by o_orderpriority""")
 def price_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 95th percentile as an order statistic. A sketch with a known error bounds where it lies; only values in between are sorted."""
     o = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_totalprice").alias("x"))
@@ -211,8 +237,10 @@ def price_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return above.where(F.col("above") >= F.col("n") - F.floor(F.col("n") * 0.95)).groupBy("o_orderpriority", "n", "mean").agg(F.max("x").alias("p95")).select("o_orderpriority", "n", "p95", "mean")
 
 
-@book.query("""with f as (select o_custkey, p_brand, sum(case when l_returnflag = 'R' then -l_quantity else l_quantity end) as q, arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice)) as p
-    from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by all), d as (select o_custkey, q, (q * p)::decimal(28, 8) as v from f)
+@book.query("""with f as (select o_custkey, p_brand, sum(case when l_returnflag = 'R' then -l_quantity else l_quantity end) as q,
+        arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice)) as p
+    from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by all), d as (select o_custkey, q, (q * p)::decimal(28,
+        8) as v from f)
     select o_custkey, round(sum(abs(v))::double, 4) as gross, round(sum(v)::double, 4) as net, count(*) filter (q <> 0) as positions from d group by o_custkey""")
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gross and net value of each customer's open quantities at the last price seen; decimals, so the order of adding up doesn't matter."""
@@ -226,7 +254,8 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REG = ("ret_5d", "rv_21d", "dist_20d_high")
-_REG_SQL = f"""select symbol, timestamp, round(ret_5d, 8) as ret_5d, round(rv_21d, 8) as rv_21d, round(dist_20d_high, 8) as dist_20d_high from (select symbol, timestamp, ln(close / lag(close, 5) over ({_W})) as ret_5d,
+_REG_SQL = f"""select symbol, timestamp, round(ret_5d, 8) as ret_5d, round(rv_21d, 8) as rv_21d, round(dist_20d_high, 8) as dist_20d_high from (select symbol,
+        timestamp, ln(close / lag(close, 5) over ({_W})) as ret_5d,
     case when count(r) over (w rows between 20 preceding and current row) >= 21 then stddev_samp(r) over (w rows between 20 preceding and current row) * sqrt(252) end as rv_21d,
     case when count(close) over (w rows between 19 preceding and current row) >= 20 then close / max(close) over (w rows between 19 preceding and current row) - 1 end as dist_20d_high from (select *, ln(close / lag(close) over ({_W})) as r from ({SOUND_SQL})) window w as ({_W}))"""
 
@@ -240,7 +269,8 @@ def incremental_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "timestamp", *[F.round(c, 8).alias(c) for c in _REG])
 
 
-@book.query(f"""with b as ({SOUND_SQL}), m as (select symbol, max(timestamp) as last_input from ({METRICS_SQL}) group by symbol), l as (select symbol, max(timestamp) as last from b group by symbol) select symbol, least(last, coalesce(last_input, last)) as watermark from l left join m using (symbol)""")
+@book.query(f"""with b as ({SOUND_SQL}), m as (select symbol, max(timestamp) as last_input from ({METRICS_SQL}) group by symbol), l as (select symbol,
+        max(timestamp) as last from b group by symbol) select symbol, least(last, coalesce(last_input, last)) as watermark from l left join m using (symbol)""")
 def advanced_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """High-water marks after a run, held back where the metrics end earlier than the bars."""
     b = sound_bars(spark, sf_dir)
@@ -249,8 +279,10 @@ def advanced_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advance(none, b, by="symbol", at="timestamp", cap=cap)
 
 
-@book.query("""select 'bars' as name, count(*) as n, max(timestamp) as last_at from raw_alpaca_equity_ohlcv union all select 'metrics', count(*), max(timestamp) from raw_fd_financial_metrics union all
-    select 'statements', count(*), max(report_date) from raw_fd_fundamentals union all select 'trades', count(*), max(filed_at) from raw_fd_insider_trades union all select 'documents', count(*), max(published_at) from documents""")
+@book.query("""select 'bars' as name, count(*) as n, max(timestamp) as last_at from raw_alpaca_equity_ohlcv union all select 'metrics', count(*),
+        max(timestamp) from raw_fd_financial_metrics union all
+    select 'statements', count(*), max(report_date) from raw_fd_fundamentals union all select 'trades', count(*),
+        max(filed_at) from raw_fd_insider_trades union all select 'documents', count(*), max(published_at) from documents""")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and last time of each table."""
     names = {"bars": ("raw_alpaca_equity_ohlcv", "timestamp"), "metrics": ("raw_fd_financial_metrics", "timestamp"), "statements": ("raw_fd_fundamentals", "report_date"), "trades": ("raw_fd_insider_trades", "filed_at"), "documents": ("documents", "published_at")}

@@ -24,7 +24,8 @@ def canonical_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     with b as ({BARS_SQL}),
     last60 as (select * from b where close > 0 qualify row_number() over (partition by symbol order by timestamp desc) <= {STATS_ROWS}),
     s as (select symbol, avg(close) as m, stddev_samp(close) as sd, count(*) as n from last60 group by symbol),
-    v as (select b.bar_id, (open is null or high is null or low is null or close is null or volume is null) as missing, coalesce(least(open, high, low, close) <= 0, false) as low,
+    v as (select b.bar_id, (open is null or high is null or low is null or close is null or volume is null) as missing, coalesce(least(open, high, low, close) <= 0,
+        false) as low,
           coalesce(n >= {STATS_LEAST} and sd > 0 and close > 0 and abs(close - m) / sd > {STATS_Z}, false) as outlier from b left join s using (symbol))
     select bar_id, case when missing or low then 'failed' when outlier then 'warning' else 'passed' end as status from v""")
 def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,8 @@ def reconciliation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query("""
-    select upper(trim(symbol)) as symbol, upper(trim(fiscal_period)) as fiscal_period, period, arg_max(fund_id, (report_date, coalesce(ingested_at, '0001-01-01'::timestamp), fund_id)) as fund_id
+    select upper(trim(symbol)) as symbol, upper(trim(fiscal_period)) as fiscal_period, period, arg_max(fund_id, (report_date, coalesce(ingested_at,
+        '0001-01-01'::timestamp), fund_id)) as fund_id
     from raw_fd_fundamentals group by all""")
 def latest_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last filing of each statement key as spelled."""
@@ -87,9 +89,11 @@ def insider_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""
-    with o as (select * from ({METRICS_SQL}) qualify row_number() over (partition by symbol, timestamp::date order by timestamp desc, ingested_at desc nulls last, metric_id desc) = 1),
+    with o as (select * from ({METRICS_SQL}) qualify row_number() over (partition by symbol, timestamp::date order by timestamp desc, ingested_at desc nulls last,
+        metric_id desc) = 1),
     d as (select symbol, unnest(generate_series(min(timestamp::date), max(timestamp::date), interval 1 day))::date as day from o group by symbol)
-    select d.symbol, strftime(d.day, '%Y-%m-%d') as day, o.metric_id, o.market_cap, o.shares_outstanding from d asof left join (select *, timestamp::date as od from o) o on o.symbol = d.symbol and d.day >= o.od""")
+    select d.symbol, strftime(d.day, '%Y-%m-%d') as day, o.metric_id, o.market_cap, o.shares_outstanding from d asof left join (select *,
+        timestamp::date as od from o) o on o.symbol = d.symbol and d.day >= o.od""")
 def metrics_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One metrics row per symbol and calendar day, the last known row carried forward."""
     one = latest(metrics(spark, sf_dir).withColumn("day", day_number("timestamp")), by=["symbol", "day"], order=["timestamp", "ingested_at", "metric_id"])
@@ -101,7 +105,8 @@ def metrics_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book.query(f"""
     select symbol, arg_max(metric_id, (timestamp, coalesce(ingested_at, '0001-01-01'::timestamp), metric_id)) as metric_id,
     arg_max(pe_ratio, (timestamp, coalesce(ingested_at, '0001-01-01'::timestamp), metric_id)) filter (pe_ratio is not null) as pe_ratio,
-    arg_max(shares_outstanding, (timestamp, coalesce(ingested_at, '0001-01-01'::timestamp), metric_id)) filter (shares_outstanding is not null) as shares_outstanding from ({METRICS_SQL}) group by symbol""")
+    arg_max(shares_outstanding, (timestamp, coalesce(ingested_at, '0001-01-01'::timestamp),
+        metric_id)) filter (shares_outstanding is not null) as shares_outstanding from ({METRICS_SQL}) group by symbol""")
 def latest_preserving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest metrics row per symbol, with older values where it has none."""
     m = metrics(spark, sf_dir).select("symbol", "timestamp", "ingested_at", "metric_id", "pe_ratio", "shares_outstanding")
@@ -109,7 +114,8 @@ def latest_preserving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""
-    with b as ({BARS_SQL}), a as (select distinct on (symbol, timestamp) symbol, timestamp, close, bar_id from ({RAW_BARS_SQL}) order by symbol, timestamp, ingested_at nulls first, bar_id)
+    with b as ({BARS_SQL}), a as (select distinct on (symbol, timestamp) symbol, timestamp, close, bar_id from ({RAW_BARS_SQL}) order by symbol, timestamp,
+        ingested_at nulls first, bar_id)
     select b.symbol, b.timestamp, 'differs' as kind, a.close as left_close, b.close as right_close from a join b using (symbol, timestamp)
     where coalesce(abs(a.close - b.close) > 0.01, (a.close is null) <> (b.close is null))""")
 def revised_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +147,8 @@ def symbol_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.query(f"""
     with b as ({BARS_SQL}), m as (select symbol, min(timestamp) + (max(timestamp) - min(timestamp)) / 2 as mark from b group by symbol)
-    select symbol, date_trunc('day', mark) as watermark, count(*) filter (b.timestamp > date_trunc('day', mark)) as fresh, count(*) filter (b.timestamp > date_trunc('day', mark) - interval 99 days) as loaded
+    select symbol, date_trunc('day', mark) as watermark, count(*) filter (b.timestamp > date_trunc('day', mark)) as fresh,
+        count(*) filter (b.timestamp > date_trunc('day', mark) - interval 99 days) as loaded
     from b join m using (symbol) group by all""")
 def incremental_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per symbol a high-water mark, the bars after it and the bars to load for a lookback of 63 rows (1.5 times as many days, and 5)."""

@@ -21,10 +21,13 @@ CALLS, PUTS = ("C", "CALL", "CALLS"), ("P", "PUT", "PUTS")
 _SPELLED = (*CALLS, *PUTS)
 
 _DELIVERIES_SQL = f"""select p_brand as underlying, date_trunc('quarter', l_shipdate)::date as quote_date,
-    date_trunc('quarter', l_shipdate)::date + ([21, 60])[l_linenumber % 2 + 1] as expiry, case when l_quantity <> 48 then floor(l_extendedprice / l_quantity / 500) * 500.0::double end as strike,
+    date_trunc('quarter', l_shipdate)::date + ([21, 60])[l_linenumber % 2 + 1] as expiry,
+        case when l_quantity <> 48 then floor(l_extendedprice / l_quantity / 500) * 500.0::double end as strike,
     ({list(_SPELLED)})[(case when l_linestatus = 'O' then 0 else 3 end) + l_suppkey % 3 + 1] as "right", l_extendedprice / l_quantity as price,
-    case when l_quantity = 50 then 60.0::double when l_tax >= 0.02 then 0.1::double + l_discount end as iv, case when l_tax >= 0.01 then l_tax / 10.0::double end as gamma,
-    case when l_quantity = 49 then -1.0::double when l_discount > 0 then l_quantity end as open_interest, (l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice) as seq
+    case when l_quantity = 50 then 60.0::double when l_tax >= 0.02 then 0.1::double + l_discount end as iv,
+        case when l_tax >= 0.01 then l_tax / 10.0::double end as gamma,
+    case when l_quantity = 49 then -1.0::double when l_discount > 0 then l_quantity end as open_interest, (l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey,
+        l_extendedprice) as seq
     from lineitem join part on l_partkey = p_partkey"""
 _RIGHT_SQL = f"""case when "right" in {CALLS} then 'C' when "right" in {PUTS} then 'P' else "right" end"""
 
@@ -54,19 +57,23 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 @book.query(f"""select underlying, quote_date::varchar as quote_date, expiry::varchar as expiry, strike, {_RIGHT_SQL} as "right", arg_max(price, seq) as price,
-    {', '.join(f'arg_max({g}, seq) filter ({g} is not null) as {g}' for g in GREEKS)} from ({_DELIVERIES_SQL}) group by underlying, quote_date, expiry, strike, {_RIGHT_SQL}""")
+    {', '.join(f'arg_max({g}, seq) filter ({g} is not null) as {g}' for g in GREEKS)} from ({_DELIVERIES_SQL}) group by underlying, quote_date, expiry, strike,
+        {_RIGHT_SQL}""")
 def option_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last delivery of each contract and day, its missing greeks taken from the last one that has them; spellings of the right are one."""
     d = deliveries(spark, sf_dir).withColumn("right", right("right"))
     return _texts(preserving(d, by=CONTRACT, order=["seq"], keep=GREEKS).drop("seq"))
 
 
-_SNAPSHOT_SQL = f"""select underlying, quote_date, expiry, strike, "right", arg_max(iv, seq) as iv, arg_max(open_interest, seq) as open_interest, arg_max(gamma, seq) filter (gamma is not null) as gamma from (
-    select * replace (coalesce(strike, 'nan'::double) as strike, coalesce(iv, 'nan'::double) as iv, coalesce(open_interest, 'nan'::double) as open_interest) from ({_DELIVERIES_SQL})) group by all"""
+_SNAPSHOT_SQL = f"""select underlying, quote_date, expiry, strike, "right", arg_max(iv, seq) as iv, arg_max(open_interest, seq) as open_interest, arg_max(gamma,
+        seq) filter (gamma is not null) as gamma from (
+    select * replace (coalesce(strike, 'nan'::double) as strike, coalesce(iv, 'nan'::double) as iv, coalesce(open_interest,
+        'nan'::double) as open_interest) from ({_DELIVERIES_SQL})) group by all"""
 
 
 @book.query(f"""select underlying, case when isnan(strike) then 'missing_strike' when open_interest < 0 and not isnan(open_interest) then 'negative_open_interest' when not isnan(iv) and iv < 0 then 'negative_iv'
-    when not isnan(iv) and iv > {MOST_IV} then 'iv_too_high' else 'kept' end as verdict, count(*) as contracts, count(gamma) as with_gamma from ({_SNAPSHOT_SQL}) group by all""")
+    when not isnan(iv) and iv > {MOST_IV} then 'iv_too_high' else 'kept' end as verdict, count(*) as contracts,
+        count(gamma) as with_gamma from ({_SNAPSHOT_SQL}) group by all""")
 def option_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot chains by contract as spelled, only the gamma kept from earlier deliveries, and how many of each underlying are refused and why."""
     whole = lambda c: F.coalesce(c, F.lit(float("nan")))
@@ -114,10 +121,13 @@ def _z_sql(c: str) -> str:
     p as (select underlying, quote_date::varchar as quote_date, avg(price) as spot from ({OPTIONS_SQL}) group by all),
     r as (select underlying, quote_date, ln(spot / lag(spot) over (partition by underlying order by quote_date)) as lr from p),
     v as (select underlying, quote_date, case when count(lr) over w >= {REALISED} then stddev_samp(lr) over w * sqrt(252) end as rv from r window w as (partition by underlying order by quote_date rows between {REALISED - 1} preceding and current row)),
-    j as (select g.underlying, g.quote_date, atm_iv, iv_term_slope, skew_25d, net_gamma_exposure, rv from g left join a using (underlying, quote_date) left join t using (underlying, quote_date) left join k using (underlying, quote_date) left join v using (underlying, quote_date))
-    select underlying, quote_date, atm_iv, {_z_sql('atm_iv')} as iv_zscore_60d, round(atm_iv - rv, 7) as vrp, iv_term_slope, {_z_sql('skew_25d')} as skew_zscore_60d, sign(net_gamma_exposure)::double as gex_sign, {_z_sql('net_gamma_exposure')} as gex_norm,
+    j as (select g.underlying, g.quote_date, atm_iv, iv_term_slope, skew_25d, net_gamma_exposure, rv from g left join a using (underlying,
+        quote_date) left join t using (underlying, quote_date) left join k using (underlying, quote_date) left join v using (underlying, quote_date))
+    select underlying, quote_date, atm_iv, {_z_sql('atm_iv')} as iv_zscore_60d, round(atm_iv - rv, 7) as vrp, iv_term_slope, {_z_sql('skew_25d')} as skew_zscore_60d,
+        sign(net_gamma_exposure)::double as gex_sign, {_z_sql('net_gamma_exposure')} as gex_norm,
     round(atm_iv - lag(atm_iv, {MOVED}) over d, 7) as iv_delta_5d, round(iv_term_slope - lag(iv_term_slope, {MOVED}) over d, 7) as slope_delta_5d
-    from j window d as (partition by underlying order by quote_date), z as (partition by underlying order by quote_date rows between {SCORED - 1} preceding and current row)""")
+    from j window d as (partition by underlying order by quote_date),
+        z as (partition by underlying order by quote_date rows between {SCORED - 1} preceding and current row)""")
 def chain_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine features of each underlying's regime: level, score, premium over realised volatility, term slope, crash pricing, gamma and moves."""
     keys = ["underlying", "quote_date"]

@@ -62,7 +62,8 @@ _ASOF_METRICS = f"m as (select * from ({METRICS_SQL}) qualify row_number() over
 
 
 @book.query(f"""with b as ({SOUND_SQL}), {_ASOF_METRICS}
-    select b.symbol, b.timestamp, m.timestamp as matched_at, m.metric_id, m.pe_ratio, m.shares_outstanding from b asof left join m on m.symbol = b.symbol and b.timestamp >= m.timestamp""")
+    select b.symbol, b.timestamp, m.timestamp as matched_at, m.metric_id, m.pe_ratio,
+        m.shares_outstanding from b asof left join m on m.symbol = b.symbol and b.timestamp >= m.timestamp""")
 def fundamental_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bar with the latest metrics row at or before it; the row's nulls stay."""
     b = sound_bars(spark, sf_dir).select("symbol", "timestamp")
@@ -72,7 +73,8 @@ def fundamental_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANK = "case when {0} is not null then (rank() over (partition by timestamp order by {0} nulls last) + (count(*) over (partition by timestamp, {0}) - 1) / 2.0) / count({0}) over (partition by timestamp) end"
 
 
-@book.query(f"""with b as ({SOUND_SQL}), {_ASOF_METRICS}, j as (select b.symbol, b.timestamp, case when m.shares_outstanding > 0 then ln(m.shares_outstanding * b.close) end as log_mkt_cap,
+@book.query(f"""with b as ({SOUND_SQL}), {_ASOF_METRICS}, j as (select b.symbol, b.timestamp,
+        case when m.shares_outstanding > 0 then ln(m.shares_outstanding * b.close) end as log_mkt_cap,
     case when m.pe_ratio <> 0 then 1 / m.pe_ratio end as earnings_yield from b asof left join m on m.symbol = b.symbol and b.timestamp >= m.timestamp)
     select symbol, timestamp, round({_RANK.format('log_mkt_cap')}, 8) as size_rank, round({_RANK.format('earnings_yield')}, 8) as value_rank,
     round(case when log_mkt_cap is not null then case when stddev_samp(log_mkt_cap) over (partition by timestamp) > 0 then (log_mkt_cap - avg(log_mkt_cap) over (partition by timestamp)) / stddev_samp(log_mkt_cap) over (partition by timestamp) else 0 end end, 5) as size_z from j""")
@@ -88,7 +90,8 @@ def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MARKET_SQL = f"""b as ({SOUND_SQL}), r as (select symbol, timestamp, {_lr(1)} as ret from b),
     d as (select timestamp, avg(ret) as mean_ret, stddev_samp(ret) as spread from r where ret is not null group by timestamp),
-    m as (select timestamp, case when count(*) over w >= 20 then stddev_samp(mean_ret) over w * sqrt({YEAR}) end as market_vol_20d, case when count(*) over w >= 20 then sum(mean_ret) over w end as market_trend_20d,
+    m as (select timestamp, case when count(*) over w >= 20 then stddev_samp(mean_ret) over w * sqrt({YEAR}) end as market_vol_20d,
+        case when count(*) over w >= 20 then sum(mean_ret) over w end as market_trend_20d,
     case when count(spread) over w >= 20 then avg(spread) over w end as dispersion_20d from d window w as (order by timestamp rows between 19 preceding and current row))"""
 
 
@@ -134,7 +137,8 @@ CORRELATED_DAYS = 20
 
 
 @book.query(f"""with b as ({SOUND_SQL}), r as (select * from (select symbol, timestamp, {_lr(1)} as ret from b where symbol <> '{BENCHMARK}') where ret is not null),
-    c as (select timestamp, row_number() over (order by timestamp) as k from (select distinct timestamp from r)), n as (select symbol, k, ret from r join c using (timestamp)),
+    c as (select timestamp, row_number() over (order by timestamp) as k from (select distinct timestamp from r)), n as (select symbol, k,
+        ret from r join c using (timestamp)),
     w as (select symbol, k, ret, list(ret) over p as rets from n window p as (partition by symbol order by k range between {CORRELATED_DAYS - 1} preceding and current row)),
     full_ as (select symbol, k, rets from w where len(rets) = {CORRELATED_DAYS} and list_var_pop(rets) > 1e-18),
     x as (select symbol, k, unnest(rets) as ret, generate_subscripts(rets, 1) as i from full_),
@@ -164,14 +168,18 @@ def pairwise_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUYS, SELLS = ("Open market purchase",), ("Open market sale",)
 #: Parts of titles that mark an executive or the chair.
 _EXEC = "ceo|cfo|coo|president|chair|chief executive|chief financial|chief operating"
-_TYPED = f"""t as (select *, case when transaction_type in ('{BUYS[0]}') then total_value end as buy, case when transaction_type in ('{SELLS[0]}') then total_value end as sell,
+_TYPED = f"""t as (select *, case when transaction_type in ('{BUYS[0]}') then total_value end as buy,
+        case when transaction_type in ('{SELLS[0]}') then total_value end as sell,
     coalesce(is_board_director, false) or regexp_matches(lower(coalesce(insider_title, '')), '{_EXEC}') as exec from ({TRADES_SQL}))"""
 
 
 @book.query(f"""with b as ({SOUND_SQL}), {_TYPED}
-    select b.symbol, b.timestamp, round(case when sum(coalesce(buy, 0) + coalesce(sell, 0)) > 0 then (sum(coalesce(buy, 0)) - sum(coalesce(sell, 0))) / sum(coalesce(buy, 0) + coalesce(sell, 0)) end, 8) as net_buy_90d,
-    round(case when sum(case when exec then coalesce(buy, 0) + coalesce(sell, 0) end) > 0 then sum(case when exec then coalesce(buy, 0) - coalesce(sell, 0) end) / sum(case when exec then coalesce(buy, 0) + coalesce(sell, 0) end) end, 8) as exec_net_buy_90d
-    from b left join t on t.symbol = b.symbol and t.filed_day between b.timestamp::date - 90 and b.timestamp::date and coalesce(buy, sell) is not null group by b.symbol, b.timestamp""")
+    select b.symbol, b.timestamp, round(case when sum(coalesce(buy, 0) + coalesce(sell, 0)) > 0 then (sum(coalesce(buy, 0)) - sum(coalesce(sell,
+        0))) / sum(coalesce(buy, 0) + coalesce(sell, 0)) end, 8) as net_buy_90d,
+    round(case when sum(case when exec then coalesce(buy, 0) + coalesce(sell, 0) end) > 0 then sum(case when exec then coalesce(buy, 0) - coalesce(sell,
+        0) end) / sum(case when exec then coalesce(buy, 0) + coalesce(sell, 0) end) end, 8) as exec_net_buy_90d
+    from b left join t on t.symbol = b.symbol and t.filed_day between b.timestamp::date - 90 and b.timestamp::date and coalesce(buy,
+        sell) is not null group by b.symbol, b.timestamp""")
 def insider_net_buy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Net insider buying over 90 days up to each bar, all and executives; null without trades."""
     t = trades(spark, sf_dir)
@@ -188,7 +196,9 @@ def insider_net_buy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""with b as ({SOUND_SQL}), {_TYPED},
-    n as (select b.symbol, b.timestamp, t.insider_name, sum(coalesce(buy, 0) - coalesce(sell, 0)) as net from b join t on t.symbol = b.symbol and t.filed_day between b.timestamp::date - 30 and b.timestamp::date and coalesce(buy, sell) is not null group by all)
+    n as (select b.symbol, b.timestamp, t.insider_name, sum(coalesce(buy, 0) - coalesce(sell,
+        0)) as net from b join t on t.symbol = b.symbol and t.filed_day between b.timestamp::date - 30 and b.timestamp::date and coalesce(buy,
+        sell) is not null group by all)
     select symbol, timestamp, count(*) filter (net > 0) as buyers from n group by symbol, timestamp""")
 def insider_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many insiders bought on balance over 30 days up to each bar: each trade is laid out on the days it counts for, then two levels of sums."""
@@ -203,12 +213,15 @@ def insider_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(counts, ["symbol", "day"]).select("symbol", "timestamp", "buyers")
 
 
-@book.query(f"""with b as ({SOUND_SQL}), t as (select symbol, filed_at as ft, trade_id, total_value from ({TRADES_SQL}) qualify row_number() over (partition by symbol, filed_at order by trade_id desc) = 1),
+@book.query(f"""with b as ({SOUND_SQL}), t as (select symbol, filed_at as ft, trade_id,
+        total_value from ({TRADES_SQL}) qualify row_number() over (partition by symbol, filed_at order by trade_id desc) = 1),
     back as (select b.symbol, b.timestamp, t.ft, t.trade_id from b asof left join t on t.symbol = b.symbol and b.timestamp >= t.ft),
     fwd as (select b.symbol, b.timestamp, t.ft, t.trade_id from b asof left join t on t.symbol = b.symbol and b.timestamp <= t.ft),
     j as (select k.symbol, k.timestamp, k.ft as bt, k.trade_id as bid, f.ft, f.trade_id as fid from back k join fwd f using (symbol, timestamp)),
-    p as (select symbol, timestamp, case when bt is not null and (ft is null or timestamp - bt <= ft - timestamp) then bt else ft end as m, case when bt is not null and (ft is null or timestamp - bt <= ft - timestamp) then bid else fid end as id from j)
-    select symbol, timestamp, case when abs(epoch_us(timestamp) - epoch_us(m)) <= 86400000000 then m end as matched_at, case when abs(epoch_us(timestamp) - epoch_us(m)) <= 86400000000 then id end as trade_id from p""")
+    p as (select symbol, timestamp, case when bt is not null and (ft is null or timestamp - bt <= ft - timestamp) then bt else ft end as m,
+        case when bt is not null and (ft is null or timestamp - bt <= ft - timestamp) then bid else fid end as id from j)
+    select symbol, timestamp, case when abs(epoch_us(timestamp) - epoch_us(m)) <= 86400000000 then m end as matched_at,
+        case when abs(epoch_us(timestamp) - epoch_us(m)) <= 86400000000 then id end as trade_id from p""")
 def nearest_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The insider trade nearest to each bar, at most a day away."""
     b = sound_bars(spark, sf_dir).select("symbol", "timestamp")
@@ -217,7 +230,9 @@ def nearest_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.query(f"""with h as ({HOLDINGS_SQL}), f as (select symbol, period, filer, filed, sum(shares) as x from h group by all),
     e as (select distinct symbol, period, filed from f)
-    select e.symbol, e.period::varchar as period, e.filed::varchar as filed, round(sum(x), 4) as total_shares, count(*) as filers from e join lateral (select filer, arg_max(x, f.filed) as x from f where f.symbol = e.symbol and f.period = e.period and f.filed <= e.filed group by filer) l on true group by e.symbol, e.period, e.filed""")
+    select e.symbol, e.period::varchar as period, e.filed::varchar as filed, round(sum(x), 4) as total_shares, count(*) as filers from e join lateral (select filer,
+        arg_max(x, f.filed) as x from f where f.symbol = e.symbol and f.period = e.period and f.filed <= e.filed group by filer) l on true group by e.symbol,
+        e.period, e.filed""")
 def ownership_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At each filing date the shares and filers of a quarter, each filer by its latest filing: changes summed up, no self-join."""
     f = holdings(spark, sf_dir).groupBy("symbol", "period", "filer", "filed").agg(F.sum("shares").alias("x"))
@@ -228,7 +243,8 @@ def ownership_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("symbol", F.col("period").cast("string").alias("period"), F.col("filed").cast("string").alias("filed"), F.round(F.sum("dx").over(so_far), 4).alias("total_shares"), F.sum("new").over(so_far).alias("filers"))
 
 
-@book.query(f"""with h as ({HOLDINGS_SQL}), f as (select symbol, period, filer, filed, sum(value) as v from h group by all), l as (select symbol, period, filer, arg_max(v, filed) as v from f group by all),
+@book.query(f"""with h as ({HOLDINGS_SQL}), f as (select symbol, period, filer, filed, sum(value) as v from h group by all), l as (select symbol, period, filer,
+        arg_max(v, filed) as v from f group by all),
     k as (select *, row_number() over (partition by symbol, period order by v desc, filer) as n from l where v > 0)
     select symbol, period::varchar as period, round(sum(v) filter (n <= 10) / sum(v), 8) as top10_share from k group by symbol, k.period""")
 def top10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +255,8 @@ def top10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("n", n).groupBy("symbol", "period").agg(F.round(F.sum(F.when(F.col("n") <= 10, F.col("v"))) / F.sum("v"), 8).alias("top10_share")).withColumn("period", F.col("period").cast("string"))
 
 
-_EXPIRY = """x as (select * from (select distinct underlying, quote_date, expiry, dte, abs(dte - {t}) as gap from o where dte >= 7 and abs(dte - {t}) <= 21) qualify row_number() over (partition by underlying, quote_date order by gap, dte) = 1)"""
+_EXPIRY = """x as (select * from (select distinct underlying, quote_date, expiry, dte,
+        abs(dte - {t}) as gap from o where dte >= 7 and abs(dte - {t}) <= 21) qualify row_number() over (partition by underlying, quote_date order by gap, dte) = 1)"""
 
 
 def _near(o: DataFrame, target: int) -> DataFrame:
@@ -286,9 +303,11 @@ def iv_term_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""with o as ({OPTIONS_SQL}), {_EXPIRY.format(t=30)},
-    n as (select underlying, quote_date, sum(open_interest) filter ("right" = 'P') as puts, sum(open_interest) filter ("right" = 'C') as calls from o semi join x using (underlying, quote_date, expiry) group by all),
+    n as (select underlying, quote_date, sum(open_interest) filter ("right" = 'P') as puts,
+        sum(open_interest) filter ("right" = 'C') as calls from o semi join x using (underlying, quote_date, expiry) group by all),
     g as (select underlying, quote_date, sum(gamma * open_interest * case "right" when 'C' then 1 when 'P' then -1 else 0 end) as gex from o group by all)
-    select underlying, quote_date::varchar as quote_date, round(case when calls > 0 then coalesce(puts, 0) / calls end, 8) as put_call_oi_ratio, round(gex, 6) as net_gamma_exposure from g left join n using (underlying, quote_date)""")
+    select underlying, quote_date::varchar as quote_date, round(case when calls > 0 then coalesce(puts, 0) / calls end, 8) as put_call_oi_ratio, round(gex,
+        6) as net_gamma_exposure from g left join n using (underlying, quote_date)""")
 def option_positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratio of put to call interest at the near expiry, and signed gamma exposure of the whole chain."""
     o = options(spark, sf_dir)
@@ -306,9 +325,11 @@ QUARTER_DELTA = 0.25
 
 @book.query(f"""with o as ({OPTIONS_SQL}), {_EXPIRY.format(t=30)}, n as (select * from o semi join x using (underlying, quote_date, expiry)),
     k as (select underlying, quote_date, "right", abs_delta as d, avg(iv) as iv from n where abs_delta > 0 and abs_delta <= 1 group by all),
-    e as (select underlying, quote_date, "right", min(d) filter (d >= {QUARTER_DELTA}) as hi, max(d) filter (d < {QUARTER_DELTA}) as lo, arg_min(iv, d) filter (d >= {QUARTER_DELTA}) as ivh, arg_max(iv, d) filter (d < {QUARTER_DELTA}) as ivl from k group by all),
+    e as (select underlying, quote_date, "right", min(d) filter (d >= {QUARTER_DELTA}) as hi, max(d) filter (d < {QUARTER_DELTA}) as lo, arg_min(iv,
+        d) filter (d >= {QUARTER_DELTA}) as ivh, arg_max(iv, d) filter (d < {QUARTER_DELTA}) as ivl from k group by all),
     i as (select underlying, quote_date, "right", case when lo is null then ivh when hi is null then ivl else ivl + ({QUARTER_DELTA} - lo) / (hi - lo) * (ivh - ivl) end as iv from e)
-    select underlying, quote_date::varchar as quote_date, round(max(iv) filter ("right" = 'P') - max(iv) filter ("right" = 'C'), 8) as skew_25d from i group by underlying, quote_date""")
+    select underlying, quote_date::varchar as quote_date, round(max(iv) filter ("right" = 'P') - max(iv) filter ("right" = 'C'),
+        8) as skew_25d from i group by underlying, quote_date""")
 def skew_25d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volatility of the put less that of the call at a delta of 25, interpolated between the deltas around it; beyond the outermost its own counts."""
     k = _near(options(spark, sf_dir), 30).where("abs_delta > 0 and abs_delta <= 1").groupBy("underlying", "quote_date", "right", F.col("abs_delta").alias("d")).agg(F.avg("iv").alias("iv"))
@@ -320,16 +341,20 @@ def skew_25d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.groupBy("underlying", F.col("quote_date").cast("string").alias("quote_date")).agg(F.round(pick("P") - pick("C"), 8).alias("skew_25d"))
 
 
-@book.query(f"""with b as ({SOUND_SQL}) select symbol, timestamp, round(lead(close, 5) over ({_W}) / close - 1, 8) as fwd_5d, round(lead(close, 21) over ({_W}) / close - 1, 8) as fwd_21d from b""")
+@book.query(f"""with b as ({SOUND_SQL}) select symbol, timestamp, round(lead(close, 5) over ({_W}) / close - 1, 8) as fwd_5d, round(lead(close,
+        21) over ({_W}) / close - 1, 8) as fwd_21d from b""")
 def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns over the next 5 and 21 bars."""
     w = by_symbol()
     return sound_bars(spark, sf_dir).select("symbol", "timestamp", *[F.round(F.lead("close", h).over(w) / F.col("close") - 1, 8).alias(f"fwd_{h}d") for h in (5, 21)])
 
 
-@book.query(f"""with b as ({SOUND_SQL}), r as (select symbol, timestamp, close / lag(close) over ({_W}) - 1 as r from b), k as (select timestamp, r as rb from r where symbol = '{BENCHMARK}'),
-    j as (select r.*, rb from r left join k using (timestamp)), c as (select symbol, timestamp, case when r is not null and rb is not null then r end as r, case when r is not null and rb is not null then rb end as rb from j)
-    select symbol, timestamp, round(case when count(r) over w >= 30 and var_samp(rb) over w > 0 then greatest(least(covar_samp(r, rb) over w / var_samp(rb) over w, 5), -5) end, 6) as beta_60d
+@book.query(f"""with b as ({SOUND_SQL}), r as (select symbol, timestamp, close / lag(close) over ({_W}) - 1 as r from b), k as (select timestamp,
+        r as rb from r where symbol = '{BENCHMARK}'),
+    j as (select r.*, rb from r left join k using (timestamp)), c as (select symbol, timestamp, case when r is not null and rb is not null then r end as r,
+        case when r is not null and rb is not null then rb end as rb from j)
+    select symbol, timestamp, round(case when count(r) over w >= 30 and var_samp(rb) over w > 0 then greatest(least(covar_samp(r, rb) over w / var_samp(rb) over w,
+        5), -5) end, 6) as beta_60d
     from c where symbol <> '{BENCHMARK}' window w as ({_W} rows between 59 preceding and current row)""")
 def rolling_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beta to the benchmark over 60 bars, from 30 on, clipped to 5; the benchmark has one row per day, so it is sent out only if it is small."""
@@ -344,7 +369,9 @@ def rolling_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""with b as ({SOUND_SQL}), s as (select symbol, timestamp, {_gated('avg(close)', 10, 'close')} as a, {_gated('avg(close)', 30, 'close')} as z from b),
-    g as (select *, round(a, 8) > round(z, 8) as long from s where z is not null) select symbol, timestamp, round(case when count(*) filter (long) over d > 0 then long::int / (count(*) filter (long) over d)::double else 1.0::double / count(*) over d end, 10) as weight
+    g as (select *, round(a, 8) > round(z, 8) as long from s where z is not null) select symbol, timestamp,
+        round(case when count(*) filter (long) over d > 0 then long::int / (count(*) filter (long) over d)::double else 1.0::double / count(*) over d end,
+        10) as weight
     from g window d as (partition by timestamp)""")
 def sma_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weights of the symbols whose short average is above the long one; of all where none is."""

@@ -57,8 +57,10 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
-@book.query(f"""with b as ({BARS_SQL}), m as (select upper(trim(symbol)) as symbol, timestamp::date as day, count(*) as readings from raw_fd_financial_metrics group by all)
-    select coalesce(b.symbol, m.symbol) as symbol, strftime(coalesce(b.timestamp::date, m.day), '%Y-%m-%d') as day, b.close, coalesce(m.readings, 0) as readings from b full join m on m.symbol = b.symbol and m.day = b.timestamp::date""")
+@book.query(f"""with b as ({BARS_SQL}), m as (select upper(trim(symbol)) as symbol, timestamp::date as day,
+        count(*) as readings from raw_fd_financial_metrics group by all)
+    select coalesce(b.symbol, m.symbol) as symbol, strftime(coalesce(b.timestamp::date, m.day), '%Y-%m-%d') as day, b.close, coalesce(m.readings,
+        0) as readings from b full join m on m.symbol = b.symbol and m.day = b.timestamp::date""")
 def bars_and_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days with a bar, a reading or both: a full outer join."""
     b = bars(spark, sf_dir).select("symbol", F.to_date("timestamp").alias("day"), "close")
@@ -66,7 +68,8 @@ def bars_and_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(m, ["symbol", "day"], "full_outer").select("symbol", F.col("day").cast("string").alias("day"), "close", F.coalesce("readings", F.lit(0)).alias("readings"))
 
 
-@book.query(f"""with b as ({SOUND_SQL}), a as (select symbol, timestamp, avg(close) as vwap_close from (select upper(trim(symbol)) as symbol, timestamp, vwap as close from raw_alpaca_equity_ohlcv where vwap > 0 and not isnan(vwap)) group by all)
+@book.query(f"""with b as ({SOUND_SQL}), a as (select symbol, timestamp, avg(close) as vwap_close from (select upper(trim(symbol)) as symbol, timestamp,
+        vwap as close from raw_alpaca_equity_ohlcv where vwap > 0 and not isnan(vwap)) group by all)
     select a.symbol, a.timestamp, round(coalesce(b.close, a.vwap_close), 6) as close from a left join b using (symbol, timestamp)""")
 def close_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical close where there is one, else the average traded price."""
@@ -77,7 +80,8 @@ def close_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query("""with a as (select l_orderkey as k, round(sum(l_extendedprice * (1 - l_discount)), 4) as v from lineitem group by 1)
-    select coalesce(k, o_orderkey) as k, case when o_orderkey is null then 'left_only' when k is null then 'right_only' else 'differs' end as kind, v as left_total, round(o_totalprice, 2) as right_total
+    select coalesce(k, o_orderkey) as k, case when o_orderkey is null then 'left_only' when k is null then 'right_only' else 'differs' end as kind, v as left_total,
+        round(o_totalprice, 2) as right_total
     from a full join orders on k = o_orderkey where o_orderkey is null or k is null or abs(v - round(o_totalprice, 2)) > 0.01""")
 def order_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose lines and header don't agree, or that lack one of them: a full outer comparison with a tolerance."""
@@ -86,7 +90,8 @@ def order_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(lines, heads, by=["k"], tolerances={"total": 0.01})
 
 
-@book.query("""select n_name, r_name, count(*) as customers, round(sum(c_acctbal), 2) as balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all""")
+@book.query("""select n_name, r_name, count(*) as customers, round(sum(c_acctbal),
+        2) as balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all""")
 def nation_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joins with small dimensions, which the optimizer sends out when they are under its size limit."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
@@ -113,8 +118,10 @@ def largest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
 
 
-@book.query("""select s, sum(a) as in_bars, sum(m) as in_metrics, sum(t) as in_trades from (select distinct upper(trim(symbol)) as s, 1 as a, 0 as m, 0 as t from raw_alpaca_equity_ohlcv union all
-    select distinct upper(trim(symbol)), 0, 1, 0 from raw_fd_financial_metrics union all select distinct upper(trim(symbol)), 0, 0, 1 from raw_fd_insider_trades) group by s""")
+@book.query("""select s, sum(a) as in_bars, sum(m) as in_metrics, sum(t) as in_trades from (select distinct upper(trim(symbol)) as s, 1 as a, 0 as m,
+        0 as t from raw_alpaca_equity_ohlcv union all
+    select distinct upper(trim(symbol)), 0, 1, 0 from raw_fd_financial_metrics union all select distinct upper(trim(symbol)), 0, 0,
+        1 from raw_fd_insider_trades) group by s""")
 def symbol_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which tables know each symbol: a union of distinct sets."""
     names = {"in_bars": "raw_alpaca_equity_ohlcv", "in_metrics": "raw_fd_financial_metrics", "in_trades": "raw_fd_insider_trades"}
@@ -134,7 +141,8 @@ def never_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names("raw_alpaca_equity_ohlcv").subtract(names("raw_fd_fundamentals"))
 
 
-@book.query("""with b as (select user_id, ts, event_id, value, row_number() over (partition by user_id order by ts, event_id) as n, count(*) over (partition by user_id) as total from events)
+@book.query("""with b as (select user_id, ts, event_id, value, row_number() over (partition by user_id order by ts, event_id) as n,
+        count(*) over (partition by user_id) as total from events)
     select user_id, ts, event_id, value from b where (n - 1) % greatest(ceil(total / 200.0)::bigint, 1) = 0""")
 def downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 200 evenly spaced events of each user, the first among them: a sampling operator."""
@@ -144,7 +152,8 @@ def downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("_n", n).withColumn("_s", stride).where((F.col("_n") - 1) % F.col("_s") == 0).select("user_id", "ts", "event_id", "value")
 
 
-@book.query("""select user_id from (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 5 group by user_id having count(*) = 5 and count(distinct event_type) = 1""")
+@book.query("""select user_id from (select user_id, event_type, row_number() over (partition by user_id order by ts desc,
+        event_id desc) as n from events) where n <= 5 group by user_id having count(*) = 5 and count(distinct event_type) = 1""")
 def livelocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose last five events are all of one type."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
@@ -152,7 +161,8 @@ def livelocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("d")).where("n = 5 and d = 1").select("user_id")
 
 
-@book.query("""select user_id, event_type, count(*) as n, grouping_id(user_id, event_type)::bigint as g from (select user_id % 10 as user_id, event_type from events) group by cube (user_id, event_type)""")
+@book.query("""select user_id, event_type, count(*) as n, grouping_id(user_id, event_type)::bigint as g from (select user_id % 10 as user_id,
+        event_type from events) group by cube (user_id, event_type)""")
 def event_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("user_id"), "event_type")
     return e.cube("user_id", "event_type").agg(F.count("*").alias("n"), F.grouping_id("user_id", "event_type").alias("g"))

@@ -194,14 +194,19 @@ _DAILY_SQL = f"""
     w as (select symbol, d,
         sum(coalesce(volume, 0)) over w7 as v7, sum(coalesce(volume, 0)) over w30 as v30, avg(close) over w7 as c7, avg(close) over w30 as c30,
         sum(has::int) over w30 as n30 from dense
-        window w7 as (partition by symbol, run order by d rows between 6 preceding and current row), w30 as (partition by symbol, run order by d rows between 29 preceding and current row)),
-    trades as (select {_SYMBOL} as symbol, filed_at::date as d, case when total_value is null or isnan(total_value) then 0 else total_value end as v from raw_fd_insider_trades
+        window w7 as (partition by symbol, run order by d rows between 6 preceding and current row), w30 as (partition by symbol,
+        run order by d rows between 29 preceding and current row)),
+    trades as (select {_SYMBOL} as symbol, filed_at::date as d,
+        case when total_value is null or isnan(total_value) then 0 else total_value end as v from raw_fd_insider_trades
         where symbol is not null and filed_at is not null
-        qualify row_number() over (partition by {_SYMBOL}, insider_name, transaction_type, shares, filed_at::date, transaction_date::date order by ingested_at desc nulls last, trade_id desc) = 1),
+        qualify row_number() over (partition by {_SYMBOL}, insider_name, transaction_type, shares, filed_at::date,
+        transaction_date::date order by ingested_at desc nulls last, trade_id desc) = 1),
     traded as (select symbol, d, sum(v) as v from trades group by all),
     tdays as (select symbol, unnest(generate_series(min(d), max(d), interval 1 day))::date as d from traded group by symbol),
-    tw as (select y.symbol, y.d, sum(coalesce(t.v, 0)) over a as t7, sum(coalesce(t.v, 0)) over b as t30 from tdays y left join traded t on t.symbol = y.symbol and t.d = y.d
-        window a as (partition by y.symbol order by y.d rows between 6 preceding and current row), b as (partition by y.symbol order by y.d rows between 29 preceding and current row))
+    tw as (select y.symbol, y.d, sum(coalesce(t.v, 0)) over a as t7, sum(coalesce(t.v,
+        0)) over b as t30 from tdays y left join traded t on t.symbol = y.symbol and t.d = y.d
+        window a as (partition by y.symbol order by y.d rows between 6 preceding and current row),
+        b as (partition by y.symbol order by y.d rows between 29 preceding and current row))
     """
 
 _USABLE = {"market_cap": "market_cap > 0", "pe_ratio": f"pe_ratio <> 0 and abs(pe_ratio) < {NO_PE}"}
@@ -220,34 +225,42 @@ ORACLES = {
     select 'metrics' as kind, km.row_id, r.bar_id from raw_alpaca_equity_ohlcv r join km on km.symbol = upper(trim(r.symbol)) and km.t = r.timestamp
     union all select 'fundamentals', kf.row_id, r.bar_id from raw_alpaca_equity_ohlcv r join kf on kf.symbol = upper(trim(r.symbol)) and kf.t = r.timestamp""",
     "p1_attributes": _known_sql("m.id as metric_id, m.shares_outstanding", "f.id as fund_id, f.revenue, f.net_income") + """
-    select r.bar_id, km.metric_id, km.shares_outstanding, kf.fund_id, case when not isnan(kf.revenue) then kf.revenue end as revenue, case when not isnan(kf.net_income) then kf.net_income end as net_income
+    select r.bar_id, km.metric_id, km.shares_outstanding, kf.fund_id, case when not isnan(kf.revenue) then kf.revenue end as revenue,
+        case when not isnan(kf.net_income) then kf.net_income end as net_income
     from raw_alpaca_equity_ohlcv r left join km on km.symbol = upper(trim(r.symbol)) and km.t = r.timestamp left join kf on kf.symbol = upper(trim(r.symbol)) and kf.t = r.timestamp""",
     "p1_before": f"""
     with b as (select bar_id, {_SYMBOL} as symbol, timestamp as t, timestamp - interval {LOOK_BACK_DAYS} days as v from raw_alpaca_equity_ohlcv),
-    m as (select {_SYMBOL} as symbol, timestamp as valid, ingested_at as ing, metric_id, shares_outstanding from raw_fd_financial_metrics where shares_outstanding > 0 and not isnan(shares_outstanding))
+    m as (select {_SYMBOL} as symbol, timestamp as valid, ingested_at as ing, metric_id,
+        shares_outstanding from raw_fd_financial_metrics where shares_outstanding > 0 and not isnan(shares_outstanding))
     select bar_id, metric_id, shares_outstanding from b join m on m.symbol = b.symbol and m.valid <= b.v and (m.ing is null or m.ing <= b.t)
     qualify row_number() over (partition by bar_id order by m.valid desc, m.ing desc nulls last, m.metric_id desc) = 1""",
     "p3_certain": f"""
-    with r as (select bar_id, {_SYMBOL} as symbol, timestamp::date as d, {', '.join(f'case when not isnan({c}) then {c} end as {c}' for c in ('open', 'high', 'low', 'close'))}, volume from raw_alpaca_equity_ohlcv),
-    k as (select *, coalesce(open <= 0 or high <= 0 or low <= 0 or close <= 0, false) or coalesce(volume < 0, false) or coalesce(high < low, false) or coalesce(high < open, false) or coalesce(high < close, false)
+    with r as (select bar_id, {_SYMBOL} as symbol, timestamp::date as d,
+        {', '.join(f'case when not isnan({c}) then {c} end as {c}' for c in ('open', 'high', 'low', 'close'))}, volume from raw_alpaca_equity_ohlcv),
+    k as (select *, coalesce(open <= 0 or high <= 0 or low <= 0 or close <= 0, false) or coalesce(volume < 0, false) or coalesce(high < low,
+        false) or coalesce(high < open, false) or coalesce(high < close, false)
           or coalesce(open <= 0, false) or coalesce(high <= 0, false) or coalesce(low <= 0, false) or coalesce(close <= 0, false) as is_impossible from r),
     days as (select symbol, d, row_number() over (partition by symbol order by d) as n from (select distinct symbol, d from r where symbol is not null)),
-    held as (select distinct symbol, d, open, high, low, close, n from r join days using (symbol, d) where open is not null and high is not null and low is not null and close is not null),
+    held as (select distinct symbol, d, open, high, low, close, n from r join days using (symbol,
+        d) where open is not null and high is not null and low is not null and close is not null),
     g as (select *, n - row_number() over (partition by symbol, open, high, low, close order by n) as island from held),
     runs as (select symbol, d, open, high, low, close, count(*) over (partition by symbol, open, high, low, close, island) as days from g)
-    select bar_id, is_impossible, coalesce(days >= 6, false) and not is_impossible as is_stuck from k left join runs using (symbol, d, open, high, low, close) where is_impossible or days >= 6""",
+    select bar_id, is_impossible, coalesce(days >= 6, false) and not is_impossible as is_stuck from k left join runs using (symbol, d, open, high, low,
+        close) where is_impossible or days >= 6""",
     "p4_found": _DAILY_SQL + f"""
     select 'volume' as measure_name, symbol, strftime(d, '%Y-%m-%d') as day_date from w where n30 >= 8 and v30 > 0 and v7 >= {VOLUME_SHARE}::double * v30
     union all select 'close', symbol, strftime(d, '%Y-%m-%d') from w where n30 >= 8 and abs(c7 - c30) >= {CLOSE_SHIFT}::double * c30
     union all select 'total_value', symbol, strftime(d, '%Y-%m-%d') from tw where t7 = 0 and t30 >= {TRADED}""",
     "p4_totals": _DAILY_SQL + """
-    select 'bars' as kind, symbol, strftime(d, '%Y-%m-%d') as day_date, v7::double as total_7, v30::double as total_30, round(c7, 6) as average_7, round(c30, 6) as average_30 from w
+    select 'bars' as kind, symbol, strftime(d, '%Y-%m-%d') as day_date, v7::double as total_7, v30::double as total_30, round(c7, 6) as average_7, round(c30,
+        6) as average_30 from w
     union all select 'trades', symbol, strftime(d, '%Y-%m-%d'), round(t7, 2), round(t30, 2), round(t7 / 7, 6), round(t30 / 30, 6) from tw""",
     "p5_readings": f"""
     with r as ({_WEEK_VALUES}),
     m as (select *, case when t > lag(t) over (partition by field_name, symbol order by t) + interval 56 days then 1 else 0 end as brk from r),
     n as (select *, sum(brk) over (partition by field_name, symbol order by t) as run from m)
-    select field_name, symbol, run, strftime(date_trunc('week', t), '%Y-%m-%d') as week_start, round(avg(v), 4) as value, count(*) as readings from n group by field_name, symbol, run, date_trunc('week', t)""",
+    select field_name, symbol, run, strftime(date_trunc('week', t), '%Y-%m-%d') as week_start, round(avg(v), 4) as value,
+        count(*) as readings from n group by field_name, symbol, run, date_trunc('week', t)""",
     "p5_found": f"""
     with r as ({_WEEKS}),
     m as (select *, case when t > lag(t) over (partition by field_name, symbol order by t) + interval 56 days then 1 else 0 end as brk from r),

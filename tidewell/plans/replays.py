@@ -16,8 +16,10 @@ _W = "partition by symbol order by timestamp"
 COST, SLIP, FILLED, TURNOVER_SCALE, DRAWDOWN_SCALE = 0.0005, 0.0005, 0.9, 0.1, 0.5
 HELD = 5
 
-_BOOK_SQL = f"""b as ({SOUND_SQL}), f as (select symbol, timestamp, open, high, low, close, volume, close / lag(close, 21) over ({_W}) - 1 as mom, coalesce(lead(close) over ({_W}) / close - 1, 0) as fwd from b),
-    k as (select *, row_number() over (partition by timestamp order by mom desc, symbol) as n from f where mom is not null and symbol <> '{BENCHMARK}'), w as (select *, case when n <= {HELD} then 0.2::double else 0.0::double end as w from k)"""
+_BOOK_SQL = f"""b as ({SOUND_SQL}), f as (select symbol, timestamp, open, high, low, close, volume, close / lag(close, 21) over ({_W}) - 1 as mom,
+        coalesce(lead(close) over ({_W}) / close - 1, 0) as fwd from b),
+    k as (select *, row_number() over (partition by timestamp order by mom desc, symbol) as n from f where mom is not null and symbol <> '{BENCHMARK}'),
+        w as (select *, case when n <= {HELD} then 0.2::double else 0.0::double end as w from k)"""
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +32,10 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.where(F.col("mom").isNotNull() & (F.col("symbol") != BENCHMARK)).withColumn("w", F.when(n <= HELD, 0.2).otherwise(0.0)).drop("mom")
 
 
-_PATH_SQL = f"""{_BOOK_SQL}, p as (select *, coalesce(lag(w) over ({_W}), 0) as pw from w), d as (select timestamp, sum(w * fwd) as ret, sum(abs(w - pw)) as traded from p group by timestamp),
-    v as (select timestamp, ret, traded, traded * {COST}::double as cost, ln(1 + ret) + ln(1 - traded * {COST}::double) as reward from d), c as (select *, exp(sum(reward) over (order by timestamp)) as value from v),
+_PATH_SQL = f"""{_BOOK_SQL}, p as (select *, coalesce(lag(w) over ({_W}), 0) as pw from w), d as (select timestamp, sum(w * fwd) as ret,
+        sum(abs(w - pw)) as traded from p group by timestamp),
+    v as (select timestamp, ret, traded, traded * {COST}::double as cost, ln(1 + ret) + ln(1 - traded * {COST}::double) as reward from d), c as (select *,
+        exp(sum(reward) over (order by timestamp)) as value from v),
     t as (select *, greatest(max(value) over (order by timestamp), 1.0) as peak from c), u as (select *, (peak - value) / peak as down from t)"""
 
 
@@ -46,7 +50,8 @@ def path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("peak", F.greatest(F.max("value").over(so_far), F.lit(1.0))).withColumn("down", (F.col("peak") - F.col("value")) / F.col("peak"))
 
 
-@book.query(f"""with {_PATH_SQL} select timestamp, round(ln(value), 8) as log_value, round(ret, 8) as ret, round(traded, 8) as traded, round(cost, 10) as cost, round(down, 7) as drawdown from u""")
+@book.query(f"""with {_PATH_SQL} select timestamp, round(ln(value), 8) as log_value, round(ret, 8) as ret, round(traded, 8) as traded, round(cost, 10) as cost,
+        round(down, 7) as drawdown from u""")
 def replayed_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A book replayed from its weights: value, return, what was traded, its cost and the fall from the peak."""
     return path(spark, sf_dir).select("timestamp", F.round(F.ln("value"), 8).alias("log_value"), *[F.round(c, k).alias(n) for c, n, k in (("ret", "ret", 8), ("traded", "traded", 8), ("cost", "cost", 10), ("down", "drawdown", 7))])
@@ -69,11 +74,16 @@ def draw(*columns: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / 4294967296.0
 
 
-@book.query(f"""with {_BOOK_SQL}, q as (select *, ('0x' || substr(md5(symbol || '|' || strftime(timestamp, '%Y-%m-%d')), 1, 8))::bigint / 4294967296.0::double > {FILLED} as missed from w),
-    r as (select *, coalesce(last_value(case when not missed then w end ignore nulls) over ({_W}), 0) as realized from q), p as (select *, coalesce(lag(realized) over ({_W}), 0) as pw from r),
-    e as (select *, abs(w - pw) >= 1e-10 as trades, abs(w - pw) as moved, {SLIP}::double * case when volume > 0 then least(1e6 / volume, 5) else 5 end as slip from p)
-    select timestamp, count(*) filter (trades) as orders, count(*) filter (trades and w > pw) as buys, count(*) filter (trades and missed) as missed, round(coalesce(sum(moved) filter (trades and missed), 0), 8) as unfilled,
-    round(coalesce(sum(moved * slip) filter (trades and not missed) / nullif(sum(moved) filter (trades and not missed), 0), 0) * 10000, 5) as slippage_bps, round(sum(realized), 8) as invested from e group by timestamp""")
+@book.query(f"""with {_BOOK_SQL}, q as (select *, ('0x' || substr(md5(symbol || '|' || strftime(timestamp, '%Y-%m-%d')), 1,
+        8))::bigint / 4294967296.0::double > {FILLED} as missed from w),
+    r as (select *, coalesce(last_value(case when not missed then w end ignore nulls) over ({_W}), 0) as realized from q), p as (select *,
+        coalesce(lag(realized) over ({_W}), 0) as pw from r),
+    e as (select *, abs(w - pw) >= 1e-10 as trades, abs(w - pw) as moved, {SLIP}::double * case when volume > 0 then least(1e6 / volume,
+        5) else 5 end as slip from p)
+    select timestamp, count(*) filter (trades) as orders, count(*) filter (trades and w > pw) as buys, count(*) filter (trades and missed) as missed,
+        round(coalesce(sum(moved) filter (trades and missed), 0), 8) as unfilled,
+    round(coalesce(sum(moved * slip) filter (trades and not missed) / nullif(sum(moved) filter (trades and not missed), 0), 0) * 10000, 5) as slippage_bps,
+        round(sum(realized), 8) as invested from e group by timestamp""")
 def executed_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A book whose orders are missed now and then, by a draw from symbol and day: a missed one leaves the weight that was last reached. Slippage grows as volume thins."""
     w = by_symbol()
@@ -97,9 +107,11 @@ LOOK_EVERY, HOLD_DAYS, WILD, RISING, APART = 5, 10, 0.25, 0.02, 0.02
 
 
 @book.query(f"""with recursive {_MARKET_SQL}, n as (select timestamp, row_number() over (order by timestamp) as i,
-        case when coalesce(round(market_vol_20d, 8), 0) >= {WILD} then 'defensive' when coalesce(round(market_trend_20d, 8), 0) >= {RISING} and coalesce(round(dispersion_20d, 8), 0) >= {APART} then 'risk_on' else 'neutral' end as wanted from m),
+        case when coalesce(round(market_vol_20d, 8), 0) >= {WILD} then 'defensive' when coalesce(round(market_trend_20d, 8),
+        0) >= {RISING} and coalesce(round(dispersion_20d, 8), 0) >= {APART} then 'risk_on' else 'neutral' end as wanted from m),
     s as (select 0::bigint as i, 'neutral' as mode, 0::bigint as since union all
-        select n.i, case when n.i % {LOOK_EVERY} = 0 and s.since + 1 >= {HOLD_DAYS} then n.wanted else s.mode end, case when n.i % {LOOK_EVERY} = 0 and s.since + 1 >= {HOLD_DAYS} and n.wanted <> s.mode then 0 else s.since + 1 end from s join n on n.i = s.i + 1)
+        select n.i, case when n.i % {LOOK_EVERY} = 0 and s.since + 1 >= {HOLD_DAYS} then n.wanted else s.mode end,
+        case when n.i % {LOOK_EVERY} = 0 and s.since + 1 >= {HOLD_DAYS} and n.wanted <> s.mode then 0 else s.since + 1 end from s join n on n.i = s.i + 1)
     select n.timestamp, n.wanted, s.mode from n join s on s.i = n.i""")
 def market_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mode that the market asks for each day, and the one in force when it is looked at only now and then and kept for a while: an ordered fold over days."""
@@ -123,7 +135,8 @@ def market_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""with {_MARKET_SQL}, k as ({METRICS_SQL})
-    select '__universe__' as series, least(max(b.timestamp), (select max(timestamp) from k)) as watermark from b union all select '__regime__', (select max(timestamp) from m)""")
+    select '__universe__' as series, least(max(b.timestamp), (select max(timestamp) from k)) as watermark from b union all select '__regime__',
+        (select max(timestamp) from m)""")
 def series_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """High-water marks of what all symbols share: the cross-section, no later than the metrics it ranks by, and the market's series."""
     bars, known = sound_bars(spark, sf_dir).agg(F.max("timestamp").alias("at")), metrics(spark, sf_dir).agg(F.max("timestamp").alias("at"))

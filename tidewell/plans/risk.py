@@ -20,8 +20,10 @@ START_CASH = 1_000_000
 # ------------------------------------------------------------------ returns against the benchmark
 
 
-@book.query(f"""with f as ({features.book.oracles['forward_returns']}), be as ({features.book.oracles['rolling_beta']}), k as (select timestamp, fwd_5d as bench from f where symbol = '{BENCHMARK}')
-    select f.symbol, f.timestamp, round(fwd_5d - coalesce(beta_60d, 0) * coalesce(bench, 0), 8) as residual_5d from f left join be on be.symbol = f.symbol and be.timestamp = f.timestamp left join k on k.timestamp = f.timestamp""")
+@book.query(f"""with f as ({features.book.oracles['forward_returns']}), be as ({features.book.oracles['rolling_beta']}), k as (select timestamp,
+        fwd_5d as bench from f where symbol = '{BENCHMARK}')
+    select f.symbol, f.timestamp, round(fwd_5d - coalesce(beta_60d, 0) * coalesce(bench, 0),
+        8) as residual_5d from f left join be on be.symbol = f.symbol and be.timestamp = f.timestamp left join k on k.timestamp = f.timestamp""")
 def residual_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns of the next five bars less beta times the benchmark's; the benchmark's own stay, an unknown beta counts as none."""
     f = features.forward_returns(spark, sf_dir).select("symbol", "timestamp", "fwd_5d")
@@ -34,12 +36,15 @@ def residual_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 BETA_BARS, BETA_CAP = 60, 0.5
 
 
-@book.query(f"""with b as ({SOUND_SQL}), r as (select symbol, timestamp, close / lag(close) over ({_W}) - 1 as ret, close / lag(close, 21) over ({_W}) - 1 as mom from b),
+@book.query(f"""with b as ({SOUND_SQL}), r as (select symbol, timestamp, close / lag(close) over ({_W}) - 1 as ret, close / lag(close,
+        21) over ({_W}) - 1 as mom from b),
     k as (select timestamp, ret as rb from r where symbol = '{BENCHMARK}' and ret is not null),
     j as (select r.*, rb from r join k using (timestamp) where symbol <> '{BENCHMARK}' and ret is not null),
-    c as (select symbol, timestamp, mom, case when count(*) over w >= 2 and round(var_samp(rb) over w, 15) > 0 then covar_samp(ret, rb) over w / var_samp(rb) over w else 0 end as beta from j
+    c as (select symbol, timestamp, mom, case when count(*) over w >= 2 and round(var_samp(rb) over w, 15) > 0 then covar_samp(ret,
+        rb) over w / var_samp(rb) over w else 0 end as beta from j
           window w as ({_W} rows between {BETA_BARS} preceding and 1 preceding)),
-    t as (select timestamp, beta from (select *, row_number() over (partition by timestamp order by mom desc, symbol) as k from c where mom is not null) where k <= 5),
+    t as (select timestamp, beta from (select *, row_number() over (partition by timestamp order by mom desc,
+        symbol) as k from c where mom is not null) where k <= 5),
     p as (select timestamp, sum(0.2::double * beta) as beta from t group by timestamp)
     select timestamp, round(beta, 6) as beta, round(case when beta > {BETA_CAP} then {BETA_CAP}::double / beta else 1.0 end, 6) as scale from p""")
 def beta_capped_book(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +65,10 @@ def beta_capped_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ ledgers
 
-_FILLS_SQL = f"""select o_custkey as owner, p_brand as symbol, o_orderdate::date as day, (o_orderdate, l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice) as seq,
-    case when l_returnflag = 'R' then -l_quantity else l_quantity end as q, l_extendedprice / l_quantity as price, (case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end)::{MONEY} as paid
+_FILLS_SQL = f"""select o_custkey as owner, p_brand as symbol, o_orderdate::date as day, (o_orderdate, l_orderkey, l_linenumber, l_suppkey, l_partkey,
+        l_extendedprice) as seq,
+    case when l_returnflag = 'R' then -l_quantity else l_quantity end as q, l_extendedprice / l_quantity as price,
+        (case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end)::{MONEY} as paid
     from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey"""
 
 
@@ -78,9 +85,11 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SNAPSHOTS_SQL = f"""with f as ({_FILLS_SQL}),
     v as (select *, ((sum(q) over (partition by owner, symbol order by seq)) * price)::{MONEY} as value from f),
-    d as (select *, value - coalesce(lag(value) over (partition by owner, symbol order by seq), 0) as moved, abs(value) - coalesce(lag(abs(value)) over (partition by owner, symbol order by seq), 0) as moved_gross from v),
+    d as (select *, value - coalesce(lag(value) over (partition by owner, symbol order by seq), 0) as moved,
+        abs(value) - coalesce(lag(abs(value)) over (partition by owner, symbol order by seq), 0) as moved_gross from v),
     c as (select owner, day, sum(moved) as moved, sum(moved_gross) as moved_gross, sum(paid) as paid from d group by all),
-    r as (select owner, day, sum(moved) over w as net, sum(moved_gross) over w as gross, {START_CASH} - sum(paid) over w as cash from c window w as (partition by owner order by day)),
+    r as (select owner, day, sum(moved) over w as net, sum(moved_gross) over w as gross,
+        {START_CASH} - sum(paid) over w as cash from c window w as (partition by owner order by day)),
     n as (select *, net + cash as nav from r), p as (select *, greatest(max(nav) over (partition by owner order by day), 0) as peak from n)"""
 
 
@@ -102,8 +111,10 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("peak", F.greatest(F.max("nav").over(days), F.lit(0).cast(MONEY)))
 
 
-@book.query(f"""{_SNAPSHOTS_SQL} select owner, day::varchar as day, round(nav, 4)::double as nav, round(cash, 4)::double as cash, round(gross, 4)::double as gross_exposure, round(net, 4)::double as net_exposure,
-    round(case when nav > 0 then gross::double / nav::double else 0 end, 10) as leverage, round(peak, 4)::double as peak_nav, round(case when peak > 0 then (nav - peak)::double / peak::double else 0 end, 10) as drawdown from p""")
+@book.query(f"""{_SNAPSHOTS_SQL} select owner, day::varchar as day, round(nav, 4)::double as nav, round(cash, 4)::double as cash, round(gross,
+        4)::double as gross_exposure, round(net, 4)::double as net_exposure,
+    round(case when nav > 0 then gross::double / nav::double else 0 end, 10) as leverage, round(peak, 4)::double as peak_nav,
+        round(case when peak > 0 then (nav - peak)::double / peak::double else 0 end, 10) as drawdown from p""")
 def portfolio_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of each owner's portfolio after each day with fills."""
     s = snapshots(spark, sf_dir)
@@ -117,7 +128,8 @@ def portfolio_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@book.query(f"""{_SNAPSHOTS_SQL} select owner, day::varchar as day, round(nav - first_value(nav) over (partition by owner, date_trunc('quarter', day) order by day), 4)::double as pnl from p""")
+@book.query(f"""{_SNAPSHOTS_SQL} select owner, day::varchar as day, round(nav - first_value(nav) over (partition by owner, date_trunc('quarter', day) order by day),
+        4)::double as pnl from p""")
 def session_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain since the first snapshot of each session, here a quarter."""
     first = F.first("nav").over(Window.partitionBy("owner", F.date_trunc("quarter", "day")).orderBy("day"))
@@ -129,9 +141,11 @@ RESTART = "2023-06-30"
 
 @book.query(f"""{_SNAPSHOTS_SQL}, l as (select owner, arg_max(cash, day) as cash, arg_max(peak, day) as peak from p where day <= date '{RESTART}' group by owner),
     a as (select owner, sum(paid) as paid, count(*) as fills from f where day > date '{RESTART}' group by owner),
-    h as (select owner, symbol, sum(q) as q, sum(case when q > 0 then q * price end)::{MONEY} / nullif(sum(case when q > 0 then q end), 0) as cost from f group by all),
+    h as (select owner, symbol, sum(q) as q, sum(case when q > 0 then q * price end)::{MONEY} / nullif(sum(case when q > 0 then q end),
+        0) as cost from f group by all),
     e as (select owner, sum((q * coalesce(cost, 0))::{MONEY}) as net from h group by owner)
-    select e.owner, coalesce(fills, 0) as fills_since, round(coalesce(cash, {START_CASH}) - coalesce(paid, 0), 4)::double as cash, round(net + coalesce(cash, {START_CASH}) - coalesce(paid, 0), 3)::double as nav
+    select e.owner, coalesce(fills, 0) as fills_since, round(coalesce(cash, {START_CASH}) - coalesce(paid, 0), 4)::double as cash, round(net + coalesce(cash,
+        {START_CASH}) - coalesce(paid, 0), 3)::double as nav
     from e left join l using (owner) left join a using (owner)""")
 def recovered_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cash and value after a restart: the last snapshot's cash, moved by the fills since, and positions at their average cost of buying."""
@@ -154,10 +168,13 @@ LEAST_ORDER, MOST_SYMBOL, MOST_POSITIONS, MOST_GROSS, LEAST_CASH = 0.01, 0.20, 2
 _HELD_SQL = f"select owner, symbol, sum(q) as q, abs(sum(paid)) as value from ({_FILLS_SQL}) group by all"
 
 
-@book.query(f"""with h as ({_HELD_SQL}), g as (select owner, sum(value) as gross, count(*) filter (q > 0) as positions, 1.25::decimal(4, 2) * sum(value) as nav from h group by owner),
-    o as (select o_orderkey, o_custkey as owner, o_totalprice::{MONEY} as notional, case when o_orderstatus = 'P' then 'sell' else 'buy' end as side, arg_min(p_brand, (l_linenumber, l_partkey)) as symbol
+@book.query(f"""with h as ({_HELD_SQL}), g as (select owner, sum(value) as gross, count(*) filter (q > 0) as positions, 1.25::decimal(4,
+        2) * sum(value) as nav from h group by owner),
+    o as (select o_orderkey, o_custkey as owner, o_totalprice::{MONEY} as notional, case when o_orderstatus = 'P' then 'sell' else 'buy' end as side, arg_min(p_brand,
+        (l_linenumber, l_partkey)) as symbol
           from orders join lineitem on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by all),
-    j as (select o.*, coalesce(nav, 0)::double as nav, coalesce(gross, 0)::double as gross, coalesce(positions, 0) as positions, coalesce(h.value, 0)::double as held, coalesce(h.q, 0) > 0 as holds, o.notional::double as n
+    j as (select o.*, coalesce(nav, 0)::double as nav, coalesce(gross, 0)::double as gross, coalesce(positions, 0) as positions, coalesce(h.value, 0)::double as held,
+        coalesce(h.q, 0) > 0 as holds, o.notional::double as n
           from o left join g using (owner) left join h on h.owner = o.owner and h.symbol = o.symbol),
     r as (select o_orderkey, nav, concat_ws(',',
         case when nav <= 0 then 'nav_check' end, case when nav > 0 and n / nav < {LEAST_ORDER} then 'minimum_order_threshold' end,
@@ -215,7 +232,8 @@ def last_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sound_bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "timestamp").alias("price"))
 
 
-@book.query(f"""with {_SIGNALS_SQL}, j as (select s.symbol, {NAV} * target as desired, coalesce(quantity * price, 0) as current, quantity is null as none from s left join h using (symbol) left join c using (symbol))
+@book.query(f"""with {_SIGNALS_SQL}, j as (select s.symbol, {NAV} * target as desired, coalesce(quantity * price, 0) as current,
+        quantity is null as none from s left join h using (symbol) left join c using (symbol))
     select symbol, round(desired, 4) as desired_notional, round(current, 4) as current_notional, round(desired - current, 4) as delta_notional,
     case when abs(desired) < 1e-10 and none then 'zero_target' when abs(desired - current) < {LEAST_NOTIONAL} then 'below_threshold' else 'order_generated' end as reason,
     case when (abs(desired) < 1e-10 and none) or abs(desired - current) < {LEAST_NOTIONAL} then null when desired > current then 'buy' else 'sell' end as side from j""")
@@ -240,7 +258,8 @@ def live_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("symbol", F.round(F.coalesce("target", "weight"), 8).alias("target"), F.round(F.coalesce("weight", F.lit(0.0)), 8).alias("current"), F.col("asked").isNull().alias("kept"))
 
 
-@book.query("""select o_orderpriority as venue, count(*) as orders, round(count(*) filter (o_orderstatus = 'F') / count(*), 8) as fill_rate, round(count(*) filter (o_orderstatus = 'O') / count(*), 8) as pending_rate,
+@book.query("""select o_orderpriority as venue, count(*) as orders, round(count(*) filter (o_orderstatus = 'F') / count(*), 8) as fill_rate,
+        round(count(*) filter (o_orderstatus = 'O') / count(*), 8) as pending_rate,
     round(count(*) filter (o_orderstatus = 'P') / count(*), 8) as reject_rate from orders group by all""")
 def order_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of filled, open and refused orders."""
@@ -248,9 +267,11 @@ def order_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("venue")).agg(F.count("*").alias("orders"), rate("F", "fill_rate"), rate("O", "pending_rate"), rate("P", "reject_rate"))
 
 
-@book.query("""with f as (select l_orderkey, sum(l_quantity) as filled from lineitem where l_linestatus = 'F' group by all), a as (select l_orderkey, sum(l_quantity) as asked from lineitem group by all)
+@book.query("""with f as (select l_orderkey, sum(l_quantity) as filled from lineitem where l_linestatus = 'F' group by all), a as (select l_orderkey,
+        sum(l_quantity) as asked from lineitem group by all)
     select action, count(*) as orders, round(sum(asked - coalesce(filled, 0)), 2) as open_quantity from (select o_orderkey, asked, filled,
-    case when asked is null then 'missing' when coalesce(filled, 0) >= asked then 'mark_filled' when filled > 0 then 'mark_partial' when o_orderstatus = 'P' then 'mark_cancelled' else 'keep_open' end as action
+    case when asked is null then 'missing' when coalesce(filled,
+        0) >= asked then 'mark_filled' when filled > 0 then 'mark_partial' when o_orderstatus = 'P' then 'mark_cancelled' else 'keep_open' end as action
     from orders left join a on a.l_orderkey = o_orderkey left join f on f.l_orderkey = o_orderkey) group by action""")
 def pending_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of each order when its state is compared with its fills."""
@@ -274,7 +295,8 @@ def run_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.query("""with m as (select c_mktsegment as s, n_name as k, round(avg(c_acctbal), 6) as v from customer join nation on c_nationkey = n_nationkey group by all),
     a as (select k, v from m where s = 'BUILDING'), b as (select k, v from m where s = 'MACHINERY')
-    select k, a.v as first, b.v as second, round(b.v - a.v, 6) as difference, case when a.v is null then 'added' when b.v is null then 'removed' when a.v = b.v then 'same' else 'changed' end as kind from a full join b using (k)""")
+    select k, a.v as first, b.v as second, round(b.v - a.v, 6) as difference,
+        case when a.v is null then 'added' when b.v is null then 'removed' when a.v = b.v then 'same' else 'changed' end as kind from a full join b using (k)""")
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs key by key, over all keys of either: what was added, removed or changed, and by how much."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")

@@ -71,16 +71,19 @@ def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SINCE, UNTIL = "2023-06-01", "2024-06-30"
 
 
-@book.query(f"""with b as ({SOUND_SQL}), f as ({_SQL['fundamental']}) select f.symbol, f.timestamp, pe_ttm, roe, close from f join b using (symbol, timestamp) where f.timestamp >= '{SINCE}' and f.timestamp < date '{UNTIL}' + 1""")
+@book.query(f"""with b as ({SOUND_SQL}), f as ({_SQL['fundamental']}) select f.symbol, f.timestamp, pe_ttm, roe, close from f join b using (symbol,
+        timestamp) where f.timestamp >= '{SINCE}' and f.timestamp < date '{UNTIL}' + 1""")
 def set_with_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One set's rows within a range of days, by name so that sets don't mix, with the close of their bar."""
     rows = feature_rows(spark, sf_dir).where((F.col("feature_set") == "fundamental") & date_range("timestamp", SINCE, UNTIL)).select("symbol", "timestamp", "pe_ttm", "roe")
     return rows.join(sound_bars(spark, sf_dir).select("symbol", "timestamp", "close"), ["symbol", "timestamp"])
 
 
-@book.query(f"""with b as ({SOUND_SQL}), r as (select symbol, timestamp, close / lag(close) over (partition by symbol order by timestamp) - 1 as ret from b), w as ({books.book.oracles['rank_weight_book']}),
+@book.query(f"""with b as ({SOUND_SQL}), r as (select symbol, timestamp, close / lag(close) over (partition by symbol order by timestamp) - 1 as ret from b),
+        w as ({books.book.oracles['rank_weight_book']}),
     j as (select w.timestamp as wt, r.timestamp as rt, ret is null as bare from w full join (select * from r where ret is not null and symbol <> '{BENCHMARK}') r on r.symbol = w.symbol and r.timestamp = w.timestamp)
-    select count(*) filter (wt is not null and rt is not null) as kept, count(*) filter (rt is null) as only_weights, count(*) filter (wt is null) as only_returns from j""")
+    select count(*) filter (wt is not null and rt is not null) as kept, count(*) filter (rt is null) as only_weights,
+        count(*) filter (wt is null) as only_returns from j""")
 def aligned_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows an inner join of weights and returns keeps and drops on either side."""
     w = books.rank_weight_book(spark, sf_dir).select("symbol", "timestamp", F.lit(1).alias("w"))

@@ -12,14 +12,16 @@ from tidewell.streaming.bars import sessions, stale, windowed
 book = Book()
 
 
-@book.query("""select date_trunc('hour', ts) as start, date_trunc('hour', ts) + interval 1 hour as "end", event_type, count(*) as n, round(sum(value), 4) as total, min(value) as low, max(value) as high from events group by all""")
+@book.query("""select date_trunc('hour', ts) as start, date_trunc('hour', ts) + interval 1 hour as "end", event_type, count(*) as n, round(sum(value), 4) as total,
+        min(value) as low, max(value) as high from events group by all""")
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows."""
     w = windowed(table(spark, sf_dir, "events"), at="ts", key="event_type", value="value")
     return w.select("start", "end", "event_type", "n", F.round("total", 4).alias("total"), "low", "high")
 
 
-@book.query("""with e as (select *, s.i from events, (select unnest([0, 1]) as i) s) select date_trunc('hour', ts) - interval 1 hour * i as start, event_type, count(*) as n from e group by all""")
+@book.query("""with e as (select *, s.i from events, (select unnest([0, 1]) as i) s) select date_trunc('hour', ts) - interval 1 hour * i as start, event_type,
+        count(*) as n from e group by all""")
 def sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of two hours that start every hour."""
     return windowed(table(spark, sf_dir, "events"), at="ts", key="event_type", value="value", length="2 hours", slide="1 hour").select("start", "event_type", "n")
