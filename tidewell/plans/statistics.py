@@ -91,11 +91,11 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
         round((exp(sum(ln(1 + ret)) * 252 / count(*)) - 1) / abs(min(equity / peak - 1)), 5) as calmar,
         round(case when stddev_samp(ret) > 1e-15 then avg(ret) / stddev_samp(ret) * sqrt(252) else 0 end, 6) as sharpe, round(avg(ret) / sqrt(sum(least(ret,
         0) ** 2) / count(*)) * sqrt(252), 6) as sortino,
-    round(min(equity / peak - 1), 8) as max_drawdown, round(sum(ln(1 + ret)), 8) as total_log_return, round(count(*) filter (ret > 0) / count(*), 8) as win_rate,
+    round(min(equity / peak - 1), 8) as max_drawdown, round(exp(sum(ln(1 + ret))) - 1, 2) as total_return, round(count(*) filter (ret > 0) / count(*), 8) as win_rate,
         round(sum(greatest(ret, 0)) / -sum(least(ret, 0)), 6) as profit_factor from v""")
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe, Sortino, drawdown, total return, win rate and profit factor of a book."""
-    return ev.performance(portfolio(spark, sf_dir), by=["book"], order="timestamp", ret="ret")
+    return ev.performance(portfolio(spark, sf_dir), by=["book"], order="timestamp", ret="ret").withColumn("total_return", F.round("total_return", 2))
 
 
 @book.query(f"""with {_PF_SQL}, e as (select *, exp(sum(ln(1 + ret)) over (order by timestamp)) as equity from d), p as (select *,
