@@ -241,7 +241,7 @@ def price_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
         arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice)) as p
     from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by all), d as (select o_custkey, q, (q * p)::decimal(28,
         8) as v from f)
-    select o_custkey, round(sum(abs(v))::double, 4) as gross, round(sum(v)::double, 4) as net, count(*) filter (q <> 0) as positions from d group by o_custkey""")
+    select o_custkey, round(sum(abs(v)), 4)::double as gross, round(sum(v), 4)::double as net, count(*) filter (q <> 0) as positions from d group by o_custkey""")
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gross and net value of each customer's open quantities at the last price seen; decimals, so the order of adding up doesn't matter."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
@@ -249,7 +249,7 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")))
     last = F.max_by(F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"))
     f = j.groupBy("o_custkey", "p_brand").agg(q.alias("q"), last.alias("p")).withColumn("v", (F.col("q") * F.col("p")).cast("decimal(28,8)"))
-    total = lambda v: F.round(F.sum(v).cast("double"), 4)
+    total = lambda v: F.round(F.sum(v), 4).cast("double")
     return f.groupBy("o_custkey").agg(total(F.abs("v")).alias("gross"), total("v").alias("net"), F.count_if(F.col("q") != 0).alias("positions"))
 
 

@@ -123,9 +123,9 @@ def _z_sql(c: str) -> str:
     v as (select underlying, quote_date, case when count(lr) over w >= {REALISED} then stddev_samp(lr) over w * sqrt(252) end as rv from r window w as (partition by underlying order by quote_date rows between {REALISED - 1} preceding and current row)),
     j as (select g.underlying, g.quote_date, atm_iv, iv_term_slope, skew_25d, net_gamma_exposure, rv from g left join a using (underlying,
         quote_date) left join t using (underlying, quote_date) left join k using (underlying, quote_date) left join v using (underlying, quote_date))
-    select underlying, quote_date, atm_iv, {_z_sql('atm_iv')} as iv_zscore_60d, round(atm_iv - rv, 7) as vrp, iv_term_slope, {_z_sql('skew_25d')} as skew_zscore_60d,
+    select underlying, quote_date, atm_iv, {_z_sql('atm_iv')} as iv_zscore_60d, round(atm_iv - rv, 8) as vrp, iv_term_slope, {_z_sql('skew_25d')} as skew_zscore_60d,
         sign(net_gamma_exposure)::double as gex_sign, {_z_sql('net_gamma_exposure')} as gex_norm,
-    round(atm_iv - lag(atm_iv, {MOVED}) over d, 7) as iv_delta_5d, round(iv_term_slope - lag(iv_term_slope, {MOVED}) over d, 7) as slope_delta_5d
+    round(atm_iv - lag(atm_iv, {MOVED}) over d, 8) as iv_delta_5d, round(iv_term_slope - lag(iv_term_slope, {MOVED}) over d, 8) as slope_delta_5d
     from j window d as (partition by underlying order by quote_date),
         z as (partition by underlying order by quote_date rows between {SCORED - 1} preceding and current row)""")
 def chain_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +144,8 @@ def chain_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
         spread = F.round(rolling(F.stddev_samp(c), w, SCORED, c), 12)
         return F.round(F.try_divide(F.col(c) - rolling(F.avg(c), w, SCORED, c), spread), 5)
 
-    delta = lambda c: F.round(F.col(c) - F.lag(c, MOVED).over(w), 7)
+    delta = lambda c: F.round(F.col(c) - F.lag(c, MOVED).over(w), 8)
     return j.select(
-        *keys, "atm_iv", z("atm_iv").alias("iv_zscore_60d"), F.round(F.col("atm_iv") - F.col("rv"), 7).alias("vrp"), "iv_term_slope", z("skew_25d").alias("skew_zscore_60d"),
+        *keys, "atm_iv", z("atm_iv").alias("iv_zscore_60d"), F.round(F.col("atm_iv") - F.col("rv"), 8).alias("vrp"), "iv_term_slope", z("skew_25d").alias("skew_zscore_60d"),
         F.signum("net_gamma_exposure").alias("gex_sign"), z("net_gamma_exposure").alias("gex_norm"), delta("atm_iv").alias("iv_delta_5d"), delta("iv_term_slope").alias("slope_delta_5d"),
     )

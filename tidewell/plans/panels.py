@@ -157,7 +157,7 @@ def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weeks of the grid that hold readings, with their mean and number."""
     read = p5_grid(spark, sf_dir).where("not filled")
-    return read.select("field_name", "symbol", "run", "week_start", F.round("value", 4).alias("value"), "readings")
+    return read.select("field_name", "symbol", "run", "week_start", F.when(F.col("field_name") == "market_cap", F.round("value", 1)).otherwise(F.round("value", 6)).alias("value"), "readings")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +259,7 @@ ORACLES = {
     with r as ({_WEEK_VALUES}),
     m as (select *, case when t > lag(t) over (partition by field_name, symbol order by t) + interval 56 days then 1 else 0 end as brk from r),
     n as (select *, sum(brk) over (partition by field_name, symbol order by t) as run from m)
-    select field_name, symbol, run, strftime(date_trunc('week', t), '%Y-%m-%d') as week_start, round(avg(v), 4) as value,
+    select field_name, symbol, run, strftime(date_trunc('week', t), '%Y-%m-%d') as week_start, case when field_name = 'market_cap' then round(avg(v), 1) else round(avg(v), 6) end as value,
         count(*) as readings from n group by field_name, symbol, run, date_trunc('week', t)""",
     "p5_found": f"""
     with r as ({_WEEKS}),

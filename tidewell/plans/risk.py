@@ -155,9 +155,9 @@ def recovered_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = f.where(F.col("day") > day).groupBy("owner").agg(F.sum("paid").alias("paid"), F.count("*").alias("fills"))
     bought = F.when(F.col("q") > 0, F.col("q"))
     held = f.groupBy("owner", "symbol").agg(F.sum("q").alias("q"), F.try_divide(F.sum(bought * F.col("price")).cast(MONEY).cast("double"), F.sum(bought)).alias("cost"))
-    net = held.groupBy("owner").agg(F.sum((F.col("q") * F.coalesce("cost", F.lit(0.0))).cast(MONEY)).alias("net"))
+    net = held.groupBy("owner").agg(F.sum((F.col("q") * F.coalesce("cost", F.lit(0.0))).cast(MONEY)).cast(MONEY).alias("net"))
     j = net.join(last, "owner", "left").join(since, "owner", "left")
-    cash = F.coalesce("cash", F.lit(START_CASH)) - F.coalesce("paid", F.lit(0))
+    cash = (F.coalesce("cash", F.lit(START_CASH).cast(MONEY)) - F.coalesce(F.col("paid").cast(MONEY), F.lit(0).cast(MONEY))).cast(MONEY)
     return j.select("owner", F.coalesce("fills", F.lit(0)).alias("fills_since"), F.round(cash, 4).cast("double").alias("cash"), F.round(F.col("net") + cash, 3).cast("double").alias("nav"))
 
 
