@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidewell.plans import books, canonical, chains, features, joins, panels, replays, risk, sets, statistics, streams, trials
+from tidewell.plans import books, canonical, chains, checks, features, joins, panels, replays, risk, sets, statistics, streams, trials
 
-MODULES = [panels.book, canonical.book, features.book, joins.book, statistics.book, streams.book, books.book, chains.book, risk.book, trials.book, replays.book, sets.book]
+MODULES = [panels.book, canonical.book, features.book, joins.book, statistics.book, streams.book, books.book, chains.book, risk.book, trials.book, replays.book, sets.book, checks.book]
 
 
 def queries() -> dict[str, Callable]:

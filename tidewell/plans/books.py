@@ -101,8 +101,8 @@ def top_five_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regime_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The market's mean, spread and Sharpe ratio in each regime of volatility and trend."""
     m = market(spark, sf_dir).where("market_vol_20d is not null")
-    middle = m.agg(F.percentile("market_vol_20d", 0.5)).first()[0]
-    vol = F.when(F.col("market_vol_20d") > F.lit(middle).cast("double"), "high_vol").otherwise("low_vol")
+    m = m.withColumn("middle", F.percentile("market_vol_20d", 0.5).over(Window.partitionBy(F.lit(0))))
+    vol = F.when(F.col("market_vol_20d") > F.col("middle"), "high_vol").otherwise("low_vol")
     trend = F.when(F.col("market_trend_20d") > 0, "_trend_up").otherwise("_trend_down")
     r = sound_bars(spark, sf_dir).select("timestamp", log_return("close", by_symbol(), 1).alias("ret")).where("ret is not null")
     d = r.groupBy("timestamp").agg(F.avg("ret").alias("x"))

@@ -119,9 +119,9 @@ def market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regime_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days labelled by terciles of market volatility."""
     m = market(spark, sf_dir)
-    a, z = m.select(F.percentile("market_vol_20d", F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0] or (None, None)
-    v = F.col("market_vol_20d")
-    return m.select("timestamp", F.when(v.isNotNull(), F.when(v <= F.lit(a), "low_vol").when(v <= F.lit(z), "mid_vol").otherwise("high_vol")).alias("label"))
+    v, q = F.col("market_vol_20d"), F.col("q")
+    m = m.withColumn("q", F.percentile("market_vol_20d", F.array(F.lit(1 / 3), F.lit(2 / 3))).over(Window.partitionBy(F.lit(0))))
+    return m.select("timestamp", F.when(v.isNotNull(), F.when(v <= q[0], "low_vol").when(v <= q[1], "mid_vol").otherwise("high_vol")).alias("label"))
 
 
 @book.query(f"""with {_MARKET_SQL}, k as (select symbol, timestamp + interval 12 hours as t from b)
